@@ -5,10 +5,30 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import simhash
+from . import decontam, hostrep, kmtree, langid, linededup, packing, simhash
 from .common import table
 
 
+def op2_hostrep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hostrep.judge(table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels"))
+
+
+def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    packed = packing.pack(packing.pieces(table(spark, sf_dir, "documents")))
+    return packed.withColumnsRenamed({"id": "doc_id", "crc": "ids_crc32"})
+
+
+def op5_kmtree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kmtree.search(table(spark, sf_dir, "embeddings"), 5, lambda vec_id: vec_id % 50 == 0)
+
+
+def op6_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    filters = langid.learn(docs.where(~langid.held_out()))
+    held = docs.select("doc_id", "text", langid.held_out().alias("held_out"))
+    return langid.identify(held, filters).select("doc_id", "held_out", "lang_pred", "score")
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select(
@@ -16,8 +36,27 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontam.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select(F.col("id").alias("doc_id"), (F.size("items") > 0).alias("contaminated"), "items", "windows")
+
+
+def op10_linededup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    gone = linededup.removals(docs).withColumnRenamed("id", "doc_id")
+    size = F.coalesce(F.size(F.split("text", "\n")), F.lit(0)).alias("n_lines")
+    counted = docs.select("doc_id", size).join(gone, "doc_id", "left")
+    return counted.select("doc_id", "n_lines", F.coalesce(F.size("removed"), F.lit(0)).alias("n_removed"), F.coalesce(F.array_join("removed", ","), F.lit("")).alias("removed"))
+
+
 QUERIES = {
+    "op2_hostrep": op2_hostrep,
+    "op3_packing": op3_packing,
+    "op5_kmtree": op5_kmtree,
+    "op6_langid": op6_langid,
     "op8_simhash": op8_simhash,
+    "op9_decontam": op9_decontam,
+    "op10_linededup": op10_linededup,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op2_hostrep": hostrep.oracle()}
