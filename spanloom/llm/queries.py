@@ -5,10 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, hostrep, kmtree, langid, linededup, packing, simhash
+from . import credentials, decontam, hostrep, kmtree, langid, linededup, packing, pii, simhash
 from .common import table
 
 
+def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digest(pii.find(table(spark, sf_dir, "documents")))
+
+
 def op2_hostrep(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hostrep.judge(table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels"))
 
@@ -29,6 +33,10 @@ def op6_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(held, filters).select("doc_id", "held_out", "lang_pred", "score")
 
 
+def op7_credentials(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return credentials.digest(credentials.find(table(spark, sf_dir, "documents")))
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select(
@@ -50,10 +58,12 @@ def op10_linededup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_pii": op1_pii,
     "op2_hostrep": op2_hostrep,
     "op3_packing": op3_packing,
     "op5_kmtree": op5_kmtree,
     "op6_langid": op6_langid,
+    "op7_credentials": op7_credentials,
     "op8_simhash": op8_simhash,
     "op9_decontam": op9_decontam,
     "op10_linededup": op10_linededup,
