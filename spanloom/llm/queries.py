@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import credentials, decontam, hostrep, kmtree, langid, linededup, packing, pii, simhash
+from . import credentials, decontam, hostrep, kmtree, langid, linededup, packing, pii, simhash, suffixes
 from .common import table
 
 
@@ -22,6 +22,10 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed.withColumnsRenamed({"id": "doc_id", "crc": "ids_crc32"})
 
 
+def op4_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.digest(suffixes.repeated_spans(table(spark, sf_dir, "documents")))
+
+
 def op5_kmtree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kmtree.search(table(spark, sf_dir, "embeddings"), 5, lambda vec_id: vec_id % 50 == 0)
 
@@ -61,6 +65,7 @@ QUERIES = {
     "op1_pii": op1_pii,
     "op2_hostrep": op2_hostrep,
     "op3_packing": op3_packing,
+    "op4_suffixes": op4_suffixes,
     "op5_kmtree": op5_kmtree,
     "op6_langid": op6_langid,
     "op7_credentials": op7_credentials,
