@@ -194,3 +194,10 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
         "id", F.array_distinct(F.transform(found, lambda x: x["item"])).alias("items"),
         F.aggregate("_found", F.lit(0), lambda a, x: a + x["n"]).cast("long").alias("windows"),
     )
+
+
+def without_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text") -> DataFrame:
+    """``docs`` without the rows that hold a benchmark item, judged in one pass without a shuffle."""
+    whole = docs.withColumn("_row", F.struct(*docs.columns))
+    found = contamination(whole, benchmark, "_row", text_col)
+    return found.where(F.size("items") == 0).select("id.*")

@@ -20,6 +20,8 @@ OWN = 0.4
 #: Log2 of the positions of the filters, and positions for each gram.
 BITS, HASHES = 20, 2
 UNKNOWN = "und"
+#: A document whose score is less is in none of the learned languages.
+ACCEPTED = 0.2
 
 _PRIMES = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD], np.uint64)
 

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import re
-
 import numpy as np
 import pandas as pd
 import xxhash
@@ -25,11 +23,10 @@ _rng = np.random.default_rng(20240607)
 _MULTIPLY = (_rng.integers(1, 1 << 32, BANDS * ROWS, dtype=np.uint64) | np.uint64(1)).astype(np.uint32)
 _ADD = _rng.integers(0, 1 << 32, BANDS * ROWS, dtype=np.uint64).astype(np.uint32)
 _MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], np.uint64)
-_SPACES = re.compile(r"\s+")
 
 
 def normal(line: str) -> str:
-    return _SPACES.sub(" ", line.lower()).strip()
+    return " ".join(line.lower().split())
 
 
 def line_key(norm: str) -> int:
@@ -57,8 +54,23 @@ def shingle_hashes(norms: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return (h[inside] >> np.uint64(32)).astype(np.uint32), np.concatenate(([0], np.cumsum(sizes - SHINGLE + 1)[:-1]))
 
 
+#: Characters that are hashed in one go.
+PART = 1 << 18
+
+
 def band_keys(norms: list[str]) -> np.ndarray:
     """A row of ``BANDS`` 64-bit keys for each line."""
+    parts, size = [[]], 0
+    for line in norms:
+        if size > PART:
+            parts.append([])
+            size = 0
+        parts[-1].append(line)
+        size += len(line)
+    return np.concatenate([_band_keys(p) for p in parts])
+
+
+def _band_keys(norms: list[str]) -> np.ndarray:
     if not norms:
         return np.zeros((0, BANDS), np.uint64)
     h, starts = shingle_hashes(norms)
@@ -94,20 +106,22 @@ def lines(docs: DataFrame, id_col: str, text_col: str, min_chars: int = MIN_CHAR
 
     def scan(batches):
         for b in batches:
-            ids, numbers, keys = [], [], []
-            for one, text in zip(b["id"], b["text"]):
+            counts, numbers, keys = [], [], []
+            for text in b["text"]:
+                before = len(keys)
                 for k, line in enumerate(text.split("\n")):
                     if len(norm := normal(line)) >= min_chars:
-                        ids.append(one)
                         numbers.append(k)
                         keys.append(line_key(norm))
-            yield pd.DataFrame({"id": pd.array(ids, "Int64"), "line": np.array(numbers, np.int32), "h": np.array(keys, np.int64)})
+                counts.append(len(keys) - before)
+            ids = np.repeat(b["id"].to_numpy(np.int64), np.array(counts, np.int64))
+            yield pd.DataFrame({"id": ids, "line": np.array(numbers, np.int32), "h": np.array(keys, np.int64)})
 
     return _texts(docs, id_col, text_col).mapInPandas(scan, "id long, line int, h long")
 
 
 def _texts(docs, id_col, text_col):
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("text is not null")
+    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("id is not null and text is not null")
 
 
 def _distinct(b: pd.DataFrame, min_chars: int) -> dict[int, str]:
@@ -223,7 +237,7 @@ def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mi
 
     Lines end at ``\\n``.  They are compared in lower case with white space collapsed.  Of each component of lines
     of similarity 0.8 or more the one of the smallest (id, line) stays.  Lines under ``min_chars`` characters
-    stay, as do all lines of rows with a null id; null texts have none.  Rows that repeat an id are treated as
+    stay.  Rows with a null id keep all lines and remove none; null texts have none.  Rows that repeat an id are treated as
     one document: a line number goes from all of them.  An empty table gives an empty one.
     """
     found = stash(lines(docs, id_col, text_col, min_chars), "occurrences")
@@ -232,7 +246,7 @@ def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mi
     joined = stash(first.join(named, "h", "left").where("n > 1 or component is not null"), "repeated")
     best = joined.where("component is not null").groupBy("component").agg(F.min("first").alias("best"))
     decided = joined.join(best, "component", "left").select("h", F.coalesce("best", "first").alias("stays"))
-    gone = found.join(decided, "h").where("id is not null and (id <> stays.id or stays.id is null or line <> stays.line)")
+    gone = found.join(decided, "h").where("id <> stays.id or line <> stays.line")
     return gone.groupBy("id").agg(F.array_sort(F.collect_set("line")).alias("removed"))
 
 
