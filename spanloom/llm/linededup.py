@@ -21,7 +21,6 @@ SEED = 9
 
 _rng = np.random.default_rng(20240607)
 _MULTIPLY = (_rng.integers(1, 1 << 32, BANDS * ROWS, dtype=np.uint64) | np.uint64(1)).astype(np.uint32)
-_ADD = _rng.integers(0, 1 << 32, BANDS * ROWS, dtype=np.uint64).astype(np.uint32)
 _MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], np.uint64)
 
 
@@ -74,31 +73,60 @@ def _band_keys(norms: list[str]) -> np.ndarray:
     if not norms:
         return np.zeros((0, BANDS), np.uint64)
     h, starts = shingle_hashes(norms)
+    hashed = np.empty_like(h)
     out = np.zeros((len(norms), BANDS), np.uint64)
     for band in range(BANDS):
         key = np.full(len(norms), np.uint64(band + 1)) * _MIX[2]
         for row in range(band * ROWS, band * ROWS + ROWS):
-            least = np.minimum.reduceat(h * _MULTIPLY[row] + _ADD[row], starts)
+            least = np.minimum.reduceat(np.multiply(h, _MULTIPLY[row], out=hashed), starts)
             key = (key ^ least) * _MIX[3]
             key ^= key >> np.uint64(29)
         out[:, band] = key
     return out
 
 
-def jaccard(a: str, b: str, sets: dict | None = None) -> float:
-    """Of the sets of character shingles; sets: what is known of other lines."""
-    both = []
-    for line in (a, b):
-        found = sets.get(line) if sets is not None else None
-        if found is None:
-            found = {line[i : i + SHINGLE] for i in range(max(1, len(line) - SHINGLE + 1))}
-            if sets is not None:
-                if len(sets) > 256:
-                    sets.clear()
-                sets[line] = found
-        both.append(found)
-    common = len(both[0] & both[1])
-    return common / (len(both[0]) + len(both[1]) - common)
+def shingles(line: str) -> frozenset:
+    return frozenset(line[i : i + SHINGLE] for i in range(max(1, len(line) - SHINGLE + 1)))
+
+
+def linked(norms: list[str], side: list[int] | None = None, least: float = SIMILAR) -> list[tuple[int, int]]:
+    """Pairs of lines of an exact Jaccard similarity of ``least`` or more, enough of them to join all that are linked.
+
+    All are compared with the first.  Then lines of different components are, until one link joins these: links
+    inside a component change nothing.  Sets whose sizes differ too much are not intersected.  Given ``side``, after
+    the first step only lines of different sides are compared.
+    """
+    sets = [shingles(n) for n in norms]
+    sizes = [len(x) for x in sets]
+    out = []
+
+    def close(x: int, y: int) -> bool:
+        a, b = sizes[x], sizes[y]
+        if min(a, b) < least * max(a, b):
+            return False
+        common = len(sets[x] & sets[y])
+        return common >= least * (a + b - common)
+
+    groups = [[0]]
+    for x in range(1, len(norms)):
+        if close(0, x):
+            groups[0].append(x)
+            out.append((0, x))
+        else:
+            groups.append([x])
+    k = 1
+    while k < len(groups):  # groups before k are not linked to each other
+        mine, kept = groups[k], []
+        for other in groups[:k]:
+            link = next(((x, y) for x in mine for y in other if (side is None or side[x] != side[y]) and close(x, y)), None)
+            if link:
+                out.append(link)
+                mine = other + mine
+            else:
+                kept.append(other)
+        groups[: k + 1] = [*kept, mine]
+        k = len(kept) + 1
+    return out
 
 
 def lines(docs: DataFrame, id_col: str, text_col: str, min_chars: int = MIN_CHARS) -> DataFrame:
@@ -130,7 +158,7 @@ def _distinct(b: pd.DataFrame, min_chars: int) -> dict[int, str]:
 
 
 def buckets(docs: DataFrame, id_col: str, text_col: str, min_chars: int = MIN_CHARS) -> DataFrame:
-    """(key, h, lead): the lines that share a band's key with another; lead is the least of them.
+    """(key, h): the lines that share a band's key with another.
 
     Tasks pack keys and lines by the key's remainder and send each pair once, so a line that very many
     documents hold reaches its bucket once from each batch of documents.
@@ -156,15 +184,14 @@ def buckets(docs: DataFrame, id_col: str, text_col: str, min_chars: int = MIN_CH
         new = np.ones(len(rows), bool)
         new[1:] = (rows[1:] != rows[:-1]).any(axis=1)
         rows = rows[new]
-        first = np.ones(len(rows), bool)
-        first[1:] = rows[1:, 0] != rows[:-1, 0]
-        starts = np.flatnonzero(first)
-        sizes = np.diff(np.append(starts, len(rows)))
-        lead, many = np.repeat(rows[starts, 1], sizes), np.repeat(sizes > 1, sizes)
-        return pd.DataFrame({"key": rows[many, 0], "h": rows[many, 1], "lead": lead[many]})
+        many = np.zeros(len(rows), bool)
+        same = rows[1:, 0] == rows[:-1, 0]
+        many[1:] |= same
+        many[:-1] |= same
+        return pd.DataFrame({"key": rows[many, 0], "h": rows[many, 1]})
 
     packed = _texts(docs, id_col, text_col).select("text").mapInPandas(pack, "part int, rows binary")
-    return packed.groupBy("part").applyInPandas(meet, "key long, h long, lead long")
+    return packed.groupBy("part").applyInPandas(meet, "key long, h long")
 
 
 #: Bits of the sketch that spares lines without a partner the shuffle.  It has this size whatever the input is.
@@ -196,39 +223,43 @@ def texts_of(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, min
     return picked.groupBy("h").agg(F.first("norm").alias("norm"))
 
 
-def similar(pairs: DataFrame, texts: DataFrame, least: float = SIMILAR) -> DataFrame:
-    """The rows of ``pairs`` (u, v) whose lines have an exact Jaccard similarity of ``least`` or more."""
+#: Lines of a bucket that are compared in one go; larger buckets are cut, and each two of their blocks meet.
+BLOCK = 2048
 
-    @F.pandas_udf("boolean")
-    def close(a: pd.Series, b: pd.Series) -> pd.Series:
-        sets: dict = {}
-        return pd.Series([jaccard(x, y, sets) >= least for x, y in zip(a, b)], dtype=bool)
 
-    a = texts.select(F.col("h").alias("u"), F.col("norm").alias("a"))
-    b = texts.select(F.col("h").alias("v"), F.col("norm").alias("b"))
-    return pairs.join(a, "u").join(b, "v").where(close("a", "b")).select("u", "v")
+def links(members: DataFrame, texts: DataFrame, block: int = BLOCK) -> DataFrame:
+    """(u, v): similar lines that share a bucket, enough to join all that are linked.
 
+    A line's text comes once to each of its buckets, not once to each pair.
+    """
+    parts = 8 * int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    large = members.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > block)
+    cut = members.join(large, "key", "left").withColumn("blocks", F.coalesce(F.ceil(F.col("n") / block), F.lit(1)).cast("int"))
+    cut = cut.withColumn("own", F.pmod(F.xxhash64("h"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    cut = cut.select("key", "h", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+    rows = cut.join(texts, "h").withColumn("part", F.pmod(F.xxhash64("key", "i", "j"), F.lit(parts)))
+
+    def verify(b: pd.DataFrame) -> pd.DataFrame:
+        b = b.sort_values(["key", "i", "j", "h"])
+        place = b[["key", "i", "j"]].to_numpy(np.int64)
+        new = np.ones(len(b), bool)
+        new[1:] = (place[1:] != place[:-1]).any(axis=1)
+        starts = np.append(np.flatnonzero(new), len(b))
+        h, own, norms, out = b["h"].to_numpy(np.int64), b["own"].to_numpy(), b["norm"].tolist(), []
+        for s, e in zip(starts, starts[1:]):
+            side = None if place[s, 1] == place[s, 2] else own[s:e].tolist()
+            out += [(h[s + x], h[s + y]) for x, y in linked(norms[s:e], side)]
+        found = np.array(out, np.int64).reshape(-1, 2)
+        return pd.DataFrame({"u": np.minimum(found[:, 0], found[:, 1]), "v": np.maximum(found[:, 0], found[:, 1])})
+
+    return rows.groupBy("part").applyInPandas(verify, "u long, v long").distinct()
 
-def line_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS) -> DataFrame:
-    """(h, component) for the distinct lines that are linked to another.
 
-    First every line is compared with the leader of each of its buckets.  Then, in the buckets that this leaves
-    in more than one component, each line is compared with all lines of other components: links inside a
-    component change nothing, so none that matters is lost, and a bucket of near copies costs as many
-    comparisons as it has lines.
-    """
+def line_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS) -> DataFrame:
+    """(h, component) for the distinct lines that are linked to another."""
     members = stash(buckets(docs, id_col, text_col, min_chars), "members")
-    texts = stash(texts_of(docs, members.select("h"), id_col, text_col, min_chars), "lines")
-    pair = (F.least("x", "y").alias("u"), F.greatest("x", "y").alias("v"))
-    stars = members.where("h <> lead").select(F.col("lead").alias("u"), F.col("h").alias("v")).distinct()
-    links = stash(similar(stars, texts), "links")
-    named = connected_components(links).select(F.col("id").alias("h"), "component")
-    placed = stash(members.join(named, "h", "left").select("key", "h", "lead", F.coalesce("component", "h").alias("c")), "placed")
-    split = placed.groupBy("key").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 <> c1").select("key")
-    rest = stash(placed.join(split, "key", "left_semi"), "rest")
-    a, b = rest.select("key", F.col("h").alias("x"), F.col("c").alias("cx"), "lead"), rest.select("key", F.col("h").alias("y"), F.col("c").alias("cy"))
-    more = a.join(b, "key").where("x < y and cx <> cy and x <> lead").select(*pair).distinct()
-    named = connected_components(links.unionByName(similar(more, texts)))
+    texts = texts_of(docs, members.select("h"), id_col, text_col, min_chars)
+    named = connected_components(stash(links(members, texts), "links"))
     return named.select(F.col("id").alias("h"), "component")
 
 

@@ -62,3 +62,29 @@ def test_lines_against_all_pairs(spark):
         kept = [x for k, x in enumerate(t.split("\n")) if k not in cut]
         assert left[i] == ("\n".join(kept) if kept else None)
     assert linededup.removals(docs.where("false")).count() == 0
+
+
+def test_blocks_of_a_bucket_lose_no_link(spark):
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    family, norms = [word() for _ in range(30)], []
+    for _ in range(60):
+        line = list(family)
+        for _ in range(rng.randint(0, 5)):
+            line[rng.randrange(30)] = word()
+        norms.append(" ".join(line))
+    norms = sorted(set(norms))
+    close = [(a, b) for a in range(len(norms)) for b in range(a) if len(linededup.shingles(norms[a]) & linededup.shingles(norms[b])) >= 0.8 * len(linededup.shingles(norms[a]) | linededup.shingles(norms[b]))]
+
+    def groups(links):
+        root = list(range(len(norms)))
+        for a, b in links:
+            a, b = root[a], root[b]
+            root = [min(a, b) if r in (a, b) else r for r in root]
+        return root
+
+    assert groups(linededup.linked(norms)) == groups(close) and len(set(groups(close))) > 1
+    members = spark.createDataFrame([(1, k) for k in range(len(norms))], "key long, h long")
+    texts = spark.createDataFrame(list(enumerate(norms)), "h long, norm string")
+    for block in (7, 1000):
+        assert groups([(r.u, r.v) for r in linededup.links(members, texts, block).collect()]) == groups(close)
