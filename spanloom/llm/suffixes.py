@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stash, text_or_empty
+from .common import stash, text_or_empty, tidy
 
 #: Bytes of a repeated string, and of the first digit: the anchor, which stands at one of SPAN places in it.
 LENGTH, DIGIT = 50, 24
@@ -193,8 +193,9 @@ def repeated_digits(docs: DataFrame, bits: int, within: Sketch | None = None) ->
         set_bits[at.astype(np.int64)] = 1
         return pd.DataFrame({"part": b["part"].iloc[:1], "bitmap": [np.packbits(set_bits, bitorder="little").tobytes()]})
 
-    sent = docs.mapInPandas(send, "part int, rows binary").groupBy("part").applyInPandas(meet, "part int, bitmap binary")
-    return Sketch({r.part: bytes(r.bitmap) for r in sent.collect()}, bits)  # 2**SKETCH_BITS bits in all
+    with tidy(docs.sparkSession):
+        sent = docs.mapInPandas(send, "part int, rows binary").groupBy("part").applyInPandas(meet, "part int, bitmap binary")
+        return Sketch({r.part: bytes(r.bitmap) for r in sent.collect()}, bits)  # 2**SKETCH_BITS bits in all
 
 
 def _unique_pairs(a: np.ndarray, b: np.ndarray) -> np.ndarray:
