@@ -19,6 +19,8 @@ REACH = LENGTH - DIGIT
 SPAN = REACH + 1
 #: Bytes of text that are looked at in one go.
 SEGMENT = 1 << 19
+#: Bytes of text whose keys are put together before they are sent.
+BATCH = 6 << 20
 #: Bits of the sketches that say which first digits repeat.  They have this size whatever the input is.
 SKETCH_BITS = 27
 _POSITION = np.uint64((1 << 21) - 1)
@@ -149,13 +151,15 @@ def _rows(blobs, width: int) -> np.ndarray:
 
 
 def _by_batch(batches, needs):
-    """(ids, texts) of each batch, and the results of ``needs`` on its parts, joined."""
+    """The ids of each batch of about BATCH bytes, and the results of ``needs`` on its parts, joined."""
     for b in batches:
-        texts = b["text"].tolist()
-        got = [x for f, h, base in suffixes(texts) if (x := needs(f, h, base)) is not None]
-        ids = b["id"].to_numpy(np.int64)
-        columns = [np.concatenate(c) for c in zip(*got)] if got else None
-        yield ids, columns
+        all_texts, all_ids = b["text"].tolist(), b["id"].to_numpy(np.int64)
+        begins = np.concatenate(([0], np.cumsum([len(t) for t in all_texts])))[:-1] // BATCH
+        for rows in np.split(np.arange(len(all_ids)), np.flatnonzero(np.diff(begins)) + 1):
+            texts = all_texts[rows[0] : rows[-1] + 1] if len(rows) else []
+            got = [x for f, h, base in suffixes(texts) if (x := needs(f, h, base)) is not None]
+            columns = [np.concatenate(c) for c in zip(*got)] if got else None
+            yield all_ids[rows], columns
 
 
 def repeated_digits(docs: DataFrame, bits: int, within: Sketch | None = None) -> Sketch:
