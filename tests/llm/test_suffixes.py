@@ -63,3 +63,23 @@ def test_long_texts_are_cut_into_segments(monkeypatch):
     monkeypatch.setattr(suffixes, "SEGMENT", 700)
     parts = [x for f, h, b in suffixes.suffixes([data, data[:100], b"", data]) for t, *x in zip(*f.strings(__import__("numpy").arange(len(f.first)), h, b)) if t == 3]
     assert sorted(map(tuple, whole)) == sorted(map(tuple, parts))
+
+
+def test_batches_are_cut_by_bytes(monkeypatch):
+    import numpy as np
+    import pandas as pd
+
+    rng = random.Random(5)
+    texts = [bytes(rng.choice(b"abcde ") for _ in range(rng.randint(50, 300))) for _ in range(40)]
+    batch = pd.DataFrame({"id": np.arange(40) * 7, "text": texts})
+    needs = lambda f, h, base: (f.anchor, f.text)
+
+    def pairs():
+        got = list(suffixes._by_batch([batch], needs))
+        return len(got), {(int(a), int(ids[t])) for ids, c in got for a, t in zip(*c)}
+
+    whole = pairs()
+    monkeypatch.setattr(suffixes, "BATCH", 1000)
+    parts = pairs()
+    assert whole[0] == 1 < parts[0] and whole[1] == parts[1]
+    assert list(suffixes._by_batch([batch.iloc[:0]], needs))[0][1] is None
