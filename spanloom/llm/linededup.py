@@ -59,19 +59,10 @@ PART = 1 << 18
 
 def band_keys(norms: list[str]) -> np.ndarray:
     """A row of ``BANDS`` 64-bit keys for each line."""
-    parts, size = [[]], 0
-    for line in norms:
-        if size > PART:
-            parts.append([])
-            size = 0
-        parts[-1].append(line)
-        size += len(line)
-    return np.concatenate([_band_keys(p) for p in parts])
+    return np.concatenate([np.zeros((0, BANDS), np.uint64), *(_band_keys(p) for p in _parts(norms))])
 
 
 def _band_keys(norms: list[str]) -> np.ndarray:
-    if not norms:
-        return np.zeros((0, BANDS), np.uint64)
     h, starts = shingle_hashes(norms)
     hashed = np.empty_like(h)
     out = np.zeros((len(norms), BANDS), np.uint64)
@@ -89,23 +80,59 @@ def shingles(line: str) -> frozenset:
     return frozenset(line[i : i + SHINGLE] for i in range(max(1, len(line) - SHINGLE + 1)))
 
 
-def linked(norms: list[str], side: list[int] | None = None, least: float = SIMILAR) -> list[tuple[int, int]]:
+#: Bits of the maps that spare most comparisons.
+MAP_BITS = 4096
+
+
+def _parts(norms: list[str]):
+    """``norms`` in slices of about PART characters."""
+    part, size = [], 0
+    for line in norms:
+        if size > PART:
+            yield part
+            part, size = [], 0
+        part.append(line)
+        size += len(line)
+    if part:
+        yield part
+
+
+def shingle_maps(norms: list[str]) -> list[int]:
+    """For each line an integer that has the bits of its shingles' hashes set."""
+    out = []
+    for part in _parts(norms):
+        h, starts = shingle_hashes(part)
+        bits = np.zeros((len(part), MAP_BITS), bool)
+        bits[np.repeat(np.arange(len(part)), np.diff(np.append(starts, len(h)))), h % MAP_BITS] = True
+        out += [int.from_bytes(row.tobytes(), "little") for row in np.packbits(bits, axis=1)]
+    return out
+
+
+def linked(norms: list[str], maps: list[int], side: list[int] | None = None, least: float = SIMILAR) -> list[tuple[int, int]]:
     """Pairs of lines of an exact Jaccard similarity of ``least`` or more, enough of them to join all that are linked.
 
     All are compared with the first.  Then lines of different components are, until one link joins these: links
-    inside a component change nothing.  Sets whose sizes differ too much are not intersected.  Given ``side``, after
-    the first step only lines of different sides are compared.
+    inside a component change nothing.  Two lines are intersected only if their maps allow so high a similarity: a
+    bit that one map has alone is a shingle that one line has alone.  Given ``side``, after the first step only lines
+    of different sides are compared.
     """
-    sets = [shingles(n) for n in norms]
-    sizes = [len(x) for x in sets]
+    ones = [m.bit_count() for m in maps]
+    most = [max(1, len(n) - SHINGLE + 1) for n in norms]
+    sets: dict[int, frozenset] = {}
     out = []
 
     def close(x: int, y: int) -> bool:
-        a, b = sizes[x], sizes[y]
-        if min(a, b) < least * max(a, b):
+        both = (maps[x] | maps[y]).bit_count()
+        alone_x, alone_y = both - ones[y], both - ones[x]
+        common = min(most[x] - alone_x, most[y] - alone_y)
+        if common < least * (common + alone_x + alone_y):
             return False
-        common = len(sets[x] & sets[y])
-        return common >= least * (a + b - common)
+        for k in (x, y):
+            if k not in sets:
+                sets[k] = shingles(norms[k])
+        a, b = sets[x], sets[y]
+        common = len(a & b)
+        return common >= least * (len(a) + len(b) - common)
 
     groups = [[0]]
     for x in range(1, len(norms)):
@@ -246,9 +273,10 @@ def links(members: DataFrame, texts: DataFrame, block: int = BLOCK) -> DataFrame
         new[1:] = (place[1:] != place[:-1]).any(axis=1)
         starts = np.append(np.flatnonzero(new), len(b))
         h, own, norms, out = b["h"].to_numpy(np.int64), b["own"].to_numpy(), b["norm"].tolist(), []
+        maps = shingle_maps(norms)
         for s, e in zip(starts, starts[1:]):
             side = None if place[s, 1] == place[s, 2] else own[s:e].tolist()
-            out += [(h[s + x], h[s + y]) for x, y in linked(norms[s:e], side)]
+            out += [(h[s + x], h[s + y]) for x, y in linked(norms[s:e], maps[s:e], side)]
         found = np.array(out, np.int64).reshape(-1, 2)
         return pd.DataFrame({"u": np.minimum(found[:, 0], found[:, 1]), "v": np.maximum(found[:, 0], found[:, 1])})
 

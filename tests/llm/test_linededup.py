@@ -83,7 +83,7 @@ def test_blocks_of_a_bucket_lose_no_link(spark):
             root = [min(a, b) if r in (a, b) else r for r in root]
         return root
 
-    assert groups(linededup.linked(norms)) == groups(close) and len(set(groups(close))) > 1
+    assert groups(linededup.linked(norms, linededup.shingle_maps(norms))) == groups(close) and len(set(groups(close))) > 1
     members = spark.createDataFrame([(1, k) for k in range(len(norms))], "key long, h long")
     texts = spark.createDataFrame(list(enumerate(norms)), "h long, norm string")
     for block in (7, 1000):
