@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import zlib
+from array import array
 from bisect import bisect_left, insort
 from functools import cache
 
@@ -20,7 +21,7 @@ BLOCK, ISLANDS, ROUNDS = 8192, 3, 2
 #: Solutions on an island, and crossovers in a round.
 POPULATION, CROSSOVERS = 4, 6
 #: Words whose ids a worker remembers.
-REMEMBERED = 400_000
+REMEMBERED = 800_000
 _NO_ID = -(1 << 63)
 
 
@@ -55,21 +56,28 @@ def _encoder(path: str):
     return regex.compile(public_tokenizers.PATTERN).findall, encode
 
 
-def token_bytes(texts: list[str], path: str, known: dict[str, bytes]) -> list[bytes]:
-    """The ids of each text as little-endian unsigned 32-bit numbers.
+class Known(dict):
+    """The ids of the pre-tokenizer's pieces as little-endian unsigned 32-bit numbers, encoded when first met."""
 
-    The pre-tokenizer's pieces are encoded apart from each other, so each piece is encoded once and looked up
-    afterwards.
-    """
-    split, encode = _encoder(path)
-    words = [split(t) for t in texts]
-    unseen = list(set().union(*words) - known.keys())
-    if len(known) + len(unseen) > REMEMBERED:
-        known.clear()
-        unseen = list(set().union(*words))
-    for word in unseen:
-        known[word] = np.array(encode(word), "<u4").tobytes()
-    return [b"".join(map(known.__getitem__, w)) for w in words]
+    def __init__(self, path: str):
+        super().__init__()
+        self.split, self.encode = _encoder(path)
+
+    def __missing__(self, word: str) -> bytes:
+        if len(self) >= REMEMBERED:
+            self.clear()
+        self[word] = out = array("I", self.encode(word)).tobytes()
+        return out
+
+    def text(self, text: str) -> bytes:
+        """The ids of a text.  Pieces are encoded apart from each other, so each is encoded once and then looked up."""
+        return b"".join(map(self.__getitem__, self.split(text)))
+
+
+@cache
+def _known(path: str) -> Known:
+    """A worker's own: it stays from task to task."""
+    return Known(path)
 
 
 def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, tokenizer: str | None = None) -> DataFrame:
@@ -80,17 +88,15 @@ def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capa
     path = tokenizer or default_tokenizer()
 
     def cut(batches):
-        known: dict[str, bytes] = {}
+        known = _known(path)
         for b in batches:
             out = []
-            texts = ["" if t is None else t for t in b["text"]]
-            for at in range(0, len(texts), 64):
-                for one, ids in zip(b["id"].iloc[at : at + 64], token_bytes(texts[at : at + 64], path, known)):
-                    ids += END.to_bytes(4, "little")
-                    n = len(ids) // 4
-                    ends = [*range((n - 1) % capacity + 1, n + 1, capacity)]
-                    for k, (start, end) in enumerate(zip([0, *ends], ends)):
-                        out.append((one, k, start, end - start, zlib.crc32(ids[4 * start : 4 * end])))
+            for one, text in zip(b["id"], b["text"]):
+                ids = known.text(text or "") + END.to_bytes(4, "little")
+                n = len(ids) // 4
+                ends = [*range((n - 1) % capacity + 1, n + 1, capacity)]
+                for k, (start, end) in enumerate(zip([0, *ends], ends)):
+                    out.append((one, k, start, end - start, zlib.crc32(ids[4 * start : 4 * end])))
             yield pd.DataFrame(out, columns=["id", "piece", "start", "length", "crc"])
 
     rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_NO_ID)).alias("id"), F.col(text_col).alias("text"))
