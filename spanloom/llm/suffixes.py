@@ -18,9 +18,9 @@ LENGTH, DIGIT = 50, 24
 REACH = LENGTH - DIGIT
 SPAN = REACH + 1
 #: Bytes of text that are looked at in one go.
-SEGMENT = 1 << 19
+SEGMENT = 1 << 17
 #: Bytes of text whose keys are put together before they are sent.
-BATCH = 6 << 20
+BATCH = 2 << 20
 #: Bits of the sketches that say which first digits repeat.  They have this size whatever the input is.
 SKETCH_BITS = 27
 _POSITION = np.uint64((1 << 21) - 1)
