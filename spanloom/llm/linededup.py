@@ -108,6 +108,31 @@ def shingle_maps(norms: list[str]) -> list[int]:
     return out
 
 
+def join_all(n: int, close, side: list[int] | None = None) -> list[tuple[int, int]]:
+    """Pairs of 0 .. n - 1 for which ``close`` holds, enough of them to join all that such pairs link; see ``linked``."""
+    out = []
+    groups = [[0]]
+    for x in range(1, n):
+        if close(0, x):
+            groups[0].append(x)
+            out.append((0, x))
+        else:
+            groups.append([x])
+    k = 1
+    while k < len(groups):  # groups before k are not linked to each other
+        mine, kept = groups[k], []
+        for other in groups[:k]:
+            link = next(((x, y) for x in mine for y in other if (side is None or side[x] != side[y]) and close(x, y)), None)
+            if link:
+                out.append(link)
+                mine = other + mine
+            else:
+                kept.append(other)
+        groups[: k + 1] = [*kept, mine]
+        k = len(kept) + 1
+    return out
+
+
 def linked(norms: list[str], maps: list[int], side: list[int] | None = None, least: float = SIMILAR) -> list[tuple[int, int]]:
     """Pairs of lines of an exact Jaccard similarity of ``least`` or more, enough of them to join all that are linked.
 
@@ -119,7 +144,6 @@ def linked(norms: list[str], maps: list[int], side: list[int] | None = None, lea
     ones = [m.bit_count() for m in maps]
     most = [max(1, len(n) - SHINGLE + 1) for n in norms]
     sets: dict[int, frozenset] = {}
-    out = []
 
     def close(x: int, y: int) -> bool:
         both = (maps[x] | maps[y]).bit_count()
@@ -134,26 +158,7 @@ def linked(norms: list[str], maps: list[int], side: list[int] | None = None, lea
         common = len(a & b)
         return common >= least * (len(a) + len(b) - common)
 
-    groups = [[0]]
-    for x in range(1, len(norms)):
-        if close(0, x):
-            groups[0].append(x)
-            out.append((0, x))
-        else:
-            groups.append([x])
-    k = 1
-    while k < len(groups):  # groups before k are not linked to each other
-        mine, kept = groups[k], []
-        for other in groups[:k]:
-            link = next(((x, y) for x in mine for y in other if (side is None or side[x] != side[y]) and close(x, y)), None)
-            if link:
-                out.append(link)
-                mine = other + mine
-            else:
-                kept.append(other)
-        groups[: k + 1] = [*kept, mine]
-        k = len(kept) + 1
-    return out
+    return join_all(len(norms), close, side)
 
 
 def lines(docs: DataFrame, id_col: str, text_col: str, min_chars: int = MIN_CHARS) -> DataFrame:
@@ -225,18 +230,23 @@ def buckets(docs: DataFrame, id_col: str, text_col: str, min_chars: int = MIN_CH
 SKETCH_BITS = 25
 
 
+def sketch(wanted: DataFrame, name: str) -> np.ndarray:
+    """A bitmap of fixed size over the hashes in column ``name``."""
+    bit = F.expr(f"{name} & {(1 << SKETCH_BITS) - 1}")
+    words = wanted.select(bit.alias("bit")).groupBy(F.expr("cast(bit div 64 as int)").alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(bit % 64 as int)))").alias("bits"))
+    got = words.toPandas()  # 2**SKETCH_BITS / 64 rows at most
+    out = np.zeros(1 << (SKETCH_BITS - 6), np.int64)
+    out[got["word"].to_numpy(np.int64)] = got["bits"].to_numpy(np.int64)
+    return out
+
+
 def texts_of(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, min_chars: int = MIN_CHARS) -> DataFrame:
     """(h, norm) for at least the lines in ``wanted`` (h), each once.
 
     A bitmap of fixed size over the wanted hashes is sent to all tasks.  It only saves shuffling: lines that
     pass it by chance find no partner in the joins that follow.
     """
-    bit = F.expr(f"h & {(1 << SKETCH_BITS) - 1}")
-    words = wanted.select(bit.alias("bit")).groupBy(F.expr("cast(bit div 64 as int)").alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(bit % 64 as int)))").alias("bits"))
-    got = words.toPandas()  # 2**SKETCH_BITS / 64 rows at most
-    sketch = np.zeros(1 << (SKETCH_BITS - 6), np.int64)
-    sketch[got["word"].to_numpy(np.int64)] = got["bits"].to_numpy(np.int64)
-    shared = docs.sparkSession.sparkContext.broadcast(sketch)
+    shared = docs.sparkSession.sparkContext.broadcast(sketch(wanted, "h"))
 
     def pick(batches):
         for b in batches:

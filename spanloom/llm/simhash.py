@@ -115,17 +115,5 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return rows.join(named, "fp").select("id", "fp", "component")
 
 
-def without_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wide: int = WIDE_BUCKET) -> DataFrame:
-    """``docs`` with one document for each component, that of smallest id; rows without an id stay.
-
-    Rows that repeat a kept id stay as well, as they are one document to this operator.  Only the ids that go
-    are moved to meet the documents.
-    """
-    found = near_duplicates(docs, id_col, text_col, wide)
-    kept = found.where("id = component").select("id").distinct()
-    gone = found.where("id <> component").select("id").distinct().join(kept, "id", "left_anti")
-    return docs.join(gone.withColumnRenamed("id", id_col), id_col, "left_anti").select(docs.columns)
-
-
 def hex16(fp):
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
