@@ -14,10 +14,12 @@ from pyspark.sql import functions as F
 
 #: Words of a template window; an item with fewer is one window.
 WINDOW = 8
-#: Fewer words than this are no window, nor are windows with fewer words outside of slots.
+#: Windows with fewer words than this outside of slots are not looked up; an item without others is compared word for word.
 FIXED_WORDS = 4
-#: Windows of an item that a document must hold, or all that the item has.
-LEAST_WINDOWS = 3
+#: Windows of an item that a document must hold, or all that the item has; more where each character is a word.
+LEAST_WINDOWS, LEAST_UNSPACED = 3, 13
+#: An item of fewer runs of letters or digits than this is never held; a character of a script without spaces is a run.
+LEAST_RUNS = 3
 #: Characters of benchmark text that are held in memory at once; a larger benchmark takes more passes.
 SLICE_CHARS = 8_000_000
 #: Distinct words that a worker remembers.
@@ -30,6 +32,10 @@ UNITS = frozenset("mm cm m km in ft yd mi inch inches foot feet yard yards mile
 _NUMBER = re.compile(r"[$€£+-]?\d[\d.,:/]*(?:st|nd|rd|th|%)?")
 _GLUED = re.compile(r"[$€£+-]?\d[\d.,]*([a-z%°]+)")
 _EDGES = re.compile(r"^\W+|[^\w%]+$")
+#: What may stand around a word that is compared as it is; signs and operators are part of it.
+_OUTER = re.compile(r"^[\"'(\[{“‘«¿¡「『（]+|[\"')\]}”’».,;:!?…。、，！？」』）]+$")
+_UNSPACED = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3001-\u3007\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\uff01\uff0c\uff1f\uff66-\uff9d\U00020000-\U0003ffff]")
+_RUN = re.compile(r"[^\W\d_]+|\d+")
 _PLAIN, _NUM, _QUANTITY, _NAME, _UNIT = range(5)
 _SLOTS = np.array([0, 0xA24BAED4963EE407, 0x9FB21C651E98DF25, 0xD1B54A32D192ED03, 0x8CB92BA72F3D8DD7], np.uint64)
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -46,11 +52,11 @@ class Words(dict):
         self.clear()
         self.text = []
         size = REMEMBERED + (1 << 10)
-        self.code, self.kind = np.zeros(size, np.uint64), np.zeros(size, np.int8)
-        self.capital, self.unit, self.ends = (np.zeros(size, bool) for _ in range(3))
+        self.code, self.exact, self.kind = np.zeros(size, np.uint64), np.zeros(size, np.uint64), np.zeros(size, np.int8)
+        self.capital, self.unit, self.ends, self.single, self.mixed = (np.zeros(size, bool) for _ in range(5))
 
     def _grow(self):
-        for name in ("code", "kind", "capital", "unit", "ends"):
+        for name in ("code", "exact", "kind", "capital", "unit", "ends", "single", "mixed"):
             old = getattr(self, name)
             setattr(self, name, np.concatenate((old, np.zeros_like(old))))
 
@@ -66,19 +72,29 @@ class Words(dict):
         if n == len(self.code):
             self._grow()
         self.code[n] = xxhash.xxh64_intdigest(low.encode("utf-8", "surrogatepass")) if low else 0
+        same = _OUTER.sub("", raw.lower())
+        self.exact[n] = xxhash.xxh64_intdigest(same.encode("utf-8", "surrogatepass")) if same else 0
         self.kind[n] = kind
         self.capital[n] = kind == _PLAIN and len(word) > 1 and word[0].isupper() and word[1:].islower()
         self.unit[n] = low in UNITS
         self.ends[n] = raw[-1] in ".!?:;"
+        if not raw.isascii() and _UNSPACED.search(raw):
+            self.single[n], self.mixed[n] = len(raw) == 1, len(raw) > 1
         self.text.append(low)
         self[raw] = n
         return n
 
-    def template(self, text: str):
-        """(codes, kinds, words) of the words that have a letter or digit; numbers, names and units are slots."""
+    def numbers(self, text: str) -> np.ndarray:
+        """The numbers of the text's words; each character of a script without spaces is a word."""
         if len(self) > REMEMBERED:
             self.start()
         at = np.array([self[w] for w in text.split()], np.int64)
+        if self.mixed[at].any():
+            at = np.array([self[w] for w in _UNSPACED.sub(r" \g<0> ", text).split()], np.int64)
+        return at
+
+    def template(self, at: np.ndarray):
+        """(codes, kinds, words) of the words that have a letter or digit; numbers, names and units are slots."""
         if not len(at):
             return np.zeros(0, np.uint64), np.zeros(0, np.int8), at
         code, kind, capital, unit, ends = (x[at] for x in (self.code, self.kind, self.capital, self.unit, self.ends))
@@ -93,19 +109,44 @@ class Words(dict):
         return code[real], kind[real], at[real]
 
 
-def windows(code: np.ndarray, kind: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all windows of ``size`` words, and which of them have words enough outside of slots."""
+def windows(code: np.ndarray, size: int) -> np.ndarray:
+    """Hashes of all windows of ``size`` words."""
     n = len(code) - size + 1
     if n <= 0:
-        return np.zeros(0, np.uint64), np.zeros(0, bool)
+        return np.zeros(0, np.uint64)
     h = np.zeros(n, np.uint64)
     for i in range(size):
         h *= _BASE
         h += code[i : i + n]
     h ^= h >> np.uint64(31)
     h *= _BASE
+    return h
+
+
+def _good(kind: np.ndarray, size: int) -> np.ndarray:
+    """Which windows of ``size`` words have words enough outside of slots."""
     fixed = np.concatenate(([0], np.cumsum(kind == _PLAIN)))
-    return h, fixed[size:] - fixed[:-size] >= min(FIXED_WORDS, size)
+    return fixed[size:] - fixed[:-size] >= FIXED_WORDS
+
+
+class Table:
+    """Rows by size of window and hash."""
+
+    def __init__(self):
+        self.rows: dict[int, dict[int, list]] = {}
+        self.maybe: dict[int, np.ndarray] = {}
+
+    def add(self, size: int, h: int, row: tuple) -> None:
+        self.rows.setdefault(size, {}).setdefault(h, []).append(row)
+        self.maybe.setdefault(size, np.zeros(1 << 20, bool))[h >> 44] = True
+
+    def find(self, code: np.ndarray):
+        """(place, size, row) for each row whose window stands in ``code``."""
+        for size, known in self.rows.items():
+            h = windows(code, size)
+            for p in np.flatnonzero(self.maybe[size][h >> np.uint64(44)]).tolist():
+                for row in known.get(int(h[p]), ()):
+                    yield p, size, row
 
 
 class Templates:
@@ -113,34 +154,49 @@ class Templates:
 
     def __init__(self, items: list[tuple[int, str]]):
         words = Words()
-        rows, self.slots, self.needed = {}, {}, {}
+        self.slots, self.needed = {}, {}
+        self.table, self.whole = Table(), Table()
         for k, (item, text) in enumerate(items):
-            code, kind, at = words.template(text)
+            every = words.numbers(text)
+            code, kind, at = words.template(every)
             size = min(WINDOW, len(code))
-            if size < FIXED_WORDS:
-                continue
-            h, good = windows(code, kind, size)
             self.slots[k] = (item, kind, [words.text[i] for i in at])
-            self.needed[k] = min(LEAST_WINDOWS, len(set(h[good].tolist())))
+            good = _good(kind, size) if size >= FIXED_WORDS else np.zeros(0, bool)
+            if not good.any():
+                self._add_whole(k, text, words, every)
+                continue
+            h = windows(code, size)
+            least = LEAST_UNSPACED if 2 * words.single[at].sum() > len(at) else LEAST_WINDOWS
+            self.needed[k] = min(least, len(set(h[good].tolist())))
             for q in np.flatnonzero(good).tolist():
-                rows.setdefault(size, {}).setdefault(int(h[q]), []).append((k, q))
-        self.rows = rows
-        self.maybe = {}
-        for size, known in rows.items():
-            table = np.zeros(1 << 20, bool)
-            table[np.fromiter(known, np.uint64, len(known)) >> np.uint64(44)] = True
-            self.maybe[size] = table
+                self.table.add(size, int(h[q]), (k, q, int(h[q]), False))
+            # the first word may be taken for a name or a unit where other words stand before it
+            for other, may in ((_NAME, words.capital), (_UNIT, words.unit)):
+                if good[0] and kind[0] == _PLAIN and may[at[0]]:
+                    begun = np.concatenate((_SLOTS[other : other + 1], code[1:size]))
+                    self.table.add(size, int(windows(begun, size)[0]), (k, 0, int(h[0]), True))
+
+    def _add_whole(self, k: int, text: str, words: Words, every: np.ndarray) -> None:
+        """Too few words for a template: the item is held where all its words stand as they are."""
+        runs = sum(len(_RUN.findall(x)) for x in _UNSPACED.sub(r" \g<0> ", text).split())
+        exact = words.exact[every]
+        exact = exact[exact != 0]
+        if runs < LEAST_RUNS or not len(exact):
+            return
+        h = windows(exact, size := min(WINDOW, len(exact)))
+        self.needed[k] = len(h)
+        for q, x in enumerate(h.tolist()):
+            self.whole.add(size, x, (k, q))
 
     def hits(self, text: str, words: Words) -> list[tuple[int, int]]:
         """(item, windows of it) for the items that the text holds with consistent slots."""
-        code, kind, at = words.template(text)
+        every = words.numbers(text)
+        code, kind, at = words.template(every)
         found: dict[tuple[int, int], list] = {}
-        for size, known in self.rows.items():
-            h, good = windows(code, kind, size)
-            for p in np.flatnonzero(good & self.maybe[size][h >> np.uint64(44)]).tolist():
-                for k, q in known.get(int(h[p]), ()):
-                    # the windows of one occurrence lie on a diagonal
-                    found.setdefault((k, p - q), []).append((p, q, size, int(h[p])))
+        for p, size, (k, q, h, begun) in self.table.find(code):
+            if not begun or words.text[at[p]] == self.slots[k][2][0]:
+                # the windows of one occurrence lie on a diagonal
+                found.setdefault((k, p - q), []).append((p, q, size, h))
         out: dict[int, set] = {}
         for (k, _), spots in found.items():
             _, _, theirs = self.slots[k]
@@ -152,7 +208,14 @@ class Templates:
                         clear &= values.setdefault(key, words.text[at[p + i]]) == words.text[at[p + i]]
             if clear:
                 out.setdefault(k, set()).update(s[3] for s in spots)
-        return sorted((self.slots[k][0], len(w)) for k, w in out.items() if len(w) >= self.needed[k])
+        held = {k: len(w) for k, w in out.items() if len(w) >= self.needed[k]}
+        if self.whole.rows:
+            exact = words.exact[every]
+            places: dict[tuple[int, int], int] = {}
+            for p, _, (k, q) in self.whole.find(exact[exact != 0]):
+                places[k, p - q] = places.get((k, p - q), 0) + 1
+            held |= {k: n for (k, _), n in places.items() if n == self.needed[k]}
+        return sorted((self.slots[k][0], n) for k, n in held.items())
 
 
 def _look(shared):
@@ -169,10 +232,14 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     """(id, items, windows): the benchmark items that each row of ``docs`` holds, re-parameterised or not.
 
     Words are compared in lower case without the punctuation around them.  Numbers, names (words in capitals
-    that do not begin a sentence) and units after numbers become typed slots.  The windows of 8 words of the
+    that do not begin a sentence) and units after numbers become typed slots; each character of a script without
+    spaces is a word.  The windows of 8 words of the
     benchmark's templates are looked up by hash in those of whole documents.  The windows of one occurrence of
     an item count if equal slot values of the item always meet equal values in the document.  An item is held
-    if 3 of its windows count, or all if it has fewer; items of fewer than 4 words are never held.
+    if 3 of its windows count (13 of characters), or all if it has fewer.  An item with no window of 4 words outside
+    of slots (short, or mostly numbers and names) is held where all its words stand as they are, signs and operators
+    too.  An item's first word also counts where the document's words before it make it a name or unit.  Only items of
+    fewer than 3 runs of letters or digits are never held: a single word or two are in any text.
 
     The benchmark is split by size into slices that fit into memory; each slice takes one pass over the
     documents, so the size of what is broadcast is bounded.  Null texts hold nothing, null items are left out;

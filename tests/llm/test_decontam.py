@@ -37,3 +37,15 @@ def test_rows_are_kept_whole(spark):
     assert left.columns == docs.columns and left.count() == 3 and left.where("doc_id = 1").count() == 0
     assert decontam.contamination(docs.where("false"), bench).count() == 0
     assert decontam.contamination(docs, bench.where("false")).count() == 4
+
+
+def test_exact_copies_of_short_arithmetic_unspaced_and_mid_line_items(spark):
+    items = [
+        (1, "What is 12 times 7?"), (2, "Compute 12 + 34 - 56"), (3, "北京是哪个国家的首都，它有多少人口？"), (4, "Compute 9+16"),
+        (5, "Which of these rivers flows north"), (6, "Alice Bob Carol 1 2 3 Dave Erin Frank 4 5 6"), (7, "In which year did the war end"), (8, "日本の首都"),
+    ]
+    texts = ["so What is 12 times 7? yes", "what is 12 times 8?", "now compute 12 + 34 - 56.", "compute 12 - 34 + 56", "他问：北京是哪个国家的首都，它有多少人口？谢谢", "北京是哪个城市", "please compute 9+16!",
+        "we ask Which of these rivers flows north now", "we ask Where of these rivers flows north now", "x Alice Bob Carol 1 2 3 Dave Erin Frank 4 5 6", "Alice Bob Carol 1 2 3 Dave Erin Frank 4 5 7", "page 12 In which year did the war end", "これは日本の首都です"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.id: list(r.items) for r in decontam.contamination(docs, spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert [got[i] for i in range(len(texts))] == [[1], [], [2], [], [3], [], [4], [5], [], [6], [], [7], [8]]
