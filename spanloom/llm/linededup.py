@@ -13,10 +13,14 @@ from .components import connected_components
 
 #: Characters in a shingle, and the least Jaccard similarity of two lines that count as one.
 SHINGLE, SIMILAR = 8, 0.8
+#: Lines of at most ``FINE_MOST`` characters are compared by shingles of ``FINE`` characters as well, where asked for.
+FINE, FINE_MOST = 3, 100
 #: Bands and rows of each: lines of similarity 0.8 share a band with probability 1 - (1 - 0.8**3)**14 = 0.99996.
 BANDS, ROWS = 14, 3
-#: Shorter lines, after normalising, are never removed.
+#: Shorter lines, after normalising, have no shingles of ``SHINGLE`` characters; by default they take no part.
 MIN_CHARS = 24
+#: Arguments with which every line that is not blank takes part: a date or a letter sets no two short lines apart.
+EVERY_LINE = {"min_chars": 1, "fine": True}
 SEED = 9
 
 _rng = np.random.default_rng(20240607)
@@ -33,37 +37,38 @@ def line_key(norm: str) -> int:
     return h - (1 << 64) if h >> 63 else h
 
 
-def shingle_hashes(norms: list[str]) -> tuple[np.ndarray, np.ndarray]:
+def shingle_hashes(norms: list[str], size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
     """32-bit hashes of the character shingles of all lines, and where each line's begin.
 
-    Lines have ``SHINGLE`` characters at least.
+    Lines have ``size`` characters at least.
     """
     points = np.frombuffer("".join(norms).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
     sizes = np.fromiter(map(len, norms), np.int64, len(norms))
-    h = np.zeros(len(points) - SHINGLE + 1, np.uint64)
-    for i in range(SHINGLE):
+    h = np.zeros(len(points) - size + 1, np.uint64)
+    for i in range(size):
         h *= _MIX[0]
         h += points[i : i + len(h)]
     h ^= h >> np.uint64(32)
     h *= _MIX[1]
     ends = np.cumsum(sizes)
     inside = np.ones(len(h), bool)
-    for i in range(1, SHINGLE):  # no shingle reaches into the next line
+    for i in range(1, size):  # no shingle reaches into the next line
         inside[ends[:-1] - i] = False
-    return (h[inside] >> np.uint64(32)).astype(np.uint32), np.concatenate(([0], np.cumsum(sizes - SHINGLE + 1)[:-1]))
+    return (h[inside] >> np.uint64(32)).astype(np.uint32), np.concatenate(([0], np.cumsum(sizes - size + 1)[:-1]))
 
 
 #: Characters that are hashed in one go.
 PART = 1 << 18
 
 
-def band_keys(norms: list[str]) -> np.ndarray:
-    """A row of ``BANDS`` 64-bit keys for each line."""
-    return np.concatenate([np.zeros((0, BANDS), np.uint64), *(_band_keys(p) for p in _parts(norms))])
+def band_keys(norms: list[str], size: int = SHINGLE) -> np.ndarray:
+    """A row of ``BANDS`` 64-bit keys for each line: odd ones, or even ones of shingles of ``FINE`` characters."""
+    keys = np.concatenate([np.zeros((0, BANDS), np.uint64), *(_band_keys(p, size) for p in _parts(norms))])
+    return keys >> np.uint64(1) << np.uint64(1) | np.uint64(size != FINE)
 
 
-def _band_keys(norms: list[str]) -> np.ndarray:
-    h, starts = shingle_hashes(norms)
+def _band_keys(norms: list[str], size: int) -> np.ndarray:
+    h, starts = shingle_hashes(norms, size)
     hashed = np.empty_like(h)
     out = np.zeros((len(norms), BANDS), np.uint64)
     for band in range(BANDS):
@@ -76,8 +81,8 @@ def _band_keys(norms: list[str]) -> np.ndarray:
     return out
 
 
-def shingles(line: str) -> frozenset:
-    return frozenset(line[i : i + SHINGLE] for i in range(max(1, len(line) - SHINGLE + 1)))
+def shingles(line: str, size: int = SHINGLE) -> frozenset:
+    return frozenset(line[i : i + size] for i in range(max(1, len(line) - size + 1)))
 
 
 #: Bits of the maps that spare most comparisons.
@@ -97,11 +102,11 @@ def _parts(norms: list[str]):
         yield part
 
 
-def shingle_maps(norms: list[str]) -> list[int]:
+def shingle_maps(norms: list[str], size: int = SHINGLE) -> list[int]:
     """For each line an integer that has the bits of its shingles' hashes set."""
     out = []
     for part in _parts(norms):
-        h, starts = shingle_hashes(part)
+        h, starts = shingle_hashes(part, size)
         bits = np.zeros((len(part), MAP_BITS), bool)
         bits[np.repeat(np.arange(len(part)), np.diff(np.append(starts, len(h)))), h % MAP_BITS] = True
         out += [int.from_bytes(row.tobytes(), "little") for row in np.packbits(bits, axis=1)]
@@ -133,7 +138,7 @@ def join_all(n: int, close, side: list[int] | None = None) -> list[tuple[int, in
     return out
 
 
-def linked(norms: list[str], maps: list[int], side: list[int] | None = None, least: float = SIMILAR) -> list[tuple[int, int]]:
+def linked(norms: list[str], maps: list[int], side: list[int] | None = None, least: float = SIMILAR, size: int = SHINGLE) -> list[tuple[int, int]]:
     """Pairs of lines of an exact Jaccard similarity of ``least`` or more, enough of them to join all that are linked.
 
     All are compared with the first.  Then lines of different components are, until one link joins these: links
@@ -142,7 +147,7 @@ def linked(norms: list[str], maps: list[int], side: list[int] | None = None, lea
     of different sides are compared.
     """
     ones = [m.bit_count() for m in maps]
-    most = [max(1, len(n) - SHINGLE + 1) for n in norms]
+    most = [max(1, len(n) - size + 1) for n in norms]
     sets: dict[int, frozenset] = {}
 
     def close(x: int, y: int) -> bool:
@@ -153,7 +158,7 @@ def linked(norms: list[str], maps: list[int], side: list[int] | None = None, lea
             return False
         for k in (x, y):
             if k not in sets:
-                sets[k] = shingles(norms[k])
+                sets[k] = shingles(norms[k], size)
         a, b = sets[x], sets[y]
         common = len(a & b)
         return common >= least * (len(a) + len(b) - common)
@@ -189,7 +194,7 @@ def _distinct(b: pd.DataFrame, min_chars: int) -> dict[int, str]:
     return {line_key(n): n for n in norms}
 
 
-def buckets(docs: DataFrame, id_col: str, text_col: str, min_chars: int = MIN_CHARS) -> DataFrame:
+def buckets(docs: DataFrame, id_col: str, text_col: str, min_chars: int = MIN_CHARS, fine: bool = False) -> DataFrame:
     """(key, h): the lines that share a band's key with another.
 
     Tasks pack keys and lines by the key's remainder and send each pair once, so a line that very many
@@ -200,8 +205,10 @@ def buckets(docs: DataFrame, id_col: str, text_col: str, min_chars: int = MIN_CH
     def pack(batches):
         for b in batches:
             known = _distinct(b, min_chars)
-            keys = band_keys(list(known.values()))
-            h = np.repeat(np.fromiter(known, np.int64, len(known)), BANDS)
+            usual = {h: n for h, n in known.items() if len(n) >= max(SHINGLE, MIN_CHARS if fine else 0)}
+            short = {h: n for h, n in known.items() if FINE <= len(n) <= FINE_MOST} if fine else {}
+            keys = np.concatenate((band_keys(list(usual.values())), band_keys(list(short.values()), FINE)))
+            h = np.repeat(np.fromiter((*usual, *short), np.int64, len(keys)), BANDS)
             keys = keys.ravel().view(np.int64)
             at = (keys.view(np.uint64) % np.uint64(parts)).astype(np.int32)
             order = np.argsort(at, kind="stable")
@@ -267,7 +274,7 @@ BLOCK = 2048
 def links(members: DataFrame, texts: DataFrame, block: int = BLOCK) -> DataFrame:
     """(u, v): similar lines that share a bucket, enough to join all that are linked.
 
-    A line's text comes once to each of its buckets, not once to each pair.
+    A line's text comes once to each of its buckets, not once to each pair.  Even keys are of short shingles.
     """
     parts = 8 * int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     large = members.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > block)
@@ -283,35 +290,39 @@ def links(members: DataFrame, texts: DataFrame, block: int = BLOCK) -> DataFrame
         new[1:] = (place[1:] != place[:-1]).any(axis=1)
         starts = np.append(np.flatnonzero(new), len(b))
         h, own, norms, out = b["h"].to_numpy(np.int64), b["own"].to_numpy(), b["norm"].tolist(), []
-        maps = shingle_maps(norms)
+        maps = [0] * len(norms)
+        for size, rows_of in ((SHINGLE, np.flatnonzero(place[:, 0] & 1)), (FINE, np.flatnonzero(place[:, 0] & 1 == 0))):
+            for k, m in zip(rows_of.tolist(), shingle_maps([norms[k] for k in rows_of.tolist()], size)):
+                maps[k] = m
         for s, e in zip(starts, starts[1:]):
-            side = None if place[s, 1] == place[s, 2] else own[s:e].tolist()
-            out += [(h[s + x], h[s + y]) for x, y in linked(norms[s:e], maps[s:e], side)]
+            side, size = None if place[s, 1] == place[s, 2] else own[s:e].tolist(), SHINGLE if place[s, 0] & 1 else FINE
+            out += [(h[s + x], h[s + y]) for x, y in linked(norms[s:e], maps[s:e], side, size=size)]
         found = np.array(out, np.int64).reshape(-1, 2)
         return pd.DataFrame({"u": np.minimum(found[:, 0], found[:, 1]), "v": np.maximum(found[:, 0], found[:, 1])})
 
     return rows.groupBy("part").applyInPandas(verify, "u long, v long").distinct()
 
 
-def line_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS) -> DataFrame:
+def line_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS, fine: bool = False) -> DataFrame:
     """(h, component) for the distinct lines that are linked to another."""
-    members = stash(buckets(docs, id_col, text_col, min_chars), "members")
+    members = stash(buckets(docs, id_col, text_col, min_chars, fine), "members")
     texts = texts_of(docs, members.select("h"), id_col, text_col, min_chars)
     named = connected_components(stash(links(members, texts), "links"))
     return named.select(F.col("id").alias("h"), "component")
 
 
-def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS) -> DataFrame:
+def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS, fine: bool = False) -> DataFrame:
     """(id, removed): the numbers of the lines that go, in order, for each document that loses one.
 
     Lines end at ``\\n``.  They are compared in lower case with white space collapsed.  Of each component of lines
     of similarity 0.8 or more the one of the smallest (id, line) stays.  Lines under ``min_chars`` characters
-    stay.  Rows with a null id keep all lines and remove none; null texts have none.  Rows that repeat an id are treated as
+    stay.  If ``fine``, two lines of at most 100 characters are alike by shingles of 3 characters too, and lines of
+    fewer characters than a shingle if they are equal.  Rows with a null id keep all lines and remove none; null texts have none.  Rows that repeat an id are treated as
     one document: a line number goes from all of them.  An empty table gives an empty one.
     """
     found = stash(lines(docs, id_col, text_col, min_chars), "occurrences")
     first = found.groupBy("h").agg(F.min(F.struct("id", "line")).alias("first"), F.count("*").alias("n"))
-    named = line_components(docs, id_col, text_col, min_chars)
+    named = line_components(docs, id_col, text_col, min_chars, fine)
     joined = stash(first.join(named, "h", "left").where("n > 1 or component is not null"), "repeated")
     best = joined.where("component is not null").groupBy("component").agg(F.min("first").alias("best"))
     decided = joined.join(best, "component", "left").select("h", F.coalesce("best", "first").alias("stays"))

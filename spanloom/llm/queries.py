@@ -55,7 +55,7 @@ def op9_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_linededup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    gone = linededup.removals(docs).withColumnRenamed("id", "doc_id")
+    gone = linededup.removals(docs, **linededup.EVERY_LINE).withColumnRenamed("id", "doc_id")
     size = F.coalesce(F.size(F.split("text", "\n")), F.lit(0)).alias("n_lines")
     counted = docs.select("doc_id", size).join(gone, "doc_id", "left")
     return counted.select("doc_id", "n_lines", F.coalesce(F.size("removed"), F.lit(0)).alias("n_removed"), F.coalesce(F.array_join("removed", ","), F.lit("")).alias("removed"))

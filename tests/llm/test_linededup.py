@@ -88,3 +88,14 @@ def test_blocks_of_a_bucket_lose_no_link(spark):
     texts = spark.createDataFrame(list(enumerate(norms)), "h long, norm string")
     for block in (7, 1000):
         assert groups([(r.u, r.v) for r in linededup.links(members, texts, block).collect()]) == groups(close)
+
+
+def test_query_removes_short_lines_and_date_variants(spark, tmp_path):
+    from spanloom.llm import queries
+
+    texts = [
+        "All rights reserved.\nOk\n\ncopyright 2019 the example authors, all rights reserved", "all  rights reserved.\nok\n\ncopyright 2020 the example authors, all rights reserved",
+        "All rights removed!\nno", "the quick brown fox jumps over it", "the quick brown fax jumps over it",
+    ]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert {r.doc_id: r.removed for r in queries.op10_linededup(spark, str(tmp_path)).collect()} == {0: "", 1: "0,1,3", 2: "", 3: "", 4: "0"}
