@@ -13,8 +13,8 @@ _VALUE = "[A-Za-z0-9+/_.=-]"
 _ASSIGN = rf"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?({_VALUE}++)"""
 #: Runs are taken only where they begin, so that long texts of such characters take linear time.
 PATTERNS = {"assign": _ASSIGN, "access": r"AKIA[A-Z0-9]{16,}+", "hex": r"(?<![0-9a-f])[0-9a-f]{24,}+"}
-#: Words that may repeat a known credential without a name before it.
-BARE = r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*[0-9])(?=[0-9+/_=-]*[A-Za-z])[A-Za-z0-9+/_=-]{12,}+"
+#: Words that may repeat a known credential without a name before it: all that an assigned value may be.
+BARE = rf"(?<!{_VALUE}){_VALUE}{{6,}}+"
 #: A value that so many owners, or repositories, have is a copied example.
 EXAMPLE_OWNERS, EXAMPLE_REPOSITORIES = 3, 25
 
@@ -23,8 +23,20 @@ def _value(kind: str, m: Column) -> Column:
     return F.regexp_extract(m, _ASSIGN, 2) if kind == "assign" else m
 
 
+def _undotted(m: Column) -> Column:
+    """The value without a sentence's full stops after it."""
+    return F.rtrim(m, F.lit("."))
+
+
 def _hashed(name: str) -> Column:
-    return F.transform(name, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), F.xxhash64(_value(name, x["match"])).alias("value")))
+    return F.transform(name, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), F.xxhash64(_undotted(_value(name, x["match"]))).alias("value")))
+
+
+def _hashed_words() -> Column:
+    """Bare words; ``plain`` ones have no digit and may be ordinary words."""
+    return F.transform("bare", lambda x: F.struct(
+        x["start"].alias("start"), (x["start"] + F.length(_undotted(x["match"]))).alias("end"), F.xxhash64(_undotted(x["match"])).alias("value"), (~x["match"].rlike("[0-9]")).alias("plain"),
+    ))
 
 
 def _scan(docs: DataFrame, id_col: str, text_col: str, owner_col: str) -> DataFrame:
@@ -33,9 +45,9 @@ def _scan(docs: DataFrame, id_col: str, text_col: str, owner_col: str) -> DataFr
         rows = with_matches(rows, kind, "text", PATTERNS[kind])
     rows = rows.withColumn("assign", F.filter("assign", lambda x: F.length(_value("assign", x["match"])) >= 6))
     rows = with_matches(rows, "bare", "text", BARE).drop("text")
-    for name in (*KINDS, "bare"):
+    for name in KINDS:
         rows = rows.withColumn(name, _hashed(name))
-    return rows
+    return rows.withColumn("bare", _hashed_words())
 
 
 def ownership(values: DataFrame) -> DataFrame:
@@ -54,7 +66,8 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_
 
     A repository is a row, its owner is ``owner_col``.  Base matches give candidate values.  Those that few
     owners and repositories have look live; where such a value stands elsewhere without a name before it and
-    outside base spans, that place is added as a span of its kind.  n_live and n_example count base matches
+    outside base spans, that place is added as a span of its kind, with or without a full stop after it.  Only where
+    a value without a digit stands bare with ``EXAMPLE_OWNERS`` owners or more is it an ordinary word and not added.  n_live and n_example count base matches
     by what their value is.  Spans are (start, kind, end) in code points, the end exclusive, kind an index of
     KINDS.  A null text is empty, a null owner is no owner; repeated rows are repositories each; an empty
     table gives an empty one.
@@ -67,8 +80,10 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_
     counts = base.join(owned.select("value", "example"), "value").groupBy("row").agg(
         F.count(F.when(~F.col("example"), 1)).alias("n_live"), F.count(F.when(F.col("example"), 1)).alias("n_example")
     )
-    bare = scanned.select("row", F.explode("bare").alias("x")).select("row", F.col("x.start").alias("start"), F.col("x.end").alias("end"), F.col("x.value").alias("value"))
-    new = bare.join(owned.where("not example").select("value", "kind"), "value").groupBy("row").agg(F.collect_set(F.struct("start", "kind", "end")).alias("new"))
+    bare = scanned.select("row", "owner", F.explode("bare").alias("x")).select("row", "owner", F.col("x.start").alias("start"), F.col("x.end").alias("end"), F.col("x.value").alias("value"), F.col("x.plain").alias("plain"))
+    places = stash(bare.join(owned.where("not example").select("value", "kind"), "value"), "places")
+    ordinary = places.where("plain").select("value", "owner").distinct().groupBy("value").agg(F.count("owner").alias("owners")).where(F.col("owners") >= EXAMPLE_OWNERS)
+    new = places.join(ordinary.select("value"), "value", "left_anti").groupBy("row").agg(F.collect_set(F.struct("start", "kind", "end")).alias("new"))
     spans = F.array_sort(F.concat(*(of_kind(F.col(kind), k) for k, kind in enumerate(KINDS))))
     rows = scanned.select("id", "row", spans.alias("base"), *(F.size(kind).cast("long").alias(f"n_{kind}") for kind in KINDS))
     rows = rows.join(counts, "row", "left").join(new, "row", "left")

@@ -83,3 +83,13 @@ def test_ownership_parts_examples_from_live_values(spark):
     assert got[10].n_live == 1
     assert [(x.start, x.end) for x in got[11].spans] == [(6, 19)]
     assert got[12].spans == []
+
+
+def test_short_lettered_and_dotted_values_repeat(spark):
+    values = ["hunterq", "aB3xyz", "eyJhbG1.eyJzdW2.c2lnbm3", "zq81kd92mcls0."]
+    rows = [(k, f"password={v}", "a") for k, v in enumerate(values)] + [(10 + k, f"seen {v.rstrip('.')}. Then", "b") for k, v in enumerate(values)]
+    rows += [(20, "secret: required", "a")] + [(30 + k, "it is required here", f"o{k}") for k in range(3)]
+    got = {r.id: [(x.start, x.end) for x in r.spans] for r in credentials.find(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
+    for k, v in enumerate(values):
+        assert got[10 + k] == [(5, 5 + len(v.rstrip(".")))]
+    assert got[30] == got[31] == []
