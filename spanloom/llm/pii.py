@@ -18,8 +18,9 @@ PATTERNS = {
     "phone": r"\+[0-9][ ().0-9-]+[0-9]",
 }
 _BYTE = "0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
-#: Words that may be an identifier: a digit or @ is in them.
-CANDIDATE = r"(?<!\S)[^\s0-9@]*+[0-9@]\S*+"
+#: Words that may be an identifier: a digit, @ or what is written for it is in them.
+_AT = r"[(\[]at[)\]]"
+CANDIDATE = rf"(?<!\S)(?:(?!{_AT})[^\s0-9@])*+(?:[0-9@]|{_AT})\S*+"
 #: Rounds of scoring, seeds that a pattern needs, and the score from which its other instances are believed.
 ROUNDS, LEAST_SEEDS, BELIEVED = 3, 3, 0.75
 #: What an instance of each kind must look like to be believed.
@@ -67,7 +68,7 @@ def _scan(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     for kind in KINDS:
         rows = with_matches(rows, kind, "text", PATTERNS[kind], some[kind])
         rows = rows.withColumn(kind, _valid(kind))
-    rows = with_matches(rows, "word", "text", CANDIDATE, digit | some["email"])
+    rows = with_matches(rows, "word", "text", CANDIDATE, digit | some["email"] | F.contains("text", F.lit("(at)")) | F.contains("text", F.lit("[at]")))
     return rows.withColumn("word", F.filter("word", lambda x: F.length(x["match"]).between(4, 80))).drop("text")
 
 

@@ -93,3 +93,9 @@ def test_short_lettered_and_dotted_values_repeat(spark):
     for k, v in enumerate(values):
         assert got[10 + k] == [(5, 5 + len(v.rstrip(".")))]
     assert got[30] == got[31] == []
+
+
+def test_addresses_with_at_in_words(spark):
+    rows = [(i, f"mail person{i}@example.com now", "s") for i in range(40)] + [(100, "mail jane(at)example.com now", "s"), (101, "mail jane[at]example.org now", "s"), (102, "mail person[s] (at home) now", "s")]
+    got = {r.id: [(x.start, x.end) for x in r.added] for r in pii.find(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
+    assert got[100] == [(5, 24)] and got[101] == [(5, 24)] and got[102] == []
