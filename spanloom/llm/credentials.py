@@ -15,8 +15,8 @@ _ASSIGN = rf"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["'
 PATTERNS = {"assign": _ASSIGN, "access": r"AKIA[A-Z0-9]{16,}+", "hex": r"(?<![0-9a-f])[0-9a-f]{24,}+"}
 #: Words that may repeat a known credential without a name before it: all that an assigned value may be.
 BARE = rf"(?<!{_VALUE}){_VALUE}{{6,}}+"
-#: A value that so many owners, or repositories, have is a copied example.
-EXAMPLE_OWNERS, EXAMPLE_REPOSITORIES = 3, 25
+#: A value that so many owners have is a copied example, however many repositories of one owner have it.
+EXAMPLE_OWNERS = 3
 
 
 def _value(kind: str, m: Column) -> Column:
@@ -58,14 +58,14 @@ def ownership(values: DataFrame) -> DataFrame:
     """
     by_owner = values.distinct().groupBy("value", "owner").agg(F.count("*").alias("n"))
     wide = by_owner.groupBy("value").agg(F.sum("n").alias("repositories"), F.count("owner").alias("owners"))
-    return wide.withColumn("example", (F.col("owners") >= EXAMPLE_OWNERS) | (F.col("repositories") >= EXAMPLE_REPOSITORIES))
+    return wide.withColumn("example", F.col("owners") >= EXAMPLE_OWNERS)
 
 
 def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source") -> DataFrame:
     """(id, n_assign, n_access, n_hex, base, spans, n_live, n_example) for each row of ``docs``.
 
     A repository is a row, its owner is ``owner_col``.  Base matches give candidate values.  Those that few
-    owners and repositories have look live; where such a value stands elsewhere without a name before it and
+    owners have look live; where such a value stands elsewhere without a name before it and
     outside base spans, that place is added as a span of its kind, with or without a full stop after it.  Only where
     a value without a digit stands bare with ``EXAMPLE_OWNERS`` owners or more is it an ordinary word and not added.  n_live and n_example count base matches
     by what their value is.  Spans are (start, kind, end) in code points, the end exclusive, kind an index of

@@ -99,3 +99,10 @@ def test_addresses_with_at_in_words(spark):
     rows = [(i, f"mail person{i}@example.com now", "s") for i in range(40)] + [(100, "mail jane(at)example.com now", "s"), (101, "mail jane[at]example.org now", "s"), (102, "mail person[s] (at home) now", "s")]
     got = {r.id: [(x.start, x.end) for x in r.added] for r in pii.find(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
     assert got[100] == [(5, 24)] and got[101] == [(5, 24)] and got[102] == []
+
+
+def test_copies_of_one_owner_make_no_example(spark):
+    rows = [(i, "token: zq81kd92mcls0", "a") for i in range(40)] + [(50, "found zq81kd92mcls0 in logs", "a")]
+    got = {r.id: r for r in credentials.find(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
+    assert got[0].n_live == 1 and got[0].n_example == 0
+    assert [(x.start, x.end) for x in got[50].spans] == [(6, 19)]
