@@ -81,13 +81,14 @@ class Tree:
             todo += [(kid, part) for k, kid in enumerate(self.children[node]) if len(part := rows[at == k])]
         return out
 
-    def visit(self, q: np.ndarray, most: int) -> list[int]:
-        """Leaves in the order of a best-bin-first traversal."""
-        queue, out, n = [(0.0, 0, 0)], [], 0
-        while queue and len(out) < most:
+    def visit(self, q: np.ndarray, most: int, held: np.ndarray | None = None, want: int = 0) -> list[int]:
+        """Leaves in the order of a best-bin-first traversal: ``most``, and more until they hold ``want`` ids."""
+        queue, out, n, got = [(0.0, 0, 0)], [], 0, 0
+        while queue and (len(out) < most or got < want):
             _, _, node = heapq.heappop(queue)
             if not self.children[node]:
                 out.append(self.leaf_no[node])
+                got += int(held[out[-1]]) if held is not None else want
                 continue
             for kid, near in zip(self.children[node], self.centres[node] @ q):
                 heapq.heappush(queue, (-float(near), n := n + 1, kid))
@@ -163,7 +164,8 @@ def search(vectors: DataFrame, k: int, is_query, id_col: str = "vec_id", vec_col
     """(query_id, rank, vec_id, score): the ``k`` nearest found of each row for which column ``is_query`` holds.
 
     The tree is fitted on a bounded sample, every vector is put into a leaf of it.  A query goes through the
-    tree by a priority queue and visits as many leaves as the sample's own queries needed for the wished recall.
+    tree by a priority queue and visits as many leaves as the sample's own queries needed for the wished recall,
+    and more while these hold fewer than ``k`` ids besides its own.
     Queries meet vectors leaf by leaf, in blocks: a leaf of many vectors or queries is cut, and each block of
     its queries meets each block of its vectors, so a vector that is repeated very often is split as well.
     Each block keeps k of a query, and the best of all blocks are taken.  Scores are cosines in double
@@ -183,9 +185,14 @@ def search(vectors: DataFrame, k: int, is_query, id_col: str = "vec_id", vec_col
 
     @F.pandas_udf("array<long>")
     def leaves_of(v: pd.Series) -> pd.Series:
-        return pd.Series([shared.value.visit(u, visits) for u in _unit(v)] if len(v) else [], dtype=object)
+        return pd.Series([shared.value.visit(u, visits, ids.value, k + 1) for u in _unit(v)] if len(v) else [], dtype=object)
 
     placed = stash(usable.withColumn("leaf", leaf_of("v")), "placed")
+    # ids by leaf, each counted in one; as many rows as the tree has leaves
+    counts = placed.groupBy("id").agg(F.min("leaf").alias("leaf")).groupBy("leaf").agg(F.count("*").alias("n")).toPandas()
+    held = np.zeros(max(1, tree.leaves), np.int64)
+    held[counts["leaf"].to_numpy(np.int64)] = counts["n"].to_numpy(np.int64)
+    ids = spark.sparkContext.broadcast(held)
     asked = stash(usable.where(is_query(F.col("id"))).withColumn("leaf", F.explode(leaves_of("v"))), "asked")
     # as many rows as the tree has leaves
     sizes = placed.groupBy("leaf").agg(F.expr(f"cast(ceil(count(*) / {BLOCK_VECTORS}) as int)").alias("vb"))

@@ -51,3 +51,12 @@ def test_awkward_vectors(spark):
     assert run(spark, [(0, same)]) == {}
     assert run(spark, rows[:1] + [(3, [1.0, 0.0])])[0][0] == [3]
     assert run(spark, []) == {}
+
+
+def test_outliers_get_k_neighbours(spark, monkeypatch):
+    monkeypatch.setattr(kmtree, "calibrate", lambda *_: 1)  # as with tight clusters
+    rng = np.random.default_rng(6)
+    rows = [(i, (np.eye(8)[i % 4] + 1e-3 * rng.normal(size=8)).astype(np.float32).tolist()) for i in range(1, 1200) if i % 50]
+    rows += [(50 * k, (-np.eye(8)[k]).astype(np.float32).tolist()) for k in range(8)]
+    got = run(spark, rows)
+    assert sorted(got) == [50 * k for k in range(8)] and all(len(x[0]) == 5 for x in got.values())
