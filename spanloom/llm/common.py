@@ -10,7 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: While a step is written: its shuffle files go when it ends, and Python gets batches that stay small with long texts.
-_WRITING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxRecordsPerBatch": "2000"}
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+_WRITING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", _BATCH: "2000"}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,10 +34,13 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 @contextmanager
-def tidy(spark: SparkSession):
-    """Queries planned inside run with the settings of ``_WRITING``; the session's own come back afterwards."""
+def tidy(spark: SparkSession, rows: int = 0):
+    """Queries planned inside run with the settings of ``_WRITING``; the session's own come back afterwards.
+
+    ``rows``: rows that come to a Python worker at once, if fewer than usual.
+    """
     before = {k: spark.conf.get(k) for k in _WRITING}
-    for k, v in _WRITING.items():
+    for k, v in (_WRITING | ({_BATCH: str(rows)} if rows else {})).items():
         spark.conf.set(k, v)
     try:
         yield
@@ -45,14 +49,14 @@ def tidy(spark: SparkSession):
             spark.conf.set(k, v)
 
 
-def stash(df: DataFrame, name: str) -> DataFrame:
+def stash(df: DataFrame, name: str, rows: int = 0) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back: lineage ends here.
 
-    Its shuffle files go at once.  The files survive lost executors.  They go when the application ends.
+    Python workers get ``rows`` rows at once, if given.  Its shuffle files go at once.  The files survive lost executors.  They go when the application ends.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    with tidy(spark):
+    with tidy(spark, rows):
         df.write.parquet(path)
     jvm = spark.sparkContext._jvm
     where = jvm.org.apache.hadoop.fs.Path(path)

@@ -12,7 +12,6 @@ from spanloom.llm import packing
 
 def ids_of(texts):
     t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
     return [e.ids for e in t.encode_batch(texts, add_special_tokens=False)]
 
 
@@ -22,18 +21,26 @@ AWKWARD = [
 ]
 
 
-def test_ids_are_the_tokenizers(monkeypatch):
-    known = packing.Known(packing.default_tokenizer())
+def test_ids_are_the_tokenizers():
+    known = packing.Encoder(packing.default_tokenizer())
+    assert known.fast is not None
     rng = random.Random(1)
     texts = AWKWARD + ["".join(rng.choice("ab 'sélé\n\t1.😀<| ") for _ in range(rng.randint(1, 80))) for _ in range(500)]
-    monkeypatch.setattr(packing, "REMEMBERED", 50)
+    texts += ["a" * packing.LONG_RUN + " <|endoftext|>", "a" * (packing.LONG_RUN + 1), " " * 200_000 + "x", "ab" * 100_000, "x \n" * 3000]
     for text, ids in zip(texts, ids_of(texts)):
-        assert np.frombuffer(known.text(text), "<u4").tolist() == ids, text
+        assert np.frombuffer(known.ids(text), "<u4").tolist() == ids, text
+    assert ids_of(["x <|endoftext|> y"]) == [[87, 220, 50256, 331]]
+
+
+def test_other_tokenizers_are_taken_as_they_are():
+    other = packing.Encoder(public_tokenizers.path("word_bpe_49k.json"))
+    assert other.fast is None
+    assert np.frombuffer(other.ids("Some Words"), "<u4").tolist() == Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json")).encode("Some Words", add_special_tokens=False).ids
 
 
 def test_pieces_and_sequences(spark):
     rng = random.Random(4)
-    rows = [(i, "ab cd " * rng.randint(0, 900), "x") for i in range(120)] + [(500, None, "x"), (501, "word " * 9000, "x"), (502, "ab", "y"), (502, "ab", "y"), (None, "n", "z")]
+    rows = [(i, "ab cd " * rng.randint(0, 900), "x") for i in range(120)] + [(500, None, "x"), (501, "word " * 9000, "x"), (502, "ab", "y"), (502, "ab", "y"), (None, "n", "z"), (-(1 << 63), "n", "z"), ((1 << 63) - 1, "m", "z")]
     rows += [(600 + i, t, "x") for i, t in enumerate(AWKWARD)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, sequence_id string").repartition(3)
     cut = packing.pieces(docs)
