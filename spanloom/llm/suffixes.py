@@ -13,16 +13,22 @@ from pyspark.sql import functions as F
 
 from .common import stash, text_or_empty, tidy
 
-#: Bytes of a repeated string, and of the first digit: the anchor, which stands at one of SPAN places in it.
+#: Bytes of a repeated string, and of the first part of a suffix that is sorted, which stands at one of SPAN places in it.
 LENGTH, DIGIT = 50, 24
 REACH = LENGTH - DIGIT
 SPAN = REACH + 1
 #: Bytes of text that are looked at in one go.
 SEGMENT = 1 << 17
-#: Bytes of text whose keys are put together before they are sent.
+#: Bytes of text whose suffixes are put together before they are sent.
 BATCH = 2 << 20
-#: Bits of the sketches that say which first digits repeat.  They have this size whatever the input is.
-SKETCH_BITS = 27
+#: Bytes of text for each part that suffixes are dealt into: a part is sorted in memory.
+PART_BYTES = 8 << 20
+#: Bits of the sketch that says which first digits repeat: at least, and at most, whatever the input is.
+SKETCH_BITS, MOST_SKETCH_BITS = 27, 30
+#: Suffixes of one first digit that are sorted in one part; those of a digit with more are dealt by their whole strings.
+HOT = 500_000
+#: A context that so many documents of a batch have is remembered, so that a task sends it once; contexts remembered.
+OFTEN, REMEMBERED = 4, 50_000
 _POSITION = np.uint64((1 << 21) - 1)
 
 _rng = np.random.default_rng(50)
@@ -35,6 +41,14 @@ _INVERSE = np.full(len(_POWERS), pow(_R, -1, 1 << 64), np.uint64)
 _INVERSE[0] = 1
 _INVERSE = np.multiply.accumulate(_INVERSE)
 
+#: A suffix that is sent: 10 big-endian words to sort by (the digit, the bytes after it, those before it from right to
+#: left, how many of each), the document, and at how many places of it the suffix stands.
+_WORDS = 10
+_RIGHT, _LEFT, _SIZES = DIGIT, DIGIT + REACH, DIGIT + 2 * REACH
+_ROW = np.dtype([("word", ">u8", (_WORDS,)), ("id", "<i8"), ("h", "<i8"), ("times", "<u4")])
+#: A run to remove: of the document, from start to end.
+_RUN = np.dtype([("id", "<i8"), ("h", "<i8"), ("start", "<i8"), ("end", "<i8")])
+
 
 def _mix(h: np.ndarray) -> np.ndarray:
     h = h ^ (h >> np.uint64(32))
@@ -46,14 +60,15 @@ def _mix(h: np.ndarray) -> np.ndarray:
 
 
 class Found(NamedTuple):
-    """Suffixes at anchors: number of the text, first and last string that has this anchor, keys of the digits.
+    """Suffixes at anchors: number of the text, first and last string that has this anchor, its place, two hashes.
 
-    anchor: the first DIGIT bytes; context: all bytes that any string with this anchor can cover.
+    anchor: of the first DIGIT bytes; context: of all bytes of the strings that have this anchor.
     """
 
     text: np.ndarray
     first: np.ndarray
     last: np.ndarray
+    at: np.ndarray
     anchor: np.ndarray
     context: np.ndarray
 
@@ -65,8 +80,8 @@ class Found(NamedTuple):
         return text, start, hashes[start + np.repeat(base[which], n)]
 
 
-def suffixes(texts: list[bytes]) -> Iterator[tuple[Found, np.ndarray, np.ndarray]]:
-    """The sparse suffixes of texts, part by part, with keys of all strings and what to add to a start to find its own.
+def suffixes(texts: list[bytes], whole: bool = True) -> Iterator[tuple[Found, np.ndarray, np.ndarray]]:
+    """The sparse suffixes of texts, part by part; if ``whole``, keys of all strings and what to add to a start to find its own.
 
     Each string of LENGTH bytes is looked at through its anchor, the least of the hashes of its DIGIT-byte
     strings (the first of equal ones).  That depends on the string alone, so equal strings have equal anchors at
@@ -79,15 +94,15 @@ def suffixes(texts: list[bytes]) -> Iterator[tuple[Found, np.ndarray, np.ndarray
             e = min(s + SEGMENT, n - LENGTH + 1)
             b0, b1 = max(0, s - REACH), min(n, e + REACH + LENGTH)
             if size + b1 - b0 > SEGMENT and pieces:
-                yield _part(texts, pieces)
+                yield _part(texts, pieces, whole)
                 pieces, size = [], 0
             pieces.append((k, s, e, b0, b1, n))
             size += b1 - b0
     if pieces:
-        yield _part(texts, pieces)
+        yield _part(texts, pieces, whole)
 
 
-def _part(texts, pieces):
+def _part(texts, pieces, whole):
     k, s, e, b0, b1, n = np.array(pieces, np.int64).T
     at = np.concatenate(([0], np.cumsum(b1 - b0)))[:-1]
     x = np.frombuffer(b"".join(texts[p[0]][p[3] : p[4]] for p in pieces), np.uint8)
@@ -115,211 +130,369 @@ def _part(texts, pieces):
     last = np.append(first[1:], len(strings)) - 1
     p, a = piece[first], place[first]
     true = a - at[p] + b0[p]
-    left, right = np.minimum(REACH, true), np.minimum(REACH, n[p] - true - DIGIT)
-    context = _mix(key(a - left, DIGIT + left + right) + (left * 64 + right).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    left, bytes_ = a - strings[first], strings[last] - strings[first] + LENGTH
+    context = _mix(key(strings[first], bytes_) + (left * 128 + bytes_).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
     shift = b0[p] - at[p]
-    found = Found(k[p], strings[first] + shift, strings[last] + shift, _mix(digit[a]), context)
-    hashes = _mix((sums[LENGTH:] - sums[: len(sums) - LENGTH]) * _INVERSE[: len(sums) - LENGTH])
+    found = Found(k[p], strings[first] + shift, strings[last] + shift, true, _mix(digit[a]), context)
+    hashes = _mix((sums[LENGTH:] - sums[: len(sums) - LENGTH]) * _INVERSE[: len(sums) - LENGTH]) if whole else None
     return found, hashes, -shift
 
 
 class Sketch:
     """A set of 64-bit keys, by their first bits: may hold more than it should, never less."""
 
-    def __init__(self, parts: dict[int, bytes], bits: int):
-        size = (1 << SKETCH_BITS) // 8 // (1 << bits)
-        self.raw = np.zeros((1 << SKETCH_BITS) // 8, np.uint8)
+    def __init__(self, parts: dict[int, bytes], bits: int, size: int):
+        self.shift = np.uint64(64 - size)
+        each = (1 << size) // 8 >> bits
+        self.raw = np.zeros((1 << size) // 8, np.uint8)
         for part, raw in parts.items():
-            self.raw[part * size : part * size + size] = np.frombuffer(raw, np.uint8)
+            self.raw[part * each : part * each + each] = np.frombuffer(raw, np.uint8)
 
     def has(self, keys: np.ndarray) -> np.ndarray:
-        at = keys >> np.uint64(64 - SKETCH_BITS)
+        at = keys >> self.shift
         return (self.raw[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1
 
 
-def _dealt(keys: np.ndarray, columns: list[np.ndarray], bits: int) -> pd.DataFrame:
-    """Rows of 64-bit columns packed by the first ``bits`` of their keys."""
-    part = (keys >> np.uint64(64 - bits)).astype(np.int32)
+def _blobs(part: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, list[bytes]]:
+    """The parts that occur, and the rows of each as bytes."""
     order = np.argsort(part, kind="stable")
-    rows = np.stack([c.view(np.uint64)[order] for c in columns], axis=1)
     which, starts = np.unique(part[order], return_index=True)
-    return pd.DataFrame({"part": which, "rows": [x.tobytes() for x in np.split(rows, starts[1:])] if len(which) else []})
+    return which.astype(np.int32), [x.tobytes() for x in np.split(rows[order], starts[1:])] if len(which) else []
+
+
+def _joined(blobs, dtype) -> np.ndarray:
+    return np.frombuffer(b"".join(blobs), dtype)
+
 
+def _firsts(*columns: np.ndarray) -> np.ndarray:
+    """Which rows differ from the one before them."""
+    new = np.ones(len(columns[0]), bool)
+    if len(new):
+        new[1:] = np.logical_or.reduce([c[1:] != c[:-1] for c in columns])
+    return new
 
-def _rows(blobs, width: int) -> np.ndarray:
-    return np.concatenate([np.frombuffer(x, np.uint64).reshape(-1, width) for x in blobs])
 
+def _least(values: np.ndarray, new: np.ndarray) -> np.ndarray:
+    """For each row the least value of its run; runs begin where ``new``."""
+    starts = np.flatnonzero(new)
+    return np.repeat(np.minimum.reduceat(values, starts), np.diff(np.append(starts, len(values)))) if len(values) else values
 
-def _by_batch(batches, needs):
+
+def _by_batch(batches, needs, whole: bool = True):
     """The ids of each batch of about BATCH bytes, and the results of ``needs`` on its parts, joined."""
+    for _, rows, columns in _cut(batches, needs, whole):
+        yield rows["id"].to_numpy(np.int64), columns
+
+
+def _cut(batches, needs, whole: bool):
+    """As ``_by_batch``, with the texts and all columns of the rows."""
     for b in batches:
-        all_texts, all_ids = b["text"].tolist(), b["id"].to_numpy(np.int64)
-        begins = np.concatenate(([0], np.cumsum([len(t) for t in all_texts])))[:-1] // BATCH
-        for rows in np.split(np.arange(len(all_ids)), np.flatnonzero(np.diff(begins)) + 1):
-            texts = all_texts[rows[0] : rows[-1] + 1] if len(rows) else []
-            got = [x for f, h, base in suffixes(texts) if (x := needs(f, h, base)) is not None]
-            columns = [np.concatenate(c) for c in zip(*got)] if got else None
-            yield all_ids[rows], columns
+        sizes = np.cumsum([0, *map(len, b["text"])])[:-1] // BATCH
+        for rows in np.split(np.arange(len(b)), np.flatnonzero(np.diff(sizes)) + 1):
+            here = b.iloc[rows]
+            texts = here["text"].tolist()
+            got = [x for f, h, base in suffixes(texts, whole) if (x := needs(f, h, base)) is not None]
+            yield texts, here, [np.concatenate(c) for c in zip(*got)] if got else None
 
 
-def repeated_digits(docs: DataFrame, bits: int, within: Sketch | None = None) -> Sketch:
-    """The first digits that two documents have; given ``within``, those of them that stand in two contexts.
+def repeated_digits(docs: DataFrame, bits: int, size: int) -> tuple[Sketch, np.ndarray]:
+    """The first digits that two documents may have, and those that more than HOT suffixes have.
 
-    A batch of documents sends each digit once, or twice if it meets the condition by itself, so a digit
-    that is in very many documents is counted in many tasks first.
+    A batch of documents sends each digit as often as it will send suffixes of it, and twice at least if it meets
+    the condition by itself, so a digit that is in very many documents is counted in many tasks first.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(within)
 
     def send(batches):
-        def needs(f, h, base):
-            ok = slice(None) if shared.value is None else shared.value.has(f.anchor)
-            return f.anchor[ok], (f.text.astype(np.uint64) if shared.value is None else f.context)[ok]
-
-        for _, columns in _by_batch(batches, needs):
-            if columns is None:
+        for _, c in _by_batch(batches, lambda f, h, base: (f.anchor, f.context, f.text), False):
+            if c is None:
                 continue
-            pairs = np.unique(np.stack(columns, axis=1), axis=0) if len(columns[0]) < 1000 else _unique_pairs(*columns)
-            turn = np.ones(len(pairs), np.int64)
-            turn[1:] = np.where(pairs[1:, 0] == pairs[:-1, 0], 0, 1)
-            turn = np.arange(len(pairs)) - np.maximum.accumulate(np.where(turn == 1, np.arange(len(pairs)), 0))
-            pairs = pairs[turn < 2]
-            yield _dealt(pairs[:, 0], [pairs[:, 0].copy()] if shared.value is None else [pairs[:, 0].copy(), pairs[:, 1].copy()], bits)
-
-    width = 1 if within is None else 2
+            order = np.lexsort((c[1], c[0]))
+            anchor, context, text = (x[order] for x in c)
+            new = _firsts(anchor)
+            starts = np.flatnonzero(new)
+            contexts = np.add.reduceat(_firsts(anchor, context).astype(np.int64), starts)
+            several = np.minimum.reduceat(text, starts) < np.maximum.reduceat(text, starts)
+            digits = np.repeat(anchor[starts], np.maximum(contexts, 1 + several))
+            which, rows = _blobs(digits >> np.uint64(64 - bits), digits)
+            yield pd.DataFrame({"part": which, "rows": rows})
 
     def meet(b: pd.DataFrame) -> pd.DataFrame:
-        rows = _rows(b["rows"], width)
-        rows = rows[np.argsort(rows[:, 0], kind="stable")] if width == 1 else _unique_pairs(rows[:, 0], rows[:, 1])
-        again = np.unique(rows[1:, 0][rows[1:, 0] == rows[:-1, 0]])
-        size = 1 << (SKETCH_BITS - bits)
-        at = (again >> np.uint64(64 - SKETCH_BITS)) & np.uint64(size - 1)
-        set_bits = np.zeros(size, np.uint8)
-        set_bits[at.astype(np.int64)] = 1
-        return pd.DataFrame({"part": b["part"].iloc[:1], "bitmap": [np.packbits(set_bits, bitorder="little").tobytes()]})
+        digits = np.sort(_joined(b["rows"], np.uint64))
+        starts = np.flatnonzero(_firsts(digits))
+        times = np.diff(np.append(starts, len(digits)))
+        again = digits[starts[times > 1]]
+        marks = np.zeros(1 << (size - bits), np.uint8)
+        marks[((again >> np.uint64(64 - size)) & np.uint64(len(marks) - 1)).astype(np.int64)] = 1
+        return pd.DataFrame({"part": b["part"].iloc[:1], "bitmap": [np.packbits(marks, bitorder="little").tobytes()], "hot": [digits[starts[times > HOT]].tobytes()]})
 
     with tidy(docs.sparkSession):
-        sent = docs.mapInPandas(send, "part int, rows binary").groupBy("part").applyInPandas(meet, "part int, bitmap binary")
-        return Sketch({r.part: bytes(r.bitmap) for r in sent.collect()}, bits)  # 2**SKETCH_BITS bits in all
-
-
-def _unique_pairs(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    order = np.lexsort((b, a))
-    a, b = a[order], b[order]
-    new = np.ones(len(a), bool)
-    new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
-    return np.stack([a[new], b[new]], axis=1)
+        sent = docs.mapInPandas(send, "part int, rows binary").groupBy("part").applyInPandas(meet, "part int, bitmap binary, hot binary")
+        got = sent.collect()  # 2**size bits, and one digit for each HOT suffixes at most
+    return Sketch({r.part: bytes(r.bitmap) for r in got}, bits, size), np.sort(_joined([bytes(r.hot) for r in got], np.uint64))
+
+
+_AFTER = np.arange(DIGIT + REACH)
+_BEFORE = np.arange(REACH)
+
+
+def _words(buffer: np.ndarray, at: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """The words to sort by of the suffixes at ``at``: bytes that belong to none of their strings are 0."""
+    out = np.zeros((len(at), 8 * _WORDS), np.uint8)
+    most = len(buffer) - 1
+    for start in range(0, len(at), 1 << 14):  # indexes are eight times as large as what they fetch
+        s = slice(start, start + (1 << 14))
+        a, l, r = at[s, None], left[s, None], right[s, None]
+        out[s, :_LEFT] = buffer[np.minimum(a + _AFTER, most)] * (_AFTER < DIGIT + r)
+        out[s, _LEFT:_SIZES] = buffer[np.maximum(a - 1 - _BEFORE, 0)] * (_BEFORE < l)
+    out[:, _SIZES], out[:, _SIZES + 1] = right, left
+    return out
+
+
+class Sent:
+    """The contexts that a task has sent for very many documents, with the least id that has each."""
+
+    def __init__(self):
+        self.least: dict[bytes, int] = {}
+
+    def earlier(self, words: np.ndarray, least: np.ndarray, often: np.ndarray) -> np.ndarray:
+        """Which of the contexts went out before with a smaller id than ``least``; only those ``often`` met are kept."""
+        known = np.zeros(len(least), bool)
+        for k in np.flatnonzero(often).tolist():
+            key, one = words[k].tobytes(), int(least[k])
+            if key in self.least and self.least[key] < one:
+                known[k] = True
+            else:
+                if len(self.least) >= REMEMBERED:
+                    self.least.clear()
+                self.least[key] = one
+        return known
+
+
+def _runs(text: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, start, end) of the maximal runs that intervals cover in each text; numbers of texts are small."""
+    order = np.lexsort((start, text))
+    text, start, end = text[order], start[order], end[order]
+    far = np.int64(1) << np.int64(40)
+    reach = np.maximum.accumulate(end + text * far)
+    new = np.ones(len(start), bool)
+    new[1:] = start[1:] + text[1:] * far > reach[:-1]
+    first = np.flatnonzero(new)
+    return text[first], start[first], reach[np.append(first[1:], len(start)) - 1] - text[first] * far if len(start) else reach
 
 
-def later(docs: DataFrame, bits: int, digits: Sketch, whole: bool) -> DataFrame:
-    """(id, keys): the keys that a document has and a document of a smaller id has too.
+def _sorted_by(rows: DataFrame, bits: int, digits: Sketch, hot: np.ndarray) -> DataFrame:
+    """(part, known, rows, starts): suffixes to sort, dealt by their digit, and runs that are known to go.
 
-    Keys of contexts, or, if ``whole``, of all strings with one of the anchors in ``digits``.  In a batch of
-    documents only the smallest id that has a key goes on to meet other batches; for the rest the answer is known.
+    In a batch of documents only the smallest id that has a context goes on to meet other batches; for the rest the
+    answer is known, once their bytes have been compared with its own.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(digits)
+    shared = rows.sparkSession.sparkContext.broadcast((digits, hot))
 
     def needs(f, h, base):
-        ok = np.flatnonzero(shared.value.has(f.anchor))
-        if not len(ok):
-            return None
-        if whole:
-            text, _, keys = f.strings(ok, h, base)
-            return keys, text
-        return f.context[ok], f.text[ok]
-
-    def in_batch(batches):
-        for ids, columns in _by_batch(batches, needs):
-            if columns is not None:
-                # ids keep their order as unsigned numbers
-                pairs = _unique_pairs(columns[0], ids[columns[1]].view(np.uint64) ^ np.uint64(1 << 63))
-                first = np.ones(len(pairs), bool)
-                first[1:] = pairs[1:, 0] != pairs[:-1, 0]
-                yield pairs, first
+        sketch, hot = shared.value
+        ok = sketch.has(f.anchor)
+        many = ok & np.isin(f.anchor, hot) if len(hot) else np.zeros(len(ok), bool)
+        one = ok & ~many
+        columns = [f.text[one], f.first[one], f.last[one], f.at[one], f.anchor[one], f.context[one]]
+        if many.any():
+            which = np.flatnonzero(many)
+            text, start, keys = f.strings(which, h, base)
+            at = np.repeat(f.at[which], (f.last - f.first + 1)[which])
+            more = [text, start, start, at, keys, _mix(keys + (at - start).astype(np.uint64))]
+            columns = [np.concatenate(x) for x in zip(columns, more)]
+        return columns if ok.any() else None
 
     def send(batches):
-        for pairs, first in in_batch(batches):
-            yield _dealt(pairs[first, 0], [pairs[first, 0], pairs[first, 1]], bits)
-
-    def know(batches):
-        for pairs, first in in_batch(batches):
-            yield _of_ids(pairs[~first])
-
+        sent = Sent()
+        for texts, docs, c in _cut(batches, needs, len(hot) > 0):
+            if c is None:
+                continue
+            ids, hs = docs["id"].to_numpy(np.int64), docs["h"].to_numpy(np.int64)
+            order = np.lexsort((c[1], c[0], ids[c[0]], c[5]))
+            text, first, last, at, route, context = (x[order] for x in c)
+            begins = np.cumsum([0, *map(len, texts)])[:-1]
+            buffer = np.frombuffer(b"".join(texts), np.uint8)
+            words = _words(buffer, begins[text] + at, at - first, REACH - (at - last))
+            one = ids[text]
+            new = _firsts(context)
+            starts = np.flatnonzero(new)
+            group = np.cumsum(new) - 1
+            same = (words == words[starts[group]]).all(axis=1)
+            changes = np.add.reduceat(_firsts(group, text).astype(np.int64), starts)
+            before = sent.earlier(words[starts], one[starts], changes >= OFTEN)
+            later = same & ((one > one[starts[group]]) | before[group])
+            which, begin, end = _runs(text[later], first[later], last[later] + LENGTH)
+            known = np.zeros(len(which), _RUN)
+            known["id"], known["h"], known["start"], known["end"] = ids[which], hs[which], begin, end
+            part, blobs = _blobs(_bucket(known, bits), known)
+            yield pd.DataFrame({"part": part, "known": True, "rows": blobs, "starts": b""})
+            # a suffix that stands at many places of a document goes once, with all of them
+            go = np.flatnonzero(~later)
+            lead = _firsts(group[go], text[go], same[go]) | ~same[go]
+            rows = np.zeros(lead.sum(), _ROW)
+            heads = go[lead]
+            rows["word"] = words[heads].view(">u8")
+            rows["id"], rows["h"] = one[heads], hs[text[heads]]
+            rows["times"] = np.diff(np.append(np.flatnonzero(lead), len(go)))
+            place = (route >> np.uint64(64 - bits)).astype(np.int32)
+            part, blobs = _blobs(place[heads], rows)
+            _, places = _blobs(place[go], first[go])
+            yield pd.DataFrame({"part": part, "known": False, "rows": blobs, "starts": places})
+
+    return rows.mapInPandas(send, "part int, known boolean, rows binary, starts binary")
+
+
+def _bucket(runs: np.ndarray, bits: int) -> np.ndarray:
+    return _mix(runs["id"].view(np.uint64) * np.uint64(3) + runs["h"].view(np.uint64)) >> np.uint64(64 - bits)
+
+
+def _shared_start(a: np.ndarray) -> np.ndarray:
+    """How many leading bytes each row shares with the row before it."""
+    out = np.zeros(len(a), np.int64)
+    if len(a) > 1:
+        differs = np.concatenate((a[1:] != a[:-1], np.ones((len(a) - 1, 1), bool)), axis=1)
+        out[1:] = differs.argmax(axis=1)
+    return out
+
+
+def sort_suffixes(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, lo, hi): which bytes of the rows' contexts go, counted from where the first string of each begins.
+
+    Most-significant-digit passes of 8 bytes: after each pass groups of a single document are done.  Three passes
+    tell the first DIGIT bytes; the next ones, over all bytes of the strings around them, are whole repeats.  What is
+    left of a digit with several contexts is sorted through both sides of the digit as far as each of its strings.
+    """
+    words, ids = rows["word"].astype(np.uint64), rows["id"]
+    live, group = np.arange(len(rows)), np.zeros(len(rows), np.int64)
+    for k in range(_WORDS):
+        order = np.lexsort((words[live, k], group))
+        live, group = live[order], group[order]
+        new = _firsts(group, words[live, k])
+        if k < DIGIT // 8:
+            group = np.cumsum(new) - 1
+            least, most = _least(ids[live], new), -_least(-ids[live], new)
+            live, group = live[least < most], group[least < most]
+            digit = group
+        else:
+            digit = digit[order]
+            group = np.cumsum(new) - 1
+    if not len(live):
+        none = np.zeros(0, np.int64)
+        return none, none, none
+    new = _firsts(group)
+    least = _least(ids[live], new)
+    sizes = rows["word"].view(np.uint8).reshape(len(rows), -1)[:, _SIZES : _SIZES + 2].astype(np.int64)
+    right, left = sizes[:, 0], sizes[:, 1]
+    whole = ids[live] > least
+    out = [(live[whole], np.zeros(whole.sum(), np.int64), (left + right + DIGIT)[live[whole]])]
+    # contexts, each by one row, of digits that have several
+    heads = np.flatnonzero(new)
+    several = np.repeat(np.add.reduceat(np.ones(len(heads), np.int64), s := np.flatnonzero(_firsts(digit[heads]))), np.diff(np.append(s, len(heads)))) > 1
+    kept = heads[several]
+    if len(kept):
+        lo, hi = _strings(rows["word"].view(np.uint8).reshape(len(rows), -1)[live[kept]], digit[kept], left[live[kept]], right[live[kept]], least[kept])
+        of = np.full(group[-1] + 1, -1)
+        of[group[kept]] = np.arange(len(kept))
+        mine = np.flatnonzero(~whole & (of[group] >= 0))
+        c = of[group[mine]]
+        mine, c = mine[hi[c] > 0], c[hi[c] > 0]
+        out.append((live[mine], lo[c], hi[c]))
+    return tuple(np.concatenate(x) for x in zip(*out))
+
+
+def _strings(raw, digit, left, right, ids):
+    """Per context the union of its strings that a smaller id has too: strings that share DIGIT bytes overlap."""
+    n = len(raw)
+
+    def classes(side):
+        columns = np.ascontiguousarray(np.concatenate((side, np.zeros((n, -REACH % 8), np.uint8)), axis=1)).view(">u8").astype(np.uint64)
+        order = np.lexsort((*columns.T[::-1], digit))
+        shared = np.where(_firsts(digit[order]), -1, _shared_start(side[order]))
+        return order, shared
+
+    sides = classes(raw[:, _RIGHT:_LEFT]), classes(raw[:, _LEFT:_SIZES])
+
+    def number(side, length):
+        """Equal numbers for contexts with the same digit and the same ``length`` bytes on that side."""
+        order, shared = sides[side]
+        out = np.empty(n, np.uint64)
+        out[order] = np.cumsum(shared < length).astype(np.uint64)
+        return out
+
+    lo, hi = np.full(n, LENGTH * 2), np.zeros(n, np.int64)
+    for j in range(SPAN):
+        ok = np.flatnonzero((right >= j) & (left >= REACH - j))
+        if len(ok) < 2:
+            continue
+        key = (number(0, j) * np.uint64(n + 1) + number(1, REACH - j))[ok]
+        order = np.argsort(key, kind="stable")
+        least = _least(ids[ok[order]], _firsts(key[order]))
+        later = ok[order[ids[ok[order]] > least]]
+        begin = left[later] - (REACH - j)
+        lo[later], hi[later] = np.minimum(lo[later], begin), np.maximum(hi[later], begin + LENGTH)
+    return lo, hi
+
+
+def _meet(bits: int):
     def meet(b: pd.DataFrame) -> pd.DataFrame:
-        rows = _rows(b["rows"], 2)
-        pairs = _unique_pairs(rows[:, 0], rows[:, 1])
-        return _of_ids(pairs[1:][pairs[1:, 0] == pairs[:-1, 0]])
-
-    met = docs.mapInPandas(send, "part int, rows binary").groupBy("part").applyInPandas(meet, "id long, keys binary")
-    return met.unionByName(docs.mapInPandas(know, "id long, keys binary"))
-
-
-def _of_ids(pairs: np.ndarray) -> pd.DataFrame:
-    pairs = pairs[np.argsort(pairs[:, 1], kind="stable")]
-    ids, starts = np.unique(pairs[:, 1], return_index=True)
-    keys = [x.tobytes() for x in np.split(np.ascontiguousarray(pairs[:, 0]), starts[1:])] if len(ids) else []
-    return pd.DataFrame({"id": (ids ^ np.uint64(1 << 63)).view(np.int64), "keys": keys})
-
-
-def _merged(starts: np.ndarray, ends: np.ndarray) -> list[tuple[int, int]]:
-    order = np.argsort(starts, kind="stable")
-    starts, reach = starts[order], np.maximum.accumulate(ends[order])
-    cut = np.flatnonzero(starts[1:] > reach[:-1])
-    return list(zip(starts[np.append(0, cut + 1)].tolist(), reach[np.append(cut, len(reach) - 1)].tolist()))
-
-
-def spans_of(text: bytes, contexts: np.ndarray, strings: np.ndarray) -> list[tuple[int, int]]:
-    """The maximal runs of bytes that strings with these keys cover."""
-    starts, ends = [], []
-    for f, h, base in suffixes([text]):
-        known = np.isin(f.context, contexts)
-        starts.append(f.first[known])
-        ends.append(f.last[known] + LENGTH)
-        if len(strings) and not known.all():
-            _, start, keys = f.strings(np.flatnonzero(~known), h, base)
-            hit = start[np.isin(keys, strings)]
-            starts.append(hit)
-            ends.append(hit + LENGTH)
-    starts, ends = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (starts, ends))
-    return _merged(starts, ends) if len(starts) else []
+        known = b["known"].to_numpy(bool)
+        rows, starts = _joined(b["rows"][~known], _ROW), _joined(b["starts"][~known], np.int64)
+        which, lo, hi = sort_suffixes(rows)
+        times = rows["times"].astype(np.int64)[which]
+        each = np.repeat(np.arange(len(which)), times)
+        begins = np.cumsum(np.append(0, rows["times"]))[:-1].astype(np.int64)
+        at = starts[np.repeat(begins[which] - np.cumsum(np.append(0, times))[:-1], times) + np.arange(len(each))]
+        runs = np.zeros(len(each), _RUN)
+        runs["id"], runs["h"] = rows["id"][which][each], rows["h"][which][each]
+        runs["start"], runs["end"] = at + lo[each], at + hi[each]
+        runs = np.concatenate([runs, _joined(b["rows"][known], _RUN)])
+        bucket, blobs = _blobs(_bucket(runs, bits), runs)
+        return pd.DataFrame({"bucket": bucket, "runs": blobs})
+
+    return meet
+
+
+def _merge(b: pd.DataFrame) -> pd.DataFrame:
+    """The maximal runs of each document."""
+    runs = _joined(b["runs"], _RUN)
+    runs = runs[np.lexsort((runs["h"], runs["id"]))]
+    new = _firsts(runs["id"], runs["h"])
+    doc, start, end = _runs(np.cumsum(new) - 1, runs["start"], runs["end"])
+    cuts = np.flatnonzero(_firsts(doc))[1:]
+    heads = runs[new]
+    return pd.DataFrame({"id": heads["id"], "h": heads["h"], "starts": np.split(start, cuts), "ends": np.split(end, cuts)})
 
 
 def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, text, spans): each row's text as bytes with the runs to remove as pairs (start, end).
 
     A byte goes if a string of 50 bytes that covers it also starts in a document of a smaller id.  Suffixes are
-    sorted only through these 50 bytes, in three passes of most-significant digits, and only groups that can
-    still hold a repeat go on to the next:
-
-    1. 24 bytes at the anchor of each string, one of 14 suffixes; digits of one document alone are done;
-    2. all that a string with this anchor can cover; equal groups are repeats, and all but the smallest id are done;
-    3. for digits that stand in different contexts: each string of 50 bytes; equal groups are repeats.
-
-    Digits are compared as 64-bit keys.  Sketches of fixed size carry from pass to pass which first digits
-    go on; what they let through by chance is sorted out by the next pass.
-
-    A null text is empty; a row with a null id keeps all and removes nothing; rows with the same id do not
-    remove each other's bytes; texts under 50 bytes stay; an empty table gives an empty one.
+    sorted only through these 50 bytes.  One of 14 suffixes stands for all strings around it: a string is looked at
+    through its anchor, the 24 bytes of least hash in it, and equal strings have equal anchors at equal places.  A
+    first pass over the documents finds which anchors two documents may have.  The suffixes at these are dealt by
+    their first digit and sorted by passes of 8 bytes, most significant first; groups of one document are dropped
+    after each pass, and what goes on to the end are bytes that have been compared, never hashes alone.
+
+    Hashes only choose anchors, partitions and candidates.  The sketch of repeated anchors is sized by the input up
+    to a fixed bound; what it lets through by chance is dropped by the passes.  Suffixes of a digit that more than
+    HOT have are dealt by their whole strings, so that no digit is one task's burden.
+
+    Ids are cast to long.  A null text is empty; a row with a null id keeps all and removes nothing; rows with the
+    same id do not remove each other's bytes; texts under 50 bytes stay; very long texts are cut into segments that
+    overlap; other columns are not read; an empty table gives an empty one.
     """
     spark = docs.sparkSession
-    bits = max(4, (2 * int(spark.conf.get("spark.sql.shuffle.partitions")) - 1).bit_length())
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), text_or_empty(text_col).cast("binary").alias("text"))
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), text_or_empty(text_col).cast("binary").alias("text")).withColumn("h", F.xxhash64("text"))
     known = rows.where("id is not null and octet_length(text) >= 50")
-    repeated = repeated_digits(known, bits)
-    mixed = repeated_digits(known, bits, repeated)
-    contexts = stash(later(known, bits, repeated, False).groupBy("id").agg(F.collect_list("keys").alias("contexts")), "contexts")
-    strings = stash(later(known, bits, mixed, True).groupBy("id").agg(F.collect_list("keys").alias("strings")), "strings")
-
-    def finish(batches):
-        for b in batches:
-            spans = []
-            for text, c, s in zip(b["text"], b["contexts"], b["strings"]):
-                c, s = (_rows(x, 1)[:, 0] if x is not None and len(x) else np.zeros(0, np.uint64) for x in (c, s))
-                spans.append([{"start": x, "end": y} for x, y in spans_of(text, c, s)] if len(c) or len(s) else [])
-            yield pd.DataFrame({"row": b["row"], "text": b["text"], "spans": spans})
-
-    joined = rows.join(contexts, "id", "left").join(strings, "id", "left").select(F.struct("id").alias("row"), "text", "contexts", "strings")
-    out = joined.mapInPandas(finish, "row struct<id: long>, text binary, spans array<struct<start: long, end: long>>")
-    return out.select("row.id", "text", "spans")
+    total = known.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), total // PART_BYTES)
+    bits = min(max(4, (parts - 1).bit_length()), 24)
+    size = min(max(SKETCH_BITS, (total // 16).bit_length()), MOST_SKETCH_BITS)
+    digits, hot = repeated_digits(known.select("id", "text"), bits, size)
+    met = _sorted_by(known, bits, digits, hot).groupBy("part").applyInPandas(_meet(bits), "bucket int, runs binary")
+    runs = stash(met.groupBy("bucket").applyInPandas(_merge, "id long, h long, starts array<long>, ends array<long>"), "runs")
+    spans = F.coalesce(F.arrays_zip(F.col("starts").alias("start"), F.col("ends").alias("end")), F.expr("cast(array() as array<struct<start: bigint, end: bigint>>)"))
+    return rows.join(runs, ["id", "h"], "left").select("id", "text", spans.alias("spans"))
 
 
 def digest(found: DataFrame) -> DataFrame:
@@ -330,15 +503,16 @@ def digest(found: DataFrame) -> DataFrame:
         out = []
         for text, cut in zip(texts, spans):
             h, at = hashlib.sha256(), 0
-            for x in cut:
+            for x in cut if text is not None else ():
                 h.update(text[at : x["start"]])
                 at = x["end"]
-            h.update(text[at:])
+            h.update(text[at:] if text is not None else b"")
             out.append(h.hexdigest())
         return pd.Series(out, dtype=object)
 
     gone = F.aggregate("spans", F.lit(0).cast("long"), lambda a, x: a + x["end"] - x["start"])
+    some = F.size("spans") > 0
     return found.select(
-        F.col("id").alias("doc_id"), F.octet_length("text").cast("long").alias("n_bytes"), gone.alias("n_removed"),
-        F.size("spans").cast("long").alias("n_spans"), kept("text", "spans").alias("kept_sha256"),
+        F.col("id").alias("doc_id"), F.octet_length("text").cast("long").alias("n_bytes"), gone.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"),
+        F.when(some, kept(F.when(some, F.col("text")), "spans")).otherwise(F.sha2("text", 256)).alias("kept_sha256"),
     )

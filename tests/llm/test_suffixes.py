@@ -83,3 +83,53 @@ def test_batches_are_cut_by_bytes(monkeypatch):
     parts = pairs()
     assert whole[0] == 1 < parts[0] and whole[1] == parts[1]
     assert list(suffixes._by_batch([batch.iloc[:0]], needs))[0][1] is None
+
+
+def without_spark(rows, hot=False, batches=4):
+    """The passes on plain frames: what a cluster does with batches of rows, in this process."""
+    import numpy as np
+    import pandas as pd
+
+    class Frame:
+        sparkSession = type("S", (), {"sparkContext": type("C", (), {"broadcast": staticmethod(lambda x: type("B", (), {"value": x}))})})
+
+        def mapInPandas(self, f, schema):
+            return f
+
+    every = type("Every", (), {"has": lambda self, keys: np.ones(len(keys), bool)})()
+    frame = pd.DataFrame([(i, t.encode(), k) for k, (i, t) in enumerate(rows) if len(t.encode()) >= 50], columns=["id", "text", "h"])
+    digits = np.unique(np.concatenate([f.anchor for f, _, _ in suffixes.suffixes(frame["text"].tolist())])) if hot else np.zeros(0, np.uint64)
+    send = suffixes._sorted_by(Frame(), 4, every, digits)
+    sent = pd.concat([x for k in range(2) for x in send(iter([frame[2 * j + k :: batches] for j in range(batches // 2)]))])
+    met = pd.concat([suffixes._meet(4)(b.reset_index(drop=True)) for _, b in sent.groupby("part")])
+    runs = pd.concat([suffixes._merge(b) for _, b in met.groupby("bucket")])
+    return {r.h: list(zip(r.starts.tolist(), r.ends.tolist())) for r in runs.itertuples()}
+
+
+def test_hot_digits_common_contexts_and_equal_hashes(monkeypatch):
+    rng = random.Random(7)
+    word = lambda: "".join(rng.choice("abcdefgh ") for _ in range(rng.randint(2, 9)))
+    prose = lambda n: " ".join(word() for _ in range(n))
+    common, passages = prose(40), [prose(n) for n in (6, 9, 12, 30)]
+    rows = [(i // 2 if i % 9 == 0 else i - 30, prose(rng.randint(0, 20)) + (common if i % 3 else "") + prose(rng.randint(0, 9)) + rng.choice(passages)[rng.randint(0, 9) :] * rng.randint(1, 3)) for i in range(90)]
+    first = {}
+    for i, t in rows:
+        for p in range(len(t) - 49):
+            first[t[p : p + 50]] = min(i, first.get(t[p : p + 50], i))
+    want = {}
+    for k, (i, t) in enumerate(rows):
+        gone = [False] * (len(t) + 1)
+        for p in range(len(t) - 49):
+            if first[t[p : p + 50]] < i:
+                gone[p : p + 50] = [True] * 50
+        edges = [p for p in range(len(gone)) if gone[p] != (p > 0 and gone[p - 1])]
+        if edges:
+            want[k] = list(zip(edges[::2], edges[1::2]))
+    assert want and without_spark(rows) == want
+    assert without_spark(rows, hot=True) == want
+    monkeypatch.setattr(suffixes, "OFTEN", 2)
+    monkeypatch.setattr(suffixes, "REMEMBERED", 20)
+    assert without_spark(rows) == want
+    whole = suffixes._mix
+    monkeypatch.setattr(suffixes, "_mix", lambda h: whole(h) & __import__("numpy").uint64(0xF << 60))
+    assert without_spark(rows) == want
