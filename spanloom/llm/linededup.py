@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 import xxhash
@@ -37,6 +39,22 @@ def line_key(norm: str) -> int:
     return h - (1 << 64) if h >> 63 else h
 
 
+def _windows(points: np.ndarray, size: int) -> np.ndarray:
+    """The polynomial over each window of ``size`` numbers, from those of half its size."""
+    if size == 1:
+        return points.copy()
+    half = size // 2
+    h = _windows(points, half)
+    power = np.uint64(pow(int(_MIX[0]), half, 1 << 64))
+    n = len(points) - 2 * half + 1
+    out = h[:n] * power
+    out += h[half : half + n]
+    if size % 2:
+        out = out[:-1] * _MIX[0]
+        out += points[size - 1 :]
+    return out
+
+
 def shingle_hashes(norms: list[str], size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
     """32-bit hashes of the character shingles of all lines, and where each line's begin.
 
@@ -44,10 +62,7 @@ def shingle_hashes(norms: list[str], size: int = SHINGLE) -> tuple[np.ndarray, n
     """
     points = np.frombuffer("".join(norms).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
     sizes = np.fromiter(map(len, norms), np.int64, len(norms))
-    h = np.zeros(len(points) - size + 1, np.uint64)
-    for i in range(size):
-        h *= _MIX[0]
-        h += points[i : i + len(h)]
+    h = _windows(points, size)
     h ^= h >> np.uint64(32)
     h *= _MIX[1]
     ends = np.cumsum(sizes)
@@ -113,16 +128,25 @@ def shingle_maps(norms: list[str], size: int = SHINGLE) -> list[int]:
     return out
 
 
-def join_all(n: int, close, side: list[int] | None = None) -> list[tuple[int, int]]:
-    """Pairs of 0 .. n - 1 for which ``close`` holds, enough of them to join all that such pairs link; see ``linked``."""
+def join_all(n: int, close, side: list[int] | None = None, joined: list[int] | None = None) -> list[tuple[int, int]]:
+    """Pairs of 0 .. n - 1 for which ``close`` holds, enough of them to join all that such pairs link; see ``linked``.
+
+    Those with equal numbers in ``joined`` are linked already, and none is compared with the first to begin with.
+    """
     out = []
-    groups = [[0]]
-    for x in range(1, n):
-        if close(0, x):
-            groups[0].append(x)
-            out.append((0, x))
-        else:
-            groups.append([x])
+    if joined is not None:
+        known: dict[int, list[int]] = {}
+        for x, name in enumerate(joined):
+            known.setdefault(name, []).append(x)
+        groups = [*known.values()]
+    else:
+        groups = [[0]]
+        for x in range(1, n):
+            if close(0, x):
+                groups[0].append(x)
+                out.append((0, x))
+            else:
+                groups.append([x])
     k = 1
     while k < len(groups):  # groups before k are not linked to each other
         mine, kept = groups[k], []
@@ -138,11 +162,16 @@ def join_all(n: int, close, side: list[int] | None = None) -> list[tuple[int, in
     return out
 
 
-def linked(norms: list[str], maps: list[int], side: list[int] | None = None, least: float = SIMILAR, size: int = SHINGLE) -> list[tuple[int, int]]:
+def alike(a: frozenset, b: frozenset, least: float = SIMILAR) -> bool:
+    common = len(a & b)
+    return common >= least * (len(a) + len(b) - common)
+
+
+def linked(norms: list[str], maps: list[int], side: list[int] | None = None, least: float = SIMILAR, size: int = SHINGLE, joined: list[int] | None = None) -> list[tuple[int, int]]:
     """Pairs of lines of an exact Jaccard similarity of ``least`` or more, enough of them to join all that are linked.
 
-    All are compared with the first.  Then lines of different components are, until one link joins these: links
-    inside a component change nothing.  Two lines are intersected only if their maps allow so high a similarity: a
+    All are compared with the first, unless it is known which are ``joined``.  Then lines of different components are,
+    until one link joins these: links inside a component change nothing.  Two lines are intersected only if their maps allow so high a similarity: a
     bit that one map has alone is a shingle that one line has alone.  Given ``side``, after the first step only lines
     of different sides are compared.
     """
@@ -159,52 +188,53 @@ def linked(norms: list[str], maps: list[int], side: list[int] | None = None, lea
         for k in (x, y):
             if k not in sets:
                 sets[k] = shingles(norms[k], size)
-        a, b = sets[x], sets[y]
-        common = len(a & b)
-        return common >= least * (len(a) + len(b) - common)
+        return alike(sets[x], sets[y], least)
 
-    return join_all(len(norms), close, side)
+    return join_all(len(norms), close, side, joined)
 
 
-def lines(docs: DataFrame, id_col: str, text_col: str, min_chars: int = MIN_CHARS) -> DataFrame:
-    """(id, line, h): a row for each line of ``min_chars`` characters or more; line counts from 0."""
+def _texts(docs, id_col, text_col):
+    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("id is not null and text is not null")
 
-    def scan(batches):
-        for b in batches:
-            counts, numbers, keys = [], [], []
-            for text in b["text"]:
-                before = len(keys)
-                for k, line in enumerate(text.split("\n")):
-                    if len(norm := normal(line)) >= min_chars:
-                        numbers.append(k)
-                        keys.append(line_key(norm))
-                counts.append(len(keys) - before)
-            ids = np.repeat(b["id"].to_numpy(np.int64), np.array(counts, np.int64))
-            yield pd.DataFrame({"id": ids, "line": np.array(numbers, np.int32), "h": np.array(keys, np.int64)})
 
-    return _texts(docs, id_col, text_col).mapInPandas(scan, "id long, line int, h long")
+#: Characters of text whose distinct lines are put together.
+BATCH = 4 << 20
 
 
-def _texts(docs, id_col, text_col):
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("id is not null and text is not null")
+def _slices(b: pd.DataFrame):
+    """The batch in slices of about BATCH characters."""
+    at = np.cumsum([0, *map(len, b["text"])])[:-1] // BATCH
+    for rows in np.split(np.arange(len(b)), np.flatnonzero(np.diff(at)) + 1):
+        yield b.iloc[rows]
 
 
-def _distinct(b: pd.DataFrame, min_chars: int) -> dict[int, str]:
-    norms = {n for text in b["text"] for line in text.split("\n") if len(n := normal(line)) >= min_chars}
+def _distinct(texts, min_chars: int) -> dict[int, str]:
+    norms = {n for text in texts for line in text.split("\n") if len(n := normal(line)) >= min_chars}
     return {line_key(n): n for n in norms}
 
 
-def buckets(docs: DataFrame, id_col: str, text_col: str, min_chars: int = MIN_CHARS, fine: bool = False) -> DataFrame:
-    """(key, h): the lines that share a band's key with another.
+def scan(docs: DataFrame, id_col: str, text_col: str, min_chars: int = MIN_CHARS, fine: bool = False) -> DataFrame:
+    """(part, rows, id, line, h): where lines of ``min_chars`` characters or more stand, and the keys of their bands.
 
-    Tasks pack keys and lines by the key's remainder and send each pair once, so a line that very many
-    documents hold reaches its bucket once from each batch of documents.
+    Rows with part -1 are places; line counts from 0.  In the others keys and lines are packed by the key's remainder.
+    Each pair goes once from a batch, so a line that very many documents hold reaches its bucket once from each.
     """
     parts = 8 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
-    def pack(batches):
-        for b in batches:
-            known = _distinct(b, min_chars)
+    def read(batches):
+        for b in (x for whole in batches for x in _slices(whole)):
+            counts, numbers, keys, known = [], [], [], {}
+            for text in b["text"]:
+                before = len(keys)
+                for k, line in enumerate(text.split("\n")):
+                    if len(norm := normal(line)) >= min_chars:
+                        h = line_key(norm)
+                        numbers.append(k)
+                        keys.append(h)
+                        known[h] = norm
+                counts.append(len(keys) - before)
+            ids = np.repeat(b["id"].to_numpy(np.int64), np.array(counts, np.int64))
+            yield pd.DataFrame({"part": -1, "rows": None, "id": ids, "line": np.array(numbers, np.int32), "h": np.array(keys, np.int64)})
             usual = {h: n for h, n in known.items() if len(n) >= max(SHINGLE, MIN_CHARS if fine else 0)}
             short = {h: n for h, n in known.items() if FINE <= len(n) <= FINE_MOST} if fine else {}
             keys = np.concatenate((band_keys(list(usual.values())), band_keys(list(short.values()), FINE)))
@@ -214,12 +244,18 @@ def buckets(docs: DataFrame, id_col: str, text_col: str, min_chars: int = MIN_CH
             order = np.argsort(at, kind="stable")
             at, rows = at[order], np.stack([keys[order], h[order]], axis=1)
             which, starts = np.unique(at, return_index=True)
-            yield pd.DataFrame({"part": which.astype(np.int32), "rows": [x.tobytes() for x in np.split(rows, starts[1:])] if len(which) else []})
+            blobs = [x.tobytes() for x in np.split(rows, starts[1:])] if len(which) else []
+            yield pd.DataFrame({"part": which.astype(np.int32), "rows": blobs, "id": 0, "line": 0, "h": 0})
+
+    return _texts(docs, id_col, text_col).mapInPandas(read, "part int, rows binary, id long, line int, h long")
+
+
+def buckets(scanned: DataFrame) -> DataFrame:
+    """(key, h): the lines that share a band's key with another."""
 
     def meet(b: pd.DataFrame) -> pd.DataFrame:
-        rows = np.concatenate([np.frombuffer(x, np.int64).reshape(-1, 2) for x in b["rows"]])
-        order = np.lexsort((rows[:, 1], rows[:, 0]))
-        rows = rows[order]
+        rows = np.frombuffer(b"".join(b["rows"]), np.int64).reshape(-1, 2)
+        rows = rows[np.lexsort((rows[:, 1], rows[:, 0]))]
         new = np.ones(len(rows), bool)
         new[1:] = (rows[1:] != rows[:-1]).any(axis=1)
         rows = rows[new]
@@ -229,8 +265,7 @@ def buckets(docs: DataFrame, id_col: str, text_col: str, min_chars: int = MIN_CH
         many[:-1] |= same
         return pd.DataFrame({"key": rows[many, 0], "h": rows[many, 1]})
 
-    packed = _texts(docs, id_col, text_col).select("text").mapInPandas(pack, "part int, rows binary")
-    return packed.groupBy("part").applyInPandas(meet, "key long, h long")
+    return scanned.where("part >= 0").select("part", "rows").groupBy("part").applyInPandas(meet, "key long, h long")
 
 
 #: Bits of the sketch that spares lines without a partner the shuffle.  It has this size whatever the input is.
@@ -256,8 +291,8 @@ def texts_of(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, min
     shared = docs.sparkSession.sparkContext.broadcast(sketch(wanted, "h"))
 
     def pick(batches):
-        for b in batches:
-            known = _distinct(b, min_chars)
+        for b in (x for whole in batches for x in _slices(whole)):
+            known = _distinct(b["text"], min_chars)
             h = np.fromiter(known, np.int64, len(known))
             at = h & ((1 << SKETCH_BITS) - 1)
             passed = (shared.value[at >> 6] >> (at & 63)) & 1 == 1
@@ -267,6 +302,37 @@ def texts_of(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, min
     return picked.groupBy("h").agg(F.first("norm").alias("norm"))
 
 
+def unlike(members: DataFrame) -> DataFrame:
+    """(key, n, first): one of the buckets that have the same lines, how many these are, and the least of them."""
+    sizes = members.groupBy("key").agg(F.count("*").alias("n"), F.min("h").alias("first"), F.bit_xor(F.xxhash64("h")).alias("x"), F.sum(F.shiftrightunsigned(F.xxhash64("h", F.lit(1)), 20)).alias("y"))
+    return sizes.groupBy("n", "first", "x", "y", F.expr("key & 1").alias("size")).agg(F.min("key").alias("key")).select("key", "n", "first")
+
+
+def stars(members: DataFrame, texts: DataFrame) -> DataFrame:
+    """(u, v): the lines that are similar to the first one of a bucket of theirs, with that line.
+
+    A pair is verified once, however many buckets it shares.  ``members`` has the columns of ``unlike`` as well.
+    """
+    pairs = members.where("h <> first").select(F.col("first").alias("u"), F.col("h").alias("v"), F.expr("key & 1 = 0").alias("fine")).distinct()
+
+    @F.pandas_udf("boolean")
+    def close(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        last = mine = None
+        for firsts, others, fine in batches:
+            out = []
+            for a, b, small in zip(firsts, others, fine):
+                size = FINE if small else SHINGLE
+                if last != (a, size):  # pairs of a line follow each other
+                    last, mine = (a, size), shingles(a, size)
+                # a line of n characters has n - size + 1 shingles at most
+                out.append(len(b) - size + 1 >= SIMILAR * len(mine) and alike(mine, shingles(b, size)))
+            yield pd.Series(out, dtype=bool)
+
+    other = pairs.join(texts.withColumnsRenamed({"h": "v", "norm": "other"}), "v")
+    both = other.join(texts.withColumnsRenamed({"h": "u", "norm": "mine"}), "u")
+    return both.where(close("mine", "other", "fine")).select("u", "v").distinct()
+
+
 #: Lines of a bucket that are compared in one go; larger buckets are cut, and each two of their blocks meet.
 BLOCK = 2048
 
@@ -274,13 +340,16 @@ BLOCK = 2048
 def links(members: DataFrame, texts: DataFrame, block: int = BLOCK) -> DataFrame:
     """(u, v): similar lines that share a bucket, enough to join all that are linked.
 
-    A line's text comes once to each of its buckets, not once to each pair.  Even keys are of short shingles.
+    A line's text comes once to each of its buckets, not once to each pair.  Even keys are of short shingles.  If
+    ``members`` has a column ``component``, only lines of different components are compared, and these are named.
     """
     parts = 8 * int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    some = "component" in members.columns
+    members = members.select("key", "h", F.col("component" if some else "h").alias("name"))
     large = members.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > block)
     cut = members.join(large, "key", "left").withColumn("blocks", F.coalesce(F.ceil(F.col("n") / block), F.lit(1)).cast("int"))
     cut = cut.withColumn("own", F.pmod(F.xxhash64("h"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    cut = cut.select("key", "h", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+    cut = cut.select("key", "h", "name", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
     rows = cut.join(texts, "h").withColumn("part", F.pmod(F.xxhash64("key", "i", "j"), F.lit(parts)))
 
     def verify(b: pd.DataFrame) -> pd.DataFrame:
@@ -289,54 +358,79 @@ def links(members: DataFrame, texts: DataFrame, block: int = BLOCK) -> DataFrame
         new = np.ones(len(b), bool)
         new[1:] = (place[1:] != place[:-1]).any(axis=1)
         starts = np.append(np.flatnonzero(new), len(b))
-        h, own, norms, out = b["h"].to_numpy(np.int64), b["own"].to_numpy(), b["norm"].tolist(), []
+        name, own, norms, out = b["name"].to_numpy(np.int64), b["own"].to_numpy(), b["norm"].tolist(), []
         maps = [0] * len(norms)
         for size, rows_of in ((SHINGLE, np.flatnonzero(place[:, 0] & 1)), (FINE, np.flatnonzero(place[:, 0] & 1 == 0))):
             for k, m in zip(rows_of.tolist(), shingle_maps([norms[k] for k in rows_of.tolist()], size)):
                 maps[k] = m
         for s, e in zip(starts, starts[1:]):
             side, size = None if place[s, 1] == place[s, 2] else own[s:e].tolist(), SHINGLE if place[s, 0] & 1 else FINE
-            out += [(h[s + x], h[s + y]) for x, y in linked(norms[s:e], maps[s:e], side, size=size)]
+            joined = name[s:e].tolist() if some else None
+            out += [(name[s + x], name[s + y]) for x, y in linked(norms[s:e], maps[s:e], side, size=size, joined=joined)]
         found = np.array(out, np.int64).reshape(-1, 2)
         return pd.DataFrame({"u": np.minimum(found[:, 0], found[:, 1]), "v": np.maximum(found[:, 0], found[:, 1])})
 
     return rows.groupBy("part").applyInPandas(verify, "u long, v long").distinct()
 
 
-def line_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS, fine: bool = False) -> DataFrame:
+def components_of(members: DataFrame, texts: DataFrame, block: int = BLOCK) -> DataFrame:
+    """(h, component) for the lines of the buckets in ``members`` (key, h) that are linked to another.
+
+    First each line is compared with the first one of each of its buckets, each pair once.  Only the buckets of three
+    lines or more that these links leave in several components go on: there lines of different components meet.
+    """
+    members = stash(members.join(unlike(members), "key"), "unlike")
+    named = connected_components(stash(stars(members, texts), "links")).select(F.col("id").alias("h"), F.col("component").alias("name"))
+    open_ = members.where("n > 2").join(named, "h", "left").select("key", "h", F.coalesce("name", "h").alias("component"))
+    several = open_.groupBy("key").agg((F.min("component") < F.max("component")).alias("several")).where("several")
+    open_ = stash(open_.join(several.select("key"), "key"), "open")
+    more = connected_components(stash(links(open_, texts, block), "links")).withColumnsRenamed({"id": "name", "component": "least"})
+    # a line that no star has is its own component
+    every = named.unionByName(more.select(F.col("name").alias("h"), "name").join(named.select("h"), "h", "left_anti"))
+    return every.join(more, "name", "left").select("h", F.coalesce("least", "name").alias("component"))
+
+
+def line_components(scanned: DataFrame, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS) -> DataFrame:
     """(h, component) for the distinct lines that are linked to another."""
-    members = stash(buckets(docs, id_col, text_col, min_chars, fine), "members")
-    texts = texts_of(docs, members.select("h"), id_col, text_col, min_chars)
-    named = connected_components(stash(links(members, texts), "links"))
-    return named.select(F.col("id").alias("h"), "component")
+    members = stash(buckets(scanned), "members")
+    texts = stash(texts_of(docs, members.select("h"), id_col, text_col, min_chars), "texts")
+    return components_of(members, texts)
 
 
 def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS, fine: bool = False) -> DataFrame:
     """(id, removed): the numbers of the lines that go, in order, for each document that loses one.
 
-    Lines end at ``\\n``.  They are compared in lower case with white space collapsed.  Of each component of lines
+    Lines end at ``\n``.  They are compared in lower case with white space collapsed.  Of each component of lines
     of similarity 0.8 or more the one of the smallest (id, line) stays.  Lines under ``min_chars`` characters
     stay.  If ``fine``, two lines of at most 100 characters are alike by shingles of 3 characters too, and lines of
-    fewer characters than a shingle if they are equal.  Rows with a null id keep all lines and remove none; null texts have none.  Rows that repeat an id are treated as
-    one document: a line number goes from all of them.  An empty table gives an empty one.
+    fewer characters than a shingle if they are equal.  Ids are cast to long; rows with a null id keep all lines and
+    remove none; null texts have none.  Rows that repeat an id are treated as one document: a line number goes from
+    all of them.  A very long line is compared whole.  Other columns are not read.  An empty table gives an empty one.
     """
-    found = stash(lines(docs, id_col, text_col, min_chars), "occurrences")
+    scanned = stash(scan(docs, id_col, text_col, min_chars, fine), "scan")
+    found = scanned.where("part < 0").select("id", "line", "h")
+    named = stash(line_components(scanned, docs, id_col, text_col, min_chars), "named")
     first = found.groupBy("h").agg(F.min(F.struct("id", "line")).alias("first"), F.count("*").alias("n"))
-    named = line_components(docs, id_col, text_col, min_chars, fine)
-    joined = stash(first.join(named, "h", "left").where("n > 1 or component is not null"), "repeated")
-    best = joined.where("component is not null").groupBy("component").agg(F.min("first").alias("best"))
-    decided = joined.join(best, "component", "left").select("h", F.coalesce("best", "first").alias("stays"))
+    first = stash(first.join(named, "h", "left").where("n > 1 or component is not null"), "repeated")
+    linked = first.where("component is not null")
+    best = linked.groupBy("component").agg(F.min("first").alias("stays"))
+    decided = linked.join(best, "component").select("h", "stays").unionByName(first.where("component is null").select("h", F.col("first").alias("stays")))
     gone = found.join(decided, "h").where("id <> stays.id or line <> stays.line")
     return gone.groupBy("id").agg(F.array_sort(F.collect_set("line")).alias("removed"))
 
 
 def without_lines(docs: DataFrame, gone: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` without the lines in ``gone`` (id, removed); a document of which no line is left has a null text."""
+    """``docs`` without the lines in ``gone`` (id, removed); a document of which no line is left has a null text.
+
+    Columns keep their names, types and order, whatever they are called.
+    """
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.struct(*(F.col(c) for c in docs.columns)).alias("row"))
+    rows = rows.join(gone.select("id", "removed"), "id", "left")
+    old = F.col("row").getField(text_col)
     kept = F.filter(
-        F.transform(F.split(text_col, "\n"), lambda x, k: F.struct(x.alias("line"), F.array_contains("_removed", k).alias("gone"))),
+        F.transform(F.split(old, "\n"), lambda x, k: F.struct(x.alias("line"), F.array_contains("removed", k).alias("gone"))),
         lambda x: ~x["gone"],
     )
     left = F.array_join(F.transform(kept, lambda x: x["line"]), "\n")
-    text = F.when(F.col("_removed").isNull(), F.col(text_col)).when(F.size(kept) > 0, left)
-    gone = gone.select(F.col("id").alias(id_col), F.col("removed").alias("_removed"))
-    return docs.join(gone, id_col, "left").withColumn(text_col, text).drop("_removed").select(docs.columns)
+    text = F.when(F.col("removed").isNull(), old).when(F.size(kept) > 0, left)
+    return rows.select(*(text.alias(c) if c == text_col else F.col("row").getField(c).alias(c) for c in docs.columns))
