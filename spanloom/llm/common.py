@@ -52,7 +52,8 @@ def tidy(spark: SparkSession, rows: int = 0):
 def stash(df: DataFrame, name: str, rows: int = 0) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back: lineage ends here.
 
-    Python workers get ``rows`` rows at once, if given.  Its shuffle files go at once.  The files survive lost executors.  They go when the application ends.
+    Python workers get ``rows`` rows at once, if given.  Its shuffle files go at once.  The files survive lost executors.
+    They go when ``unstash`` is called, or when the application ends.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
@@ -61,7 +62,17 @@ def stash(df: DataFrame, name: str, rows: int = 0) -> DataFrame:
     jvm = spark.sparkContext._jvm
     where = jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._stashed = path
+    return out
+
+
+def unstash(*stashed: DataFrame) -> None:
+    """Delete the files of what ``stash`` returned: nothing that reads them may be left to do."""
+    for df in stashed:
+        spark = df.sparkSession
+        where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(df._stashed)
+        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def text_or_empty(name: str = "text"):

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stash
+from .common import stash, unstash
 
 
 def connected_components(edges: DataFrame, u: str = "u", v: str = "v") -> DataFrame:
@@ -21,6 +21,7 @@ def connected_components(edges: DataFrame, u: str = "u", v: str = "v") -> DataFr
     a, b = F.least(u, v).alias("a"), F.greatest(u, v).alias("b")
     e = stash(edges.where(f"{u} <> {v}").select(a, b).distinct(), "edges")
     names = e.select(F.col("a").alias("id")).union(e.select("b")).distinct().select("id", F.col("id").alias("component"))
+    used = [e]
     while not e.isEmpty():
         ends = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         rank = lambda c: F.struct(F.xxhash64(c), F.col(c))
@@ -36,6 +37,9 @@ def connected_components(edges: DataFrame, u: str = "u", v: str = "v") -> DataFr
         e = stash(e.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "edges")
         names = names.join(to.select(F.col("b").alias("component"), "p"), "component", "left")
         names = names.select("id", F.coalesce("p", "component").alias("component"))
+        used += [to, e]
     names = stash(names, "names")
-    least = names.groupBy("component").agg(F.min("id").alias("least"))
+    unstash(*used)
+    # kept apart, so that Spark can split the rows of a large component
+    least = stash(names.groupBy("component").agg(F.min("id").alias("least")), "least")
     return names.join(least, "component").select("id", F.col("least").alias("component"))

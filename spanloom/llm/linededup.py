@@ -10,23 +10,23 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stash
+from .common import stash, unstash
 from .components import connected_components
 
 #: Characters in a shingle, and the least Jaccard similarity of two lines that count as one.
 SHINGLE, SIMILAR = 8, 0.8
 #: Lines of at most ``FINE_MOST`` characters are compared by shingles of ``FINE`` characters as well, where asked for.
 FINE, FINE_MOST = 3, 100
-#: Bands and rows of each: lines of similarity 0.8 share a band with probability 1 - (1 - 0.8**3)**14 = 0.99996.
-BANDS, ROWS = 14, 3
+#: Bands and rows of each, by size of shingle: lines of similarity 0.8 share a band with probability 1 - (1 - 0.8**4)**18
+#: = 0.99993, and by short shingles, which unlike lines share too, 1 - (1 - 0.8**7)**40 = 0.99992.
+BANDS = {SHINGLE: (18, 4), FINE: (40, 7)}
 #: Shorter lines, after normalising, have no shingles of ``SHINGLE`` characters; by default they take no part.
 MIN_CHARS = 24
 #: Arguments with which every line that is not blank takes part: a date or a letter sets no two short lines apart.
 EVERY_LINE = {"min_chars": 1, "fine": True}
 SEED = 9
+_NONE = np.uint64(1 << 32)
 
-_rng = np.random.default_rng(20240607)
-_MULTIPLY = (_rng.integers(1, 1 << 32, BANDS * ROWS, dtype=np.uint64) | np.uint64(1)).astype(np.uint32)
 _MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], np.uint64)
 
 
@@ -77,23 +77,40 @@ PART = 1 << 18
 
 
 def band_keys(norms: list[str], size: int = SHINGLE) -> np.ndarray:
-    """A row of ``BANDS`` 64-bit keys for each line: odd ones, or even ones of shingles of ``FINE`` characters."""
-    keys = np.concatenate([np.zeros((0, BANDS), np.uint64), *(_band_keys(p, size) for p in _parts(norms))])
+    """A row of 64-bit keys for each line, one for each band: odd ones, or even ones of shingles of ``FINE`` characters."""
+    bands, rows = BANDS[size]
+    keys = np.concatenate([np.zeros((0, bands), np.uint64), *(_band_keys(minima(p, size, bands * rows), bands) for p in _parts(norms))])
     return keys >> np.uint64(1) << np.uint64(1) | np.uint64(size != FINE)
 
 
-def _band_keys(norms: list[str], size: int) -> np.ndarray:
+def minima(norms: list[str], size: int, n: int) -> np.ndarray:
+    """A row of ``n`` MinHashes for each line, of one permutation that is cut into ``n`` bins.
+
+    An empty bin takes the least hash of another, the first that is not empty in an order of its own, the same for all
+    lines.  So two lines agree in a bin with the probability of their similarity, however few shingles they have.
+    """
     h, starts = shingle_hashes(norms, size)
-    hashed = np.empty_like(h)
-    out = np.zeros((len(norms), BANDS), np.uint64)
-    for band in range(BANDS):
-        key = np.full(len(norms), np.uint64(band + 1)) * _MIX[2]
-        for row in range(band * ROWS, band * ROWS + ROWS):
-            least = np.minimum.reduceat(np.multiply(h, _MULTIPLY[row], out=hashed), starts)
-            key = (key ^ least) * _MIX[3]
-            key ^= key >> np.uint64(29)
-        out[:, band] = key
-    return out
+    line = np.repeat(np.arange(len(norms)) * n, np.diff(np.append(starts, len(h))))
+    out = np.full(len(norms) * n, _NONE, np.uint64)
+    rest = h * np.uint32(0x9E3779B1)
+    rest ^= rest >> np.uint32(15)
+    rest = (rest * np.uint32(0x85EBCA6B)).astype(np.uint64)
+    np.minimum.at(out, line + (h.astype(np.uint64) * np.uint64(n) >> np.uint64(32)).astype(np.int64), rest)
+    own, empty = out.copy(), np.flatnonzero(out == _NONE)
+    order = np.random.default_rng(n)
+    while len(empty):
+        least = own[empty // n * n + order.integers(0, n, n)[empty % n]]
+        out[empty] = least
+        empty = empty[least == _NONE]
+    return out.reshape(-1, n)
+
+
+def _band_keys(least: np.ndarray, bands: int) -> np.ndarray:
+    key = np.arange(1, bands + 1, dtype=np.uint64) * _MIX[2]
+    for row in np.moveaxis(least.reshape(len(least), bands, -1), 2, 0):
+        key = (key ^ row) * _MIX[3]
+        key ^= key >> np.uint64(29)
+    return key
 
 
 def shingles(line: str, size: int = SHINGLE) -> frozenset:
@@ -213,45 +230,28 @@ def _distinct(texts, min_chars: int) -> dict[int, str]:
     return {line_key(n): n for n in norms}
 
 
-def scan(docs: DataFrame, id_col: str, text_col: str, min_chars: int = MIN_CHARS, fine: bool = False) -> DataFrame:
-    """(part, rows, id, line, h): where lines of ``min_chars`` characters or more stand, and the keys of their bands.
+def buckets(docs: DataFrame, id_col: str, text_col: str, min_chars: int = MIN_CHARS, fine: bool = False) -> DataFrame:
+    """(key, h): the lines that share a band's key with another.
 
-    Rows with part -1 are places; line counts from 0.  In the others keys and lines are packed by the key's remainder.
-    Each pair goes once from a batch, so a line that very many documents hold reaches its bucket once from each.
+    Tasks pack keys and lines by the key's remainder and send each pair once, so a line that very many
+    documents hold reaches its bucket once from each batch of documents.
     """
     parts = 8 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
-    def read(batches):
+    def pack(batches):
         for b in (x for whole in batches for x in _slices(whole)):
-            counts, numbers, keys, known = [], [], [], {}
-            for text in b["text"]:
-                before = len(keys)
-                for k, line in enumerate(text.split("\n")):
-                    if len(norm := normal(line)) >= min_chars:
-                        h = line_key(norm)
-                        numbers.append(k)
-                        keys.append(h)
-                        known[h] = norm
-                counts.append(len(keys) - before)
-            ids = np.repeat(b["id"].to_numpy(np.int64), np.array(counts, np.int64))
-            yield pd.DataFrame({"part": -1, "rows": None, "id": ids, "line": np.array(numbers, np.int32), "h": np.array(keys, np.int64)})
-            usual = {h: n for h, n in known.items() if len(n) >= max(SHINGLE, MIN_CHARS if fine else 0)}
-            short = {h: n for h, n in known.items() if FINE <= len(n) <= FINE_MOST} if fine else {}
-            keys = np.concatenate((band_keys(list(usual.values())), band_keys(list(short.values()), FINE)))
-            h = np.repeat(np.fromiter((*usual, *short), np.int64, len(keys)), BANDS)
-            keys = keys.ravel().view(np.int64)
-            at = (keys.view(np.uint64) % np.uint64(parts)).astype(np.int32)
+            known = _distinct(b["text"], min_chars)
+            keys, lines = [], []
+            for size, least, most in ((SHINGLE, max(SHINGLE, MIN_CHARS if fine else 0), None), (FINE, FINE, FINE_MOST if fine else 0)):
+                some = {h: n for h, n in known.items() if len(n) >= least and (most is None or len(n) <= most)}
+                keys.append(band_keys(list(some.values()), size).ravel())
+                lines.append(np.repeat(np.fromiter(some, np.int64, len(some)), BANDS[size][0]))
+            keys, lines = np.concatenate(keys), np.concatenate(lines)
+            at = (keys % np.uint64(parts)).astype(np.int32)
             order = np.argsort(at, kind="stable")
-            at, rows = at[order], np.stack([keys[order], h[order]], axis=1)
+            at, rows = at[order], np.stack([keys[order].view(np.int64), lines[order]], axis=1)
             which, starts = np.unique(at, return_index=True)
-            blobs = [x.tobytes() for x in np.split(rows, starts[1:])] if len(which) else []
-            yield pd.DataFrame({"part": which.astype(np.int32), "rows": blobs, "id": 0, "line": 0, "h": 0})
-
-    return _texts(docs, id_col, text_col).mapInPandas(read, "part int, rows binary, id long, line int, h long")
-
-
-def buckets(scanned: DataFrame) -> DataFrame:
-    """(key, h): the lines that share a band's key with another."""
+            yield pd.DataFrame({"part": which.astype(np.int32), "rows": [x.tobytes() for x in np.split(rows, starts[1:])] if len(which) else []})
 
     def meet(b: pd.DataFrame) -> pd.DataFrame:
         rows = np.frombuffer(b"".join(b["rows"]), np.int64).reshape(-1, 2)
@@ -265,7 +265,8 @@ def buckets(scanned: DataFrame) -> DataFrame:
         many[:-1] |= same
         return pd.DataFrame({"key": rows[many, 0], "h": rows[many, 1]})
 
-    return scanned.where("part >= 0").select("part", "rows").groupBy("part").applyInPandas(meet, "key long, h long")
+    packed = _texts(docs, id_col, text_col).select("text").mapInPandas(pack, "part int, rows binary")
+    return packed.groupBy("part").applyInPandas(meet, "key long, h long")
 
 
 #: Bits of the sketch that spares lines without a partner the shuffle.  It has this size whatever the input is.
@@ -282,24 +283,35 @@ def sketch(wanted: DataFrame, name: str) -> np.ndarray:
     return out
 
 
-def texts_of(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, min_chars: int = MIN_CHARS) -> DataFrame:
-    """(h, norm) for at least the lines in ``wanted`` (h), each once.
+def places(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, min_chars: int = MIN_CHARS) -> DataFrame:
+    """(id, line, h, norm): where lines of ``min_chars`` characters or more stand; line counts from 0.
 
-    A bitmap of fixed size over the wanted hashes is sent to all tasks.  It only saves shuffling: lines that
-    pass it by chance find no partner in the joins that follow.
+    norm is there for at least the lines in ``wanted`` (h), once in a batch of documents.  A bitmap of fixed size over
+    the wanted hashes is sent to all tasks.  It only saves shuffling: lines that pass it by chance find no partner in
+    the joins that follow.
     """
     shared = docs.sparkSession.sparkContext.broadcast(sketch(wanted, "h"))
 
-    def pick(batches):
+    def read(batches):
         for b in (x for whole in batches for x in _slices(whole)):
-            known = _distinct(b["text"], min_chars)
-            h = np.fromiter(known, np.int64, len(known))
+            counts, numbers, keys, norms = [], [], [], []
+            for text in b["text"]:
+                before = len(keys)
+                for k, line in enumerate(text.split("\n")):
+                    if len(norm := normal(line)) >= min_chars:
+                        numbers.append(k)
+                        keys.append(line_key(norm))
+                        norms.append(norm)
+                counts.append(len(keys) - before)
+            h = np.array(keys, np.int64)
             at = h & ((1 << SKETCH_BITS) - 1)
-            passed = (shared.value[at >> 6] >> (at & 63)) & 1 == 1
-            yield pd.DataFrame({"h": h[passed], "norm": [known[x] for x in h[passed].tolist()]})
+            told = np.zeros(len(h), bool)
+            told[np.unique(h, return_index=True)[1]] = True
+            told &= (shared.value[at >> 6] >> (at & 63)) & 1 == 1
+            ids = np.repeat(b["id"].to_numpy(np.int64), np.array(counts, np.int64))
+            yield pd.DataFrame({"id": ids, "line": np.array(numbers, np.int32), "h": h, "norm": [n if t else None for n, t in zip(norms, told.tolist())]})
 
-    picked = _texts(docs, id_col, text_col).select("text").mapInPandas(pick, "h long, norm string")
-    return picked.groupBy("h").agg(F.first("norm").alias("norm"))
+    return _texts(docs, id_col, text_col).mapInPandas(read, "id long, line int, h long, norm string")
 
 
 def unlike(members: DataFrame) -> DataFrame:
@@ -379,24 +391,20 @@ def components_of(members: DataFrame, texts: DataFrame, block: int = BLOCK) -> D
     First each line is compared with the first one of each of its buckets, each pair once.  Only the buckets of three
     lines or more that these links leave in several components go on: there lines of different components meet.
     """
-    members = stash(members.join(unlike(members), "key"), "unlike")
-    named = connected_components(stash(stars(members, texts), "links")).select(F.col("id").alias("h"), F.col("component").alias("name"))
-    open_ = members.where("n > 2").join(named, "h", "left").select("key", "h", F.coalesce("name", "h").alias("component"))
-    several = open_.groupBy("key").agg((F.min("component") < F.max("component")).alias("several")).where("several")
-    open_ = stash(open_.join(several.select("key"), "key"), "open")
-    more = connected_components(stash(links(open_, texts, block), "links")).withColumnsRenamed({"id": "name", "component": "least"})
+    rows = stash(members.join(unlike(members), "key"), "unlike")
+    first = stash(stars(rows, texts), "links")
+    named = stash(connected_components(first).select(F.col("id").alias("h"), F.col("component").alias("name")), "named")
+    each = rows.where("n > 2").join(named, "h", "left").select("key", "h", F.coalesce("name", "h").alias("component"))
+    several = each.groupBy("key").agg((F.min("component") < F.max("component")).alias("several")).where("several")
+    apart = stash(each.join(several.select("key"), "key"), "apart")
+    rest = stash(links(apart, texts, block), "links")
+    unstash(rows, first, apart)
+    more = connected_components(rest).withColumnsRenamed({"id": "name", "component": "least"})
     # a line that no star has is its own component
     every = named.unionByName(more.select(F.col("name").alias("h"), "name").join(named.select("h"), "h", "left_anti"))
     return every.join(more, "name", "left").select("h", F.coalesce("least", "name").alias("component"))
 
 
-def line_components(scanned: DataFrame, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS) -> DataFrame:
-    """(h, component) for the distinct lines that are linked to another."""
-    members = stash(buckets(scanned), "members")
-    texts = stash(texts_of(docs, members.select("h"), id_col, text_col, min_chars), "texts")
-    return components_of(members, texts)
-
-
 def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS, fine: bool = False) -> DataFrame:
     """(id, removed): the numbers of the lines that go, in order, for each document that loses one.
 
@@ -407,13 +415,17 @@ def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mi
     remove none; null texts have none.  Rows that repeat an id are treated as one document: a line number goes from
     all of them.  A very long line is compared whole.  Other columns are not read.  An empty table gives an empty one.
     """
-    scanned = stash(scan(docs, id_col, text_col, min_chars, fine), "scan")
-    found = scanned.where("part < 0").select("id", "line", "h")
-    named = stash(line_components(scanned, docs, id_col, text_col, min_chars), "named")
+    members = stash(buckets(docs, id_col, text_col, min_chars, fine), "members")
+    placed = stash(places(docs, members.select("h"), id_col, text_col, min_chars), "places")
+    texts = stash(placed.where("norm is not null").groupBy("h").agg(F.first("norm").alias("norm")), "texts")
+    named = stash(components_of(members, texts), "named")
+    unstash(members, texts)
+    found = placed.select("id", "line", "h")
     first = found.groupBy("h").agg(F.min(F.struct("id", "line")).alias("first"), F.count("*").alias("n"))
     first = stash(first.join(named, "h", "left").where("n > 1 or component is not null"), "repeated")
     linked = first.where("component is not null")
-    best = linked.groupBy("component").agg(F.min("first").alias("stays"))
+    # kept apart, so that Spark can split the rows of a large component
+    best = stash(linked.groupBy("component").agg(F.min("first").alias("stays")), "best")
     decided = linked.join(best, "component").select("h", "stays").unionByName(first.where("component is null").select("h", F.col("first").alias("stays")))
     gone = found.join(decided, "h").where("id <> stays.id or line <> stays.line")
     return gone.groupBy("id").agg(F.array_sort(F.collect_set("line")).alias("removed"))
