@@ -26,6 +26,8 @@ MIN_CHARS = 24
 EVERY_LINE = {"min_chars": 1, "fine": True}
 SEED = 9
 _NONE = np.uint64(1 << 32)
+#: Bins in which an empty one looks for a full one by chance; after that all full ones are looked at.
+TRIES = 40
 
 _MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], np.uint64)
 
@@ -34,6 +36,18 @@ def normal(line: str) -> str:
     return " ".join(line.lower().split())
 
 
+#: White space other than blanks and ends of lines.
+_SPACES = [chr(c) for c in range(1 << 16) if chr(c).isspace() and chr(c) not in " \n"]
+
+
+def normals(text: str) -> list[str]:
+    """The text's lines, each as ``normal`` gives it; most texts have no white space that splitting would find."""
+    low = text.lower()  # as line by line: no letter's case depends on what stands beyond an end of line
+    if "  " in low or any(map(low.__contains__, _SPACES)):
+        return [" ".join(line.split()) for line in low.split("\n")]
+    return [line.strip(" ") for line in low.split("\n")]
+
+
 def line_key(norm: str) -> int:
     h = xxhash.xxh64_intdigest(norm.encode("utf-8", "surrogatepass"), SEED)
     return h - (1 << 64) if h >> 63 else h
@@ -97,11 +111,25 @@ def minima(norms: list[str], size: int, n: int) -> np.ndarray:
     rest = (rest * np.uint32(0x85EBCA6B)).astype(np.uint64)
     np.minimum.at(out, line + (h.astype(np.uint64) * np.uint64(n) >> np.uint64(32)).astype(np.int64), rest)
     own, empty = out.copy(), np.flatnonzero(out == _NONE)
-    order = np.random.default_rng(n)
-    while len(empty):
-        least = own[empty // n * n + order.integers(0, n, n)[empty % n]]
+    order, place = np.random.default_rng(n), empty % n
+    begin = empty - place
+    for _ in range(TRIES):
+        if not len(empty):
+            break
+        least = own[begin + order.integers(0, n, n)[place]]
         out[empty] = least
-        empty = empty[least == _NONE]
+        left = np.flatnonzero(least == _NONE)
+        empty, begin, place = empty[left], begin[left], place[left]
+    if len(empty):  # of lines with few full bins: the first of these in an order of the bin's own
+        full = np.flatnonzero(own != _NONE)
+        lo, hi = np.searchsorted(full, begin), np.searchsorted(full, begin + n)
+        each = np.repeat(np.arange(len(empty)), hi - lo)
+        source = full[np.arange(len(each)) - np.repeat(np.cumsum(hi - lo) - (hi - lo), hi - lo) + lo[each]]
+        rank = (place[each] * n + (source - begin[each])).astype(np.uint64) * _MIX[1]
+        rank ^= rank >> np.uint64(31)
+        rank *= _MIX[3]
+        first = np.lexsort((rank, each))[np.cumsum(hi - lo) - (hi - lo)]
+        out[empty] = own[source[first]]
     return out.reshape(-1, n)
 
 
@@ -226,7 +254,7 @@ def _slices(b: pd.DataFrame):
 
 
 def _distinct(texts, min_chars: int) -> dict[int, str]:
-    norms = {n for text in texts for line in text.split("\n") if len(n := normal(line)) >= min_chars}
+    norms = {n for text in texts for n in normals(text) if len(n) >= min_chars}
     return {line_key(n): n for n in norms}
 
 
@@ -247,7 +275,7 @@ def buckets(docs: DataFrame, id_col: str, text_col: str, min_chars: int = MIN_CH
                 keys.append(band_keys(list(some.values()), size).ravel())
                 lines.append(np.repeat(np.fromiter(some, np.int64, len(some)), BANDS[size][0]))
             keys, lines = np.concatenate(keys), np.concatenate(lines)
-            at = (keys % np.uint64(parts)).astype(np.int32)
+            at = (keys % np.uint64(parts)).astype(np.uint16 if parts <= 1 << 16 else np.int32)  # short numbers are sorted by radix
             order = np.argsort(at, kind="stable")
             at, rows = at[order], np.stack([keys[order].view(np.int64), lines[order]], axis=1)
             which, starts = np.unique(at, return_index=True)
@@ -297,8 +325,8 @@ def places(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, min_c
             counts, numbers, keys, norms = [], [], [], []
             for text in b["text"]:
                 before = len(keys)
-                for k, line in enumerate(text.split("\n")):
-                    if len(norm := normal(line)) >= min_chars:
+                for k, norm in enumerate(normals(text)):
+                    if len(norm) >= min_chars:
                         numbers.append(k)
                         keys.append(line_key(norm))
                         norms.append(norm)

@@ -99,3 +99,24 @@ def test_query_removes_short_lines_and_date_variants(spark, tmp_path):
     ]
     spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     assert {r.doc_id: r.removed for r in queries.op10_linededup(spark, str(tmp_path)).collect()} == {0: "", 1: "0,1,3", 2: "", 3: "", 4: "0"}
+
+
+def test_lines_are_normalised_alike():
+    rng = random.Random(6)
+    parts = ["a", "B", " ", "  ", "\n", "\t", "\xa0", "\u3000", "\x85", "\x1c", "ΑΣ", "Σ", "İ", "ß", "\r\n", "x y", "\u2028", "é"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 12))) for _ in range(5000)] + ["plain text\nof two lines ", "", "\n"]
+    for text in texts:
+        assert linededup.normals(text) == [linededup.normal(line) for line in text.split("\n")], text
+
+
+def test_minima_agree_as_often_as_lines_are_similar():
+    rng = random.Random(1)
+    a = "".join(rng.choice("abcdefgh ") for _ in range(60))
+    pairs = [(a[:k] + "X" + a[k + 1 :], linededup.shingles(a, 3)) for k in range(3, 57, 6)]
+    n = 5000
+    own = linededup.minima([a], 3, n)
+    for other, mine in pairs:
+        theirs = linededup.shingles(other, 3)
+        want = len(mine & theirs) / len(mine | theirs)
+        assert abs((linededup.minima(["zzzzzz", other], 3, n)[1:] == own).mean() - want) < 0.06
+    assert (linededup.minima([a, "x" * 3], 3, 280) != linededup._NONE).all()
