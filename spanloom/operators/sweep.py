@@ -1,58 +1,74 @@
-"""Sweeps over extents: coverage, holes, aliases of overlaps."""
+"""Sweeps over extents: coverage, holes, aliases of overlaps.
+
+Extents of a space are dealt by blocks of their starts, so that a space of one large file is not one task's work.
+"""
 
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import blocks
+
 
-def holes(leaves: DataFrame, spaces: DataFrame) -> DataFrame:
+def holes(leaves: DataFrame, spaces: DataFrame, width: int = blocks.WIDTH) -> DataFrame:
     """(space, start, len): what leaves (space, start, len) leave uncovered of spaces (space, size)."""
-    order = Window.partitionBy("space").orderBy("start", "stop")
     ends = leaves.where("len > 0").select("space", "start", (F.col("start") + F.col("len")).alias("stop"))
     ends = ends.unionByName(spaces.select("space", F.col("size").alias("start"), F.col("size").alias("stop")))
-    reach = F.coalesce(F.max("stop").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    out = ends.withColumn("_at", reach).where("start > _at")
+    out = blocks.running(ends, ["space"], "start", ["stop"], F.col("stop"), "max", "_reach", width=width)
+    out = out.withColumn("_at", F.coalesce("_reach", F.lit(0))).where("start > _at")
     return out.select("space", F.col("_at").alias("start"), (F.col("start") - F.col("_at")).alias("len"))
 
 
-def partition_faults(leaves: DataFrame, spaces: DataFrame) -> DataFrame:
+def partition_faults(leaves: DataFrame, spaces: DataFrame, width: int = blocks.WIDTH) -> DataFrame:
     """(space, faults) of the spaces that leaves do not tile exactly: from 0, each at its predecessor's end, to the size."""
-    order = Window.partitionBy("space").orderBy("start", "len")
-    prev = F.coalesce(F.lag(F.col("start") + F.col("len")).over(order), F.lit(0))
-    bad = leaves.withColumn("_bad", (F.col("start") != prev).cast("int")).groupBy("space").agg(F.sum("_bad").alias("bad"), F.max(F.col("start") + F.col("len")).alias("end"))
+    placed = blocks.running(leaves.select("space", "start", "len"), ["space"], "start", ["len"], F.col("start") + F.col("len"), "last", "_prev", width=width)
+    wrong = (F.col("start") != F.coalesce("_prev", F.lit(0))).cast("int")
+    bad = placed.groupBy("space").agg(F.sum(wrong).alias("bad"), F.max(F.col("start") + F.col("len")).alias("end"))
     joined = spaces.join(bad, "space", "left")
     faults = F.coalesce("bad", F.lit(0)) + (F.coalesce("end", F.lit(0)) != F.col("size")).cast("int")
     return joined.select("space", faults.cast("bigint").alias("faults")).where("faults > 0")
 
 
-def finish(leaves: DataFrame, spaces: DataFrame) -> DataFrame:
-    """(space, id, kind, start, len, target): overlaps become aliases of the first claimant, holes become gaps.
+def claimed(leaves: DataFrame, width: int = blocks.WIDTH) -> DataFrame:
+    """``leaves`` (space, id, start, len) with ``target``: null if the leaf claims its bytes, else who claims its first.
 
-    Leaves are met by start, then id.  One that begins before the end of what is claimed is an alias of the
-    claimant of its first byte and does not move the end, unlike in a running maximum, so each space is one
-    pass in order.  Extents of a space are bounded by its file.
+    Leaves claim by start, then id.  One that begins before the end of the last claim is an alias of that claimant
+    and does not move the end, unlike in a running maximum.  A leaf without bytes claims none and is no alias.  Leaves
+    that touch no other are apart; only those that overlap in a chain are walked in order, chain by chain.
     """
+    rows = leaves.select("space", "id", "start", "len")
+    some = rows.where("len > 0")
+    reached = blocks.running(some, ["space"], "start", ["id"], F.col("start") + F.col("len"), "max", "_reach", width=width)
+    new = F.col("_reach").isNull() | (F.col("start") >= F.col("_reach"))
+    chains = blocks.running(reached, ["space"], "start", ["id"], F.when(new, F.col("id")), "last", "_chain", True, width)
+
+    def walk(batches):
+        for b in batches:
+            out = []
+            for space, chain in zip(b["space"], b["chain"]):
+                end, owner = -1, None
+                for x in chain:
+                    start, id_, length = x["start"], x["id"], x["len"]
+                    out.append((space, id_, start, length, owner if start < end else None))
+                    if start >= end:
+                        end, owner = start + length, id_
+            done = pd.DataFrame(out, columns=["space", "id", "start", "len", "target"])
+            yield done.assign(target=pd.array(done["target"], "Int64"))
+
+    chained = chains.groupBy("space", "_chain").agg(F.array_sort(F.collect_list(F.struct("start", "id", "len"))).alias("chain")).drop("_chain")
+    alone = F.size("chain") == 1
+    none = F.lit(None).cast("long").alias("target")
+    one = chained.where(alone).select("space", F.col("chain")[0].alias("x")).select("space", "x.id", "x.start", "x.len", none)
+    walked = chained.where(~alone).mapInPandas(walk, "space long, id long, start long, len long, target long")
+    return one.unionByName(walked).unionByName(rows.where("len <= 0").select("*", none))
+
 
-    def sweep(key, rows: pd.DataFrame, sizes: pd.DataFrame) -> pd.DataFrame:
-        out, end, claims = [], 0, []
-        for id_, start, length in rows.sort_values(["start", "id"])[["id", "start", "len"]].itertuples(index=False):
-            if start < end and length > 0:
-                target = next((c for c, a, b in reversed(claims) if a <= start < b), None)
-                out.append((id_, "alias", start, length, target))
-                continue
-            if start > end:
-                out.append((None, "gap", end, start - end, None))
-            out.append((id_, "leaf", start, length, None))
-            if length > 0:
-                claims.append((id_, start, start + length))
-                end = start + length
-        for size in sizes["size"]:
-            if size > end:
-                out.append((None, "gap", end, size - end, None))
-        done = pd.DataFrame(out, columns=["id", "kind", "start", "len", "target"])
-        done.insert(0, "space", key[0])
-        return done.astype({"id": "Int64", "target": "Int64"})
-
-    return leaves.groupBy("space").cogroup(spaces.groupBy("space")).applyInPandas(sweep, "space long, id long, kind string, start long, len long, target long")
+def finish(leaves: DataFrame, spaces: DataFrame, width: int = blocks.WIDTH) -> DataFrame:
+    """(space, id, kind, start, len, target): overlaps become aliases of the first claimant, holes become gaps."""
+    done = blocks.kept(claimed(leaves, width))
+    found = done.select("space", "id", F.when(F.col("target").isNull(), "leaf").otherwise("alias").alias("kind"), "start", "len", "target")
+    none = F.lit(None).cast("long")
+    gaps = holes(done.where("target is null").select("space", "start", "len"), spaces, width)
+    return found.unionByName(gaps.select("space", none.alias("id"), F.lit("gap").alias("kind"), "start", "len", none.alias("target")))

@@ -5,53 +5,42 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import blocks
+
 
 def by_use(refs: DataFrame, url: str = "url", pos: str = "pos") -> DataFrame:
     """(url, n, idx): distinct urls by descending use, then by first use, so that the most used gets index 0."""
     used = refs.groupBy(url).agg(F.count("*").alias("n"), F.min(pos).alias("first"))
-    order = Window.orderBy(F.desc("n"), "first")
-    return used.select(url, "n", (F.row_number().over(order) - 1).cast("bigint").alias("idx"))
+    return blocks.numbered(used, [F.desc("n"), "first"], "idx").select(url, "n", "idx")
 
 
 def by_first_use(refs: DataFrame, value: str = "source", order: tuple[str, ...] = ("key", "part")) -> DataFrame:
     """(value, idx): distinct values numbered in the order in which they are met first."""
     first = refs.groupBy(value).agg(F.min(F.struct(*order)).alias("first"))
-    return first.select(value, (F.row_number().over(Window.orderBy("first")) - 1).cast("bigint").alias("idx"))
+    return blocks.numbered(first, ["first"], "idx").select(value, "idx")
 
 
 def build_pages(entries: DataFrame, per_page: int) -> DataFrame:
     """(page, first_key, last_key, n): pages of ``per_page`` keys in byte order."""
-    placed = entries.select("key", F.floor((F.row_number().over(Window.orderBy("key")) - 1) / per_page).cast("bigint").alias("page"))
+    placed = blocks.numbered(entries.select("key"), ["key"], "_n").select("key", F.floor(F.col("_n") / per_page).cast("bigint").alias("page"))
     return placed.groupBy("page").agg(F.min("key").alias("first_key"), F.max("key").alias("last_key"), F.count("*").alias("n"))
 
 
-def page_of(keys: DataFrame, pages: DataFrame) -> DataFrame:
+def page_of(keys: DataFrame, pages: DataFrame, parts: int | None = None) -> DataFrame:
     """(key, page): the last page whose first key is not after the key; null before the first page.
 
-    A page table has one row for each page and is sorted once into an array, which is searched in it by
-    position, so keys are neither sorted nor shuffled.
-    """
-    ordered = pages.select("first_key", "page").agg(F.array_sort(F.collect_list(F.struct("first_key", "page"))).alias("p"))
-    # backward as-of join: a union sorted by key in range partitions would serve page tables that do not fit
-    joined = keys.select("key").join(F.broadcast(ordered))
-    at = F.aggregate("p", F.lit(None).cast("bigint"), lambda acc, x: F.when(x["first_key"] <= F.col("key"), x["page"]).otherwise(acc))
-    return joined.select("key", at.alias("page"))
-
-
-def page_of_large(keys: DataFrame, pages: DataFrame, parts: int = 64) -> DataFrame:
-    """As ``page_of`` for page tables of any size: union, sort by ranges of keys, carry the last page on.
-
-    The last page of each range of keys is carried into the next by its place, so no window spans all rows.
+    An as-of join for page tables of any size: union, sort by ranges of keys, carry the last page on.  The last page
+    of each range of keys is carried into the next by its place, so no window spans all rows.
     """
     both = keys.select("key", F.lit(1).alias("o"), F.lit(None).cast("bigint").alias("page")).unionByName(
         pages.select(F.col("first_key").alias("key"), F.lit(0).alias("o"), "page")
     )
-    dealt = both.repartitionByRange(parts, "key", "o").withColumn("part", F.spark_partition_id())
-    last = dealt.groupBy("part").agg(F.max_by("page", F.when(F.col("page").isNotNull(), F.col("key"))).alias("end"))
-    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    carried = last.select("part", F.last("end", True).over(before).alias("carry"))
-    run = Window.partitionBy("part").orderBy("key", "o").rowsBetween(Window.unboundedPreceding, 0)
-    return dealt.withColumn("page", F.last("page", True).over(run)).join(F.broadcast(carried), "part").where("o = 1").select("key", F.coalesce("page", "carry").alias("page"))
+    dealt = blocks.ranged(both, ["key", "o"], parts)
+    last = dealt.groupBy("_part").agg(F.max_by("page", F.when(F.col("page").isNotNull(), F.col("_at"))).alias("end"))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each partition
+    carried = last.select("_part", F.last("end", True).over(before).alias("carry"))
+    run = Window.partitionBy("_part").orderBy("_at").rowsBetween(Window.unboundedPreceding, 0)
+    return dealt.withColumn("page", F.last("page", True).over(run)).join(F.broadcast(carried), "_part").where("o = 1").select("key", F.coalesce("page", "carry").alias("page"))
 
 
 def pages_with_prefix(pages: DataFrame, prefix: str) -> DataFrame:
@@ -62,14 +51,13 @@ def pages_with_prefix(pages: DataFrame, prefix: str) -> DataFrame:
 
 
 def page_faults(pages: DataFrame) -> DataFrame:
-    """(page, fault) for pages (page, first_key, offset, length) that are empty, overlap, leave gaps or are out of order."""
-    order = Window.orderBy("page")
-    fault = (
-        F.when(F.col("length") <= 0, "empty")
-        .when(F.lag("first_key").over(order) >= F.col("first_key"), "order")
-        .when(F.lag(F.col("offset") + F.col("length")).over(order) != F.col("offset"), "contiguity")
-    )
-    return pages.select("page", fault.alias("fault")).where("fault is not null")
+    """(page, fault) for pages (page, first_key, offset, length) that are empty, overlap, leave gaps or are out of order.
+
+    A page meets the one of the number before it, so pages are numbered without holes.
+    """
+    last = pages.select((F.col("page") + 1).alias("page"), F.col("first_key").alias("_key"), (F.col("offset") + F.col("length")).alias("_end"))
+    fault = F.when(F.col("length") <= 0, "empty").when(F.col("_key") >= F.col("first_key"), "order").when(F.col("_end") != F.col("offset"), "contiguity")
+    return pages.join(last, "page", "left").select("page", fault.alias("fault")).where("fault is not null")
 
 
 def virtual_offsets(objects: DataFrame) -> DataFrame:
@@ -77,21 +65,26 @@ def virtual_offsets(objects: DataFrame) -> DataFrame:
 
     Sums of ranges of keys are added up first, so that no single task sees all objects.
     """
-    dealt = objects.repartitionByRange(F.col("key")).withColumn("_part", F.spark_partition_id())
-    run = Window.partitionBy("_part").orderBy("key").rowsBetween(Window.unboundedPreceding, -1)
-    sums = dealt.groupBy("_part").agg(F.sum("size").alias("_sum"))
-    base = sums.select("_part", F.coalesce(F.sum("_sum").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_base"))
-    placed = dealt.withColumn("_run", F.coalesce(F.sum("size").over(run), F.lit(0))).join(F.broadcast(base), "_part")
-    return placed.withColumn("begin", (F.col("_base") + F.col("_run")).cast("bigint")).drop("_part", "_run", "_base")
+    dealt = blocks.ranged(objects, ["key"])
+    run = Window.partitionBy("_part").orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)
+    base = F.broadcast(blocks.before_parts(dealt, F.sum("size")))  # a row for each partition
+    placed = dealt.withColumn("_run", F.coalesce(F.sum("size").over(run), F.lit(0))).join(base, "_part")
+    return placed.withColumn("begin", (F.col("_before") + F.col("_run")).cast("bigint")).drop("_part", "_at", "_run", "_before")
 
 
 def object_at(offsets: DataFrame, placed: DataFrame) -> DataFrame:
-    """(offset, key, within): the object that holds each virtual offset; bucketed equi-join instead of a range join.
+    """(offset, key, within): the object that holds each virtual offset; offsets outside of all objects are left out.
 
-    Objects are exploded over the blocks of 64 KiB that they touch; an offset meets those of its own block.
+    An as-of join: objects do not overlap, so an offset's object is the last one that begins at or before it.
     """
-    block = 65536
-    touched = placed.where("size > 0").withColumn("_block", F.explode(F.sequence(F.floor(F.col("begin") / block), F.floor((F.col("begin") + F.col("size") - 1) / block))))
-    asked = offsets.select("offset", F.floor(F.col("offset") / block).alias("_block"))
-    inside = (F.col("offset") >= F.col("begin")) & (F.col("offset") < F.col("begin") + F.col("size"))
-    return asked.join(touched, "_block").where(inside).select("offset", "key", (F.col("offset") - F.col("begin")).alias("within"))
+    none = F.lit(None)
+    began = placed.where("size > 0").select(F.col("begin").alias("at"), F.lit(0).alias("o"), F.struct("key", "begin", "size").alias("object"))
+    both = began.unionByName(offsets.select(F.col("offset").alias("at"), F.lit(1).alias("o"), none.cast(began.schema["object"].dataType).alias("object")))
+    dealt = blocks.ranged(both, ["at", "o"])
+    last = dealt.groupBy("_part").agg(F.max_by("object", F.when(F.col("object").isNotNull(), F.col("_at"))).alias("end"))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each partition
+    carried = last.select("_part", F.last("end", True).over(before).alias("carry"))
+    run = Window.partitionBy("_part").orderBy("_at").rowsBetween(Window.unboundedPreceding, 0)
+    met = dealt.withColumn("object", F.last("object", True).over(run)).join(F.broadcast(carried), "_part").where("o = 1")
+    met = met.select(F.col("at").alias("offset"), F.coalesce("object", "carry").alias("object"))
+    return met.where("offset < object.begin + object.size").select("offset", "object.key", (F.col("offset") - F.col("object.begin")).alias("within"))

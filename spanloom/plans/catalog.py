@@ -8,7 +8,7 @@ from pyspark.sql import Window
 from ..functions import policy
 from ..functions.expr import reject
 from ..functions.wire import range_size
-from ..operators import columns, compare, grid, prefixes, reads, store, sweep, tables, tree
+from ..operators import blocks, columns, compare, grid, prefixes, reads, store, sweep, tables, tree
 from . import mapping as m
 
 QUERIES: dict = {}
@@ -25,6 +25,10 @@ def query(text: str = "", *views: str):
     return take
 
 
+#: Blocks of a size that the tables' offsets reach, so that what is carried from block to block is checked too.
+BLOCK = 1 << 14
+
+
 def big(c):
     return (F.col(c) if isinstance(c, str) else c).cast("bigint")
 
@@ -142,7 +146,7 @@ SELECT *, CASE WHEN start - max(stop) OVER (PARTITION BY {by} ORDER BY start, st
 
 @query(_ISLANDS.format(by="source", gap=256), "reads")
 def coalesce_reads(spark, d):
-    return reads.coalesce(m.reads(spark, d), 256)
+    return reads.coalesce(m.reads(spark, d), 256, width=BLOCK)
 
 
 @query("SELECT key, count(*) AS reads FROM (" + _ISLANDS.format(by="key, source", gap=4096) + ") GROUP BY key HAVING count(*) > 5", "reads")
@@ -157,31 +161,39 @@ _SPANS = "spans AS (SELECT source, start, stop FROM (" + _ISLANDS.format(by="sou
 j AS (SELECT *, CASE WHEN gap <= 700 AND sum(gap) OVER (PARTITION BY source ORDER BY gap NULLS LAST, start, stop ROWS UNBOUNDED PRECEDING) <= 3 * asked + 512 THEN 0 ELSE 1 END AS f FROM g)
 SELECT source, min(start) AS start, max(stop) AS stop FROM (SELECT *, sum(f) OVER (PARTITION BY source ORDER BY start, stop ROWS UNBOUNDED PRECEDING) AS island FROM j) GROUP BY source, island""", "reads")
 def greedy_gap_merge(spark, d):
-    spans = reads.coalesce(m.reads(spark, d), 0).select("source", "start", "stop")
-    return reads.merge_smallest_gaps(spans, 700, 4, 512)
+    spans = reads.coalesce(m.reads(spark, d), 0, width=BLOCK).select("source", "start", "stop")
+    return reads.merge_smallest_gaps(spans, 700, 4, 512, BLOCK).select("source", "start", "stop")
 
 
 @query("WITH " + _SPANS + " SELECT source, start, stop, (row_number() OVER (PARTITION BY source ORDER BY start, stop) - 1) // 100 AS request FROM spans", "reads")
 def pack_requests(spark, d):
-    return reads.pack_requests(reads.coalesce(m.reads(spark, d), 0).select("source", "start", "stop"))
+    return reads.pack_requests(reads.coalesce(m.reads(spark, d), 0, width=BLOCK).select("source", "start", "stop"))
+
+
+_WALK = """WITH RECURSIVE spans AS (SELECT source, start, stop FROM (""" + _ISLANDS.format(by="source", gap=0) + """)),
+g AS (SELECT *, coalesce(start - lag(stop) OVER w <= 200, false) AS joined, row_number() OVER w AS n FROM spans WINDOW w AS (PARTITION BY source ORDER BY start)),
+t AS (SELECT source, least(greatest(ceil(sum(stop - start + CASE WHEN joined THEN gap ELSE 0 END) / 4.0), 1024), 4096) AS lim FROM (SELECT *, start - lag(stop) OVER (PARTITION BY source ORDER BY start) AS gap FROM g) GROUP BY source),
+r AS (SELECT g.source, n, start AS first, stop FROM g WHERE n = 1
+  UNION ALL SELECT g.source, g.n, CASE WHEN g.joined AND g.stop - r.first <= t.lim THEN r.first ELSE g.start END, g.stop FROM r JOIN g ON g.source = r.source AND g.n = r.n + 1 JOIN t ON t.source = g.source)
+SELECT source, first AS start, max(stop) AS stop FROM r GROUP BY source, first"""
 
 
-@query()
+@query(_WALK, "reads")
 def split_pieces(spark, d):
-    spans = reads.coalesce(m.reads(spark, d), 4096)
-    cuts = F.array_sort(F.array_distinct(F.transform(F.sequence(F.lit(1), F.lit(8)), lambda k: F.col("start") + ((F.col("stop") - F.col("start")) * k / 8).cast("bigint"))))
-    return reads.split_pieces(spans.select("source", "start", "stop", cuts.alias("cuts")), 4, 1024, 4096)
+    spans = reads.coalesce(m.reads(spark, d), 0, width=BLOCK).select("source", "start", "stop")
+    return reads.split_pieces(reads.merge_smallest_gaps(spans, 200, 1000.0, width=BLOCK), 4, 1024, 4096)
 
 
-@query("""SELECT id, mode, cast(floor(CASE WHEN mode = 'local' THEN greatest(latency * bandwidth / connections, 4096.0) WHEN mode = 'packed' THEN 512.0 WHEN mode = 'cold' THEN 4096.0
-WHEN latency >= 0.5 THEN least(greatest(latency / (1 / bandwidth + connections * 1e-7), 4096.0), 8388608.0) ELSE 4096.0 END) AS bigint) AS gap,
-CASE WHEN mode = 'known' AND latency >= 0.5 THEN 16 ELSE 4 END::bigint AS cap FROM (
-SELECT p_partkey AS id, cast(p_size AS double) / 32 AS latency, p_retailprice * 1024 AS bandwidth, cast(p_partkey % 8 + 1 AS double) AS connections, CASE p_partkey % 4 WHEN 0 THEN 'local' WHEN 1 THEN 'packed' WHEN 2 THEN 'cold' ELSE 'known' END AS mode FROM part)""")
+# a request for n ranges: by the table of modes; 8 MiB at most where requests dominate, else 4 KiB
+@query("""SELECT id, n, mode, CASE mode WHEN 'packed' THEN 512 WHEN 'cold' THEN 4096 WHEN 'local' THEN greatest(cast(floor(latency * bandwidth / connections) AS bigint), 4096)
+ELSE CASE WHEN n * latency >= connections / 2 THEN least(greatest(cast(floor(latency * bandwidth / (1 + connections * bandwidth / 10000000)) AS bigint), 4096), 8388608) ELSE 4096 END END AS gap,
+CASE WHEN mode = 'known' AND n * latency >= connections / 2 THEN 16 ELSE 4 END::bigint AS cap FROM (
+SELECT p_partkey AS id, p_partkey % 40 + 1 AS n, cast(p_size AS double) / 1024 AS latency, p_retailprice * 1024 AS bandwidth, cast(p_partkey % 8 + 1 AS double) AS connections, CASE p_partkey % 4 WHEN 0 THEN 'local' WHEN 1 THEN 'packed' WHEN 2 THEN 'cold' ELSE 'known' END AS mode FROM part)""")
 def read_policy(spark, d):
     p = F.col("p_partkey")
     mode = F.when(p % 4 == 0, "local").when(p % 4 == 1, "packed").when(p % 4 == 2, "cold").otherwise("known")
-    stats = m.load(spark, d, "part").select(p.alias("id"), (F.col("p_size").cast("double") / 32).alias("latency"), (F.col("p_retailprice") * 1024).alias("bandwidth"), (p % 8 + 1).cast("double").alias("connections"), mode.alias("mode"))
-    return reads.read_policy(stats).select("id", "mode", "gap", "cap")
+    stats = m.load(spark, d, "part").select(p.alias("id"), (p % 40 + 1).alias("n"), (F.col("p_size").cast("double") / 1024).alias("latency"), (F.col("p_retailprice") * 1024).alias("bandwidth"), (p % 8 + 1).cast("double").alias("connections"), mode.alias("mode"))
+    return reads.read_policy(stats).select("id", "n", "mode", "gap", "cap")
 
 
 @query("""SELECT source, seq, CASE WHEN count(value) OVER w >= 4 THEN median(value) OVER w END AS median FROM (SELECT user_id AS source, event_id AS seq, value FROM events)
@@ -193,7 +205,7 @@ def sliding_median(spark, d):
 
 @query("SELECT source % 4 AS store, source % 2 = 0 AS external, count(*) AS requests, cast(sum(stop - start) AS bigint) AS bytes FROM (" + _ISLANDS.format(by="source", gap=256) + ") GROUP BY 1, 2", "reads")
 def request_stats(spark, d):
-    t = reads.coalesce(m.reads(spark, d), 256)
+    t = reads.coalesce(m.reads(spark, d), 256, width=BLOCK)
     return t.groupBy((F.col("source") % 4).alias("store"), (F.col("source") % 2 == 0).alias("external")).agg(F.count("*").alias("requests"), F.sum(F.col("stop") - F.col("start")).alias("bytes"))
 
 
@@ -226,7 +238,7 @@ def build_pages(spark, d):
 def page_lookup(spark, d):
     o = m.objects(spark, d)
     keys = o.select(F.when(F.col("doc_id") % 2 == 0, F.col("key")).otherwise(F.concat(F.lit("e"), F.col("key"))).alias("key"))
-    return tables.page_of_large(keys, tables.build_pages(o, 100))
+    return tables.page_of(keys, tables.build_pages(o, 100))
 
 
 @query("WITH " + _PAGES + " SELECT page, first_key FROM pg WHERE last_key >= 'en/src1' AND first_key < 'en/src2'", "objects")
@@ -235,10 +247,10 @@ def page_prefix_scan(spark, d):
 
 
 @query("""SELECT page, fault FROM (SELECT page, CASE WHEN length <= 0 THEN 'empty' WHEN lag(first_key) OVER (ORDER BY page) >= first_key THEN 'order' WHEN lag("offset" + length) OVER (ORDER BY page) <> "offset" THEN 'contiguity' END AS fault FROM (
-SELECT n_nationkey AS page, CASE WHEN n_nationkey % 6 = 5 THEN 'A' ELSE lpad(cast(n_nationkey AS varchar), 4, '0') END AS first_key, n_nationkey * 10 + CASE WHEN n_nationkey % 7 = 3 THEN 1 ELSE 0 END AS "offset", CASE WHEN n_nationkey % 11 = 10 THEN 0 ELSE 10 END AS length FROM nation)) WHERE fault IS NOT NULL""")
+SELECT c_custkey AS page, CASE WHEN c_custkey % 6 = 5 THEN 'A' ELSE lpad(cast(c_custkey AS varchar), 9, '0') END AS first_key, c_custkey * 10 + CASE WHEN c_custkey % 7 = 3 THEN 1 ELSE 0 END AS "offset", CASE WHEN c_custkey % 11 = 10 THEN 0 ELSE 10 END AS length FROM customer)) WHERE fault IS NOT NULL""")
 def page_faults(spark, d):
-    n = F.col("n_nationkey")
-    t = m.load(spark, d, "nation").select(n.alias("page"), F.when(n % 6 == 5, "A").otherwise(F.lpad(n.cast("string"), 4, "0")).alias("first_key"), (n * 10 + F.when(n % 7 == 3, 1).otherwise(0)).alias("offset"), F.when(n % 11 == 10, 0).otherwise(10).alias("length"))
+    n = F.col("c_custkey")
+    t = m.load(spark, d, "customer").select(n.alias("page"), F.when(n % 6 == 5, "A").otherwise(F.lpad(n.cast("string"), 9, "0")).alias("first_key"), (n * 10 + F.when(n % 7 == 3, 1).otherwise(0)).alias("offset"), F.when(n % 11 == 10, 0).otherwise(10).alias("length"))
     return tables.page_faults(t)
 
 
@@ -276,10 +288,11 @@ def nearest_ancestor(spark, d):
     return prefixes.nearest_ancestor(m.objects(spark, d), nodes)
 
 
-@query("SELECT key, size FROM objects WHERE doc_id NOT IN (SELECT event_id % 700 FROM events)", "objects")
+@query("SELECT key, size FROM objects WHERE doc_id NOT IN (SELECT event_id * 3 % (SELECT max(doc_id) + 1 FROM documents) FROM events WHERE event_id * 3 % (SELECT max(doc_id) + 1 FROM documents) % 5 > 0)", "objects")
 def unused_objects(spark, d):
     o = m.objects(spark, d)
-    used = m.load(spark, d, "events").select((F.col("event_id") % 700).alias("doc_id")).distinct().join(o, "doc_id").select("key")
+    last = F.broadcast(o.agg((F.max("doc_id") + 1).alias("n")))  # one row
+    used = m.load(spark, d, "events").join(last).select((F.col("event_id") * 3 % F.col("n")).alias("doc_id")).where("doc_id % 5 > 0").distinct().join(o, "doc_id").select("key")
     return prefixes.unused(o, used).select("key", "size")
 
 
@@ -321,18 +334,25 @@ def multiset_difference(spark, d):
 @query("""SELECT space, a AS start, start - a AS len FROM (SELECT space, start, stop, coalesce(max(stop) OVER (PARTITION BY space ORDER BY start, stop ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS a FROM (
 SELECT space, start, start + len AS stop FROM leaves WHERE len > 0 UNION ALL SELECT space, size, size FROM spaces)) WHERE start > a""", "leaves", "spaces")
 def coverage_holes(spark, d):
-    return sweep.holes(m.leaves(spark, d), m.spaces(spark, d))
+    return sweep.holes(m.leaves(spark, d), m.spaces(spark, d), BLOCK)
 
 
 @query("""SELECT space, faults FROM (SELECT s.space, coalesce(sum(CASE WHEN start <> prev THEN 1 ELSE 0 END), 0) + CASE WHEN coalesce(max(start + len), 0) <> any_value(s.size) THEN 1 ELSE 0 END AS faults
 FROM spaces s LEFT JOIN (SELECT *, coalesce(lag(start + len) OVER (PARTITION BY space ORDER BY start, len), 0) AS prev FROM leaves) l ON l.space = s.space GROUP BY s.space) WHERE faults > 0""".replace("SELECT space, faults", "SELECT space, cast(faults AS bigint) AS faults", 1), "leaves", "spaces")
 def partition_faults(spark, d):
-    return sweep.partition_faults(m.leaves(spark, d), m.spaces(spark, d))
+    return sweep.partition_faults(m.leaves(spark, d), m.spaces(spark, d), BLOCK)
 
 
-@query()
+# leaves in order, with the end and the owner of the last claim; then what claims leave open
+@query("""WITH RECURSIVE o AS (SELECT *, row_number() OVER (PARTITION BY space ORDER BY start, id) AS n FROM leaves WHERE len > 0),
+r AS (SELECT space, n, id, start, len, NULL::bigint AS target, start + len AS pos, id AS owner FROM o WHERE n = 1
+  UNION ALL SELECT o.space, o.n, o.id, o.start, o.len, CASE WHEN o.start < r.pos THEN r.owner END, CASE WHEN o.start < r.pos THEN r.pos ELSE o.start + o.len END, CASE WHEN o.start < r.pos THEN r.owner ELSE o.id END FROM r JOIN o ON o.space = r.space AND o.n = r.n + 1),
+c AS (SELECT space, start, start + len AS stop FROM r WHERE target IS NULL UNION ALL SELECT space, size, size FROM spaces),
+h AS (SELECT space, start, coalesce(max(stop) OVER (PARTITION BY space ORDER BY start, stop ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS a FROM c)
+SELECT space, id, CASE WHEN target IS NULL THEN 'leaf' ELSE 'alias' END AS kind, start, len, target FROM r
+UNION ALL SELECT space, NULL, 'gap', a, start - a, NULL FROM h WHERE start > a UNION ALL SELECT space, id, 'leaf', start, len, NULL FROM leaves WHERE len <= 0""", "leaves", "spaces")
 def finish_sweep(spark, d):
-    return sweep.finish(m.leaves(spark, d), m.spaces(spark, d))
+    return sweep.finish(m.leaves(spark, d), m.spaces(spark, d), BLOCK)
 
 
 # trees
@@ -361,8 +381,7 @@ def first_bytes(spark, d):
 s AS (SELECT id, [step] AS sort FROM k WHERE parent IS NULL UNION ALL SELECT k.id, list_append(s.sort, k.step) FROM k JOIN s ON k.parent = s.id)
 SELECT id, row_number() OVER (ORDER BY sort) - 1 AS pos FROM s""", "elements")
 def canonical_order(spark, d):
-    ordered = tree.canonical_order(m.elements(spark, d), 5)
-    return ordered.select("id", (F.row_number().over(Window.orderBy("sort")) - 1).cast("bigint").alias("pos"))
+    return blocks.numbered(tree.canonical_order(m.elements(spark, d), 5), ["sort"], "pos").select("id", "pos")
 
 
 @query("SELECT id, row_number() OVER (PARTITION BY parent, name ORDER BY start, id) - 1 AS k, CASE WHEN row_number() OVER (PARTITION BY parent, name ORDER BY start, id) > 1 THEN name || '~' || (row_number() OVER (PARTITION BY parent, name ORDER BY start, id) - 1) ELSE name END AS shown FROM elements", "elements")
@@ -445,7 +464,14 @@ def start_gaps(spark, d):
     return columns.starts_as_gaps(t).select("grp", "j", "gap")
 
 
-@query()
+# for each place and period the rows that repeat those a period before; then the greedy walk
+@query("WITH RECURSIVE " + _V + """, u AS (SELECT grp % 50 AS grp, row_number() OVER (PARTITION BY grp % 50 ORDER BY j, v % 3) - 1 AS j, v % 3 AS v FROM v),
+z AS (SELECT a.grp, a.j, p, count(*) OVER (PARTITION BY a.grp, p) + p AS n, min(CASE WHEN a.v <> b.v THEN a.j END) OVER (PARTITION BY a.grp, p ORDER BY a.j ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS stop
+  FROM u a, (SELECT unnest([1, 2, 3, 4]) AS p) JOIN u b ON b.grp = a.grp AND b.j = a.j + p),
+k AS (SELECT grp, j, p, 1 + (coalesce(stop, n - p) - j) // p AS r FROM z WHERE p <= (n - j) // 2),
+best AS (SELECT grp, j, arg_min(p, (-r * p, p)) AS p, arg_min(r, (-r * p, p)) AS r FROM k WHERE r >= 3 GROUP BY grp, j),
+w AS (SELECT DISTINCT grp, 0::bigint AS j FROM u UNION ALL SELECT w.grp, w.j + coalesce(best.r * best.p, 1) FROM w LEFT JOIN best ON best.grp = w.grp AND best.j = w.j JOIN u ON u.grp = w.grp AND u.j = w.j)
+SELECT w.grp AS grp, w.j AS "at", best.p AS period, best.r AS repeats FROM w JOIN best ON best.grp = w.grp AND best.j = w.j""")
 def column_runs(spark, d):
     t = _values(spark, d).withColumn("v", F.col("v") % 3).withColumn("grp", F.col("grp") % 50)
     return columns.column_runs(t.withColumn("j", (F.row_number().over(Window.partitionBy("grp").orderBy("j", "v"))).cast("bigint")))
@@ -461,12 +487,13 @@ def chunk_index(spark, d):
     return t.select("x", "y", grid.chunk_key(F.lit("a"), [x, y], ".").alias("key"), grid.ravel([x, y], [F.lit(0), F.lit(100)]).alias("number"))
 
 
-@query("""SELECT i AS c_x, j AS c_y, coalesce(v, -1) AS value FROM (SELECT unnest(range(0, 32)) AS i), (SELECT unnest(range(0, 7)) AS j) LEFT JOIN
-(SELECT x // 64 AS a, y // 16 AS b, cast(sum(value) AS bigint) AS v FROM cells WHERE flag = 'R' AND x % 5 = 0 AND weight = 1 GROUP BY 1, 2) c ON a = i AND b = j""".replace("FROM (SELECT unnest(range(0, 32)) AS i), (SELECT unnest(range(0, 7)) AS j)", "FROM (SELECT i, j FROM (SELECT unnest(range(0, 32)) AS i), (SELECT unnest(range(0, 7)) AS j)) g"), "cells")
+@query("""SELECT i AS c_x, j AS c_y, coalesce(v, -1) AS value FROM (SELECT unnest(range(0, (SELECT max(x) // 8 + 1 FROM cells))) AS i) CROSS JOIN (SELECT unnest(range(0, (SELECT max(y) // 2 + 1 FROM cells))) AS j)
+LEFT JOIN (SELECT x // 8 AS a, y // 2 AS b, cast(sum(value) AS bigint) AS v FROM cells GROUP BY 1, 2) c ON a = i AND b = j""", "cells")
 def grid_fill(spark, d):
-    arrays = spark.range(1).select(F.lit(2000).alias("shape_x"), F.lit(64).alias("chunk_x"), F.lit(100).alias("shape_y"), F.lit(16).alias("chunk_y"))
-    x, y = grid.chunk_of([F.col("x"), F.col("y")], [F.lit(64), F.lit(16)])
-    got = m.cells(spark, d).where("flag = 'R' and x % 5 = 0 and weight = 1").groupBy(x.alias("c_x"), y.alias("c_y")).agg(F.sum("value").alias("value"))
+    cells = m.cells(spark, d)
+    arrays = cells.agg((F.max("x") + 1).alias("shape_x"), F.lit(8).alias("chunk_x"), (F.max("y") + 1).alias("shape_y"), F.lit(2).alias("chunk_y"))
+    x, y = grid.chunk_of([F.col("x"), F.col("y")], [F.lit(8), F.lit(2)])
+    got = cells.groupBy(x.alias("c_x"), y.alias("c_y")).agg(F.sum("value").alias("value"))
     return grid.filled(grid.all_chunks(arrays, ["x", "y"]), got, ["c_x", "c_y"], "value", -1).select("c_x", "c_y", "value")
 
 
@@ -510,10 +537,11 @@ def blob_chunks(spark, d):
     return grid.blob_chunks(m.objects(spark, d).select(F.col("doc_id").alias("id"), "size"), 1000)
 
 
-@query("SELECT flag, x // 250 AS band, cast(sum(value * weight) AS double) / sum(weight) AS mean FROM cells WHERE x BETWEEN 100 AND 1499 AND y < 60 GROUP BY 1, 2", "cells")
+@query("SELECT flag, x // 250 AS band, cast(sum(value * weight) AS double) / sum(weight) AS mean FROM cells WHERE y < (SELECT max(y) * 3 // 5 FROM cells) GROUP BY 1, 2", "cells")
 def weighted_subset_mean(spark, d):
-    t = m.cells(spark, d).where("x between 100 and 1499 and y < 60").withColumn("band", F.floor(F.col("x") / 250).cast("bigint"))
-    return grid.weighted_mean(t, ["flag", "band"])
+    cells = m.cells(spark, d)
+    bound = F.broadcast(cells.agg(F.floor(F.max("y") * 3 / 5).alias("bound")))  # one row
+    return grid.weighted_mean(cells.join(bound, F.col("y") < F.col("bound")).withColumn("band", F.floor(F.col("x") / 250).cast("bigint")), ["flag", "band"])
 
 
 @query("""SELECT image, first_plane + k AS plane, arg_max(first_ifd + k, (pos, k)) AS ifd FROM (
@@ -559,26 +587,39 @@ def payload_size(spark, d):
 _ADDRESS = "(event_id * 7919 + user_id * 65537) * 4099 % 4294967296"
 
 
-@query(f"SELECT event_id, address, CASE {' '.join(f'WHEN address BETWEEN {lo} AND {hi} THEN ' + repr(name) for name, cidr in policy.V4_CLASSES for lo, hi in [policy.v4_range(cidr)])} ELSE 'public' END AS class FROM (SELECT event_id, {_ADDRESS} AS address FROM events)")
+# the classes by their octets; a multiplier scatters the addresses over the whole range, and every fourth lies in a special place
+@query("""SELECT event_id, address, CASE WHEN a = 127 THEN 'loopback' WHEN a = 10 OR a = 172 AND b BETWEEN 16 AND 31 OR a = 192 AND b = 168 THEN 'private' WHEN a = 169 AND b = 254 THEN 'link-local'
+WHEN a = 0 OR a >= 224 OR a = 100 AND b BETWEEN 64 AND 127 OR a = 192 AND b = 0 AND c IN (0, 2) OR a = 198 AND b IN (18, 19) OR a = 198 AND b = 51 AND c = 100 OR a = 203 AND b = 0 AND c = 113 THEN 'special' ELSE 'public' END AS class
+FROM (SELECT *, address // 16777216 AS a, address // 65536 % 256 AS b, address // 256 % 256 AS c FROM (SELECT event_id, CASE WHEN event_id % 4 > 0 THEN (event_id * 7919 + user_id * 65537) * 4099 % 4294967296
+ELSE [2130706433, 167772160, 2886729728, 2887778303, 2887778304, 3232235521, 2851995649, 1681915904, 1686110207, 3221225472, 3221225985, 3221226240, 3323068416, 3323199487, 3325256704, 3405803776, 16777215, 3758096384][event_id // 4 % 18 + 1] END AS address FROM events))""")
 def cidr_class(spark, d):
-    a = (F.col("event_id") * 7919 + F.col("user_id") * 65537) * 4099 % 4294967296
-    t = m.load(spark, d, "events").select("event_id", a.alias("address"))
-    return t.withColumn("class", policy.address_class(F.col("address")))
+    edges = F.array(*map(F.lit, (2130706433, 167772160, 2886729728, 2887778303, 2887778304, 3232235521, 2851995649, 1681915904, 1686110207, 3221225472, 3221225985, 3221226240, 3323068416, 3323199487, 3325256704, 3405803776, 16777215, 3758096384)))
+    i = F.col("event_id")
+    a = F.when(i % 4 > 0, (i * 7919 + F.col("user_id") * 65537) * 4099 % 4294967296).otherwise(F.get(edges, (F.floor(i / 4) % 18).cast("int")))
+    return m.load(spark, d, "events").select("event_id", a.cast("bigint").alias("address")).withColumn("class", policy.address_class(F.col("address")))
 
 
 _ALLOW = ["https://blog.tionble.example.com/en", "http://m.tiontion.example.com", "https://tionsh.example.net/"]
 
 
-@query("SELECT page_id, (" + " OR ".join(f"(starts_with(url, '{p}') AND ({p.endswith('/')} OR substr(url, {len(p) + 1}, 1) IN ('', '/', '?', '#')))" for p in _ALLOW) + ") AND NOT regexp_matches(lower(url), '%(2e|2f|5c)') AS allowed FROM pages")
+@query("SELECT page_id, (" + " OR ".join(f"(starts_with(url, '{p}') AND ({p.endswith('/')} OR substr(url, {len(p) + 1}, 1) IN ('', '/', '?', '#')))" for p in _ALLOW) + ") AND NOT regexp_matches(regexp_extract(lower(url), '^[^?#]*'), '%(2e|2f|5c)') AS allowed FROM pages")
 def prefix_policy(spark, d):
     return m.load(spark, d, "pages").select("page_id", policy.allowed_by(F.col("url"), _ALLOW).alias("allowed"))
 
 
-@query("""SELECT n_nationkey, host, CASE WHEN host IN ('127.0.0.1', 'localhost', 'a.localhost') THEN 'loopback' WHEN host IN ('10.1.2.3', '192.168.1.1') THEN 'private' WHEN host = '8.8.8.8' THEN 'public' ELSE 'unknown' END AS class FROM (
-SELECT n_nationkey, ['127.0.0.1', 'localhost', 'a.localhost', '10.1.2.3', '8.8.8.8', '192.168.1.1', 'example.com', '1.2.3', '1.2.3.400'][n_nationkey % 9 + 1] AS host FROM nation)""")
+#: Hosts and their classes, by hand.
+_HOSTS = {
+    "127.0.0.1": "loopback", "localhost": "loopback", "a.LocalHost": "loopback", "10.1.2.3": "private", "8.8.8.8": "public", "192.168.1.1": "private", "example.com": None, "1.2.3": None, "1.2.3.400": None,
+    "1.2.3.4.": "public", "01.2.3.4": None, "100.64.0.1": "special", "192.0.2.1": "special", "198.18.0.1": "special", "169.254.1.1": "link-local", "[::1]": "loopback", "[::ffff:7f00:1]": "loopback",
+    "[64:ff9b::7f00:1]": "loopback", "[::ffff:10.0.0.1]": "private", "[2002:0a00:0001::]": "private", "[fe80::1%25eth0]": "link-local", "[fd00::1]": "private", "[2001:db8::1]": "special", "[2606:4700::1111]": "public",
+    "[ff02::1]": "special", "[::]": "special", "[1:2:3]": None, "[1::2::3]": None, "[1:2:3:4:5:6:7:8]": "special", "[2400:2:3:4:5:6:7:8]": "public", "[12345::]": None, "[::1.2.3]": None,
+}
+
+
+@query("SELECT c_custkey, list_extract([" + ", ".join(f"'{h}'" for h in _HOSTS) + f"], c_custkey % {len(_HOSTS)} + 1) AS host, list_extract([" + ", ".join(f"'{c}'" if c else "NULL" for c in _HOSTS.values()) + f"], c_custkey % {len(_HOSTS)} + 1) AS class FROM customer")
 def host_class(spark, d):
-    hosts = F.array(*map(F.lit, ["127.0.0.1", "localhost", "a.localhost", "10.1.2.3", "8.8.8.8", "192.168.1.1", "example.com", "1.2.3", "1.2.3.400"]))
-    t = m.load(spark, d, "nation").select("n_nationkey", F.get(hosts, F.col("n_nationkey").cast("int") % 9).alias("host"))
+    hosts = F.array(*map(F.lit, _HOSTS))
+    t = m.load(spark, d, "customer").select("c_custkey", F.get(hosts, (F.col("c_custkey") % len(_HOSTS)).cast("int")).alias("host"))
     return t.withColumn("class", policy.host_class(F.col("host")))
 
 
@@ -590,9 +631,13 @@ def rewrite_urls(spark, d):
     return policy.rewritten(m.load(spark, d, "pages"), _RULES).select("page_id", "to")
 
 
-@query("SELECT p_partkey, regexp_replace(url, '^s3://([^/]+)/', 'https://\\1.s3.amazonaws.com/') AS url FROM (SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 THEN 's3://bucket' || p_size || '/' || p_name ELSE 'https://h/' || p_name END AS url FROM part)")
+@query("""SELECT p_partkey, CASE p_partkey % 6 WHEN 0 THEN 'https://bucket' || p_size || '.s3.amazonaws.com/' || p_name WHEN 1 THEN 'https://b-' || p_size || '.s3.amazonaws.com/' END AS url FROM part""")
 def public_urls(spark, d):
-    url = F.when(F.col("p_partkey") % 2 == 0, F.concat(F.lit("s3://bucket"), F.col("p_size").cast("string"), F.lit("/"), F.col("p_name"))).otherwise(F.concat(F.lit("https://h/"), F.col("p_name")))
+    k, size, name = F.col("p_partkey") % 6, F.col("p_size").cast("string"), F.col("p_name")
+    url = (
+        F.when(k == 0, F.concat(F.lit("s3://bucket"), size, F.lit("/"), name)).when(k == 1, F.concat(F.lit("S3://b-"), size)).when(k == 2, F.concat(F.lit("https://h/"), name))
+        .when(k == 3, F.concat(F.lit("s3://with.dot/"), name)).when(k == 4, F.concat(F.lit("s3://Upper/"), name)).otherwise(F.concat(F.lit("s3://ends-/"), name))
+    )
     return m.load(spark, d, "part").select("p_partkey", policy.public_object_url(url).alias("url"))
 
 

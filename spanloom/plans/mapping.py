@@ -48,13 +48,15 @@ def reads(spark, d):
 
 
 def text_ranges(spark, d):
-    """(key, part, source, offset, length): events of a user as parts of one value over documents."""
-    t = load(spark, d, "events")
+    """(key, part, source, offset, length): events of a user as parts of one value over all documents, as long as these."""
+    t, docs = load(spark, d, "events"), load(spark, d, "documents")
     order = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    return t.select(
-        F.concat(F.lit("u/"), _padded("user_id", 6)).alias("key"), (F.row_number().over(order) - 1).cast("bigint").alias("part"),
-        F.pmod("event_id", F.lit(250)).cast("bigint").alias("source"), F.pmod(F.col("event_id") * 7, F.lit(40)).cast("bigint").alias("offset"),
-        (F.pmod("event_id", F.lit(9)) + 1).cast("bigint").alias("length"),
+    last = F.broadcast(docs.agg((F.max("doc_id") + 1).alias("n")))  # one row
+    asked = t.join(last).select("event_id", "user_id", (F.row_number().over(order) - 1).cast("bigint").alias("part"), F.pmod(F.col("event_id") * 7, F.col("n")).cast("bigint").alias("source"))
+    sized = asked.join(docs.select(F.col("doc_id").alias("source"), F.length("text").alias("n")), "source", "left")
+    return sized.select(
+        F.concat(F.lit("u/"), _padded("user_id", 6)).alias("key"), "part", "source",
+        F.coalesce(F.pmod(F.col("event_id") * 7919, F.greatest("n", F.lit(1))), F.lit(0)).cast("bigint").alias("offset"), (F.pmod("event_id", F.lit(9)) + 1).cast("bigint").alias("length"),
     )
 
 
@@ -83,7 +85,9 @@ def leaves(spark, d):
 
 
 def spaces(spark, d):
-    return load(spark, d, "supplier").select(F.col("s_suppkey").cast("bigint").alias("space"), F.lit(20100).cast("bigint").alias("size"))
+    """(space, size): suppliers' spaces, a little longer than the furthest part."""
+    last = F.broadcast(load(spark, d, "part").agg((F.max("p_partkey") * 10 + 100).cast("bigint").alias("size")))  # one row
+    return load(spark, d, "supplier").join(last).select(F.col("s_suppkey").cast("bigint").alias("space"), "size")
 
 
 def cells(spark, d):
@@ -100,10 +104,10 @@ SQL = {
     "ranges": "SELECT 'o/' || lpad(cast(l_orderkey AS varchar), 10, '0') AS key, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) - 1 AS part, cast(l_suppkey AS bigint) AS source, cast(l_partkey * 64 AS bigint) AS \"offset\", cast(l_quantity AS bigint) AS length FROM lineitem",
     "sources": "SELECT cast(s_suppkey AS bigint) AS idx, cast(s_suppkey * 40 + 60000 AS bigint) AS size FROM supplier",
     "reads": "SELECT key, source, \"offset\" AS start, \"offset\" + length AS stop FROM ranges",
-    "text_ranges": "SELECT 'u/' || lpad(cast(user_id AS varchar), 6, '0') AS key, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS part, cast(event_id % 250 AS bigint) AS source, cast(event_id * 7 % 40 AS bigint) AS \"offset\", cast(event_id % 9 + 1 AS bigint) AS length FROM events",
+    "text_ranges": "SELECT 'u/' || lpad(cast(user_id AS varchar), 6, '0') AS key, part, source, cast(coalesce(event_id * 7919 % greatest(length(text), 1), 0) AS bigint) AS \"offset\", cast(event_id % 9 + 1 AS bigint) AS length FROM (SELECT event_id, user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS part, cast(event_id * 7 % (SELECT max(doc_id) + 1 FROM documents) AS bigint) AS source FROM events) e LEFT JOIN (SELECT doc_id, text FROM documents) t ON t.doc_id = e.source",
     "elements": "SELECT 0::bigint AS id, NULL::bigint AS parent, 'root' AS name, 0::bigint AS start, 0::bigint AS len UNION ALL SELECT r_regionkey + 1, 0, r_name, 0, 0 FROM region UNION ALL SELECT n_nationkey + 1000, n_regionkey + 1, n_name, 0, 0 FROM nation UNION ALL SELECT c_custkey + 1000000, c_nationkey + 1000, c_mktsegment, 0, 0 FROM customer UNION ALL SELECT o_orderkey + 1000000000, o_custkey + 1000000, o_orderpriority, o_orderkey * 7919 % 1000003, o_orderkey % 5 * 10 FROM orders",
     "leaves": "SELECT cast(l_suppkey AS bigint) AS space, cast(l_partkey * 10 AS bigint) AS start, max(cast(l_quantity AS bigint)) AS len, cast(min(l_orderkey) AS bigint) AS id FROM lineitem GROUP BY 1, 2",
-    "spaces": "SELECT cast(s_suppkey AS bigint) AS space, 20100::bigint AS size FROM supplier",
+    "spaces": "SELECT cast(s_suppkey AS bigint) AS space, cast((SELECT max(p_partkey) * 10 + 100 FROM part) AS bigint) AS size FROM supplier",
     "cells": "SELECT cast(l_partkey AS bigint) AS x, cast(l_suppkey AS bigint) AS y, cast(l_quantity AS bigint) AS value, cast(l_linenumber AS bigint) AS weight, l_returnflag AS flag FROM lineitem",
 }
 _NEEDS = {"reads": ("ranges",)}

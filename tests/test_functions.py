@@ -51,10 +51,11 @@ def test_uri_and_policy_columns(spark):
     rows = ["a/b", "http://h/x?y#z", "a b", "%zz", "1:b", "a:b", "", "é", "./1:b"]
     got = spark.createDataFrame([(r,) for r in rows], "u string").select(uri.is_reference(F.col("u")).alias("ok")).collect()
     assert [r.ok for r in got] == [True, True, False, False, False, True, True, False, True]
-    hosts = {"127.0.0.1": "loopback", "10.0.0.1": "private", "100.64.0.1": "shared", "[::1]": "loopback", "[::ffff:10.0.0.1]": "private", "[fe80::1]": "link-local", "x.localhost": "loopback", "example.com": "unknown", "01.2.3.4": "unknown", "1.2.3.4.": "unknown"}
+    hosts = {"127.0.0.1": "loopback", "10.0.0.1": "private", "100.64.0.1": "special", "[::1]": "loopback", "[::ffff:10.0.0.1]": "private", "[fe80::1]": "link-local", "x.localhost": "loopback", "example.com": None, "01.2.3.4": None, "1.2.3.4.": "public",
+             "192.0.2.1": "special", "198.18.0.1": "special", "[::ffff:7f00:1]": "loopback", "[64:ff9b::7f00:1]": "loopback", "[2002:7f00:1::]": "loopback"}
     got = spark.createDataFrame([(h,) for h in hosts], "h string").select("h", policy.host_class(F.col("h")).alias("c")).collect()
     assert {r.h: r.c for r in got} == hosts
-    urls = [("http://h/a", True), ("http://h/ab", False), ("http://h/a/b", True), ("http://h/a?x", True), ("http://h/a/%2e%2E/x", False)]
+    urls = [("http://h/a", True), ("http://h/ab", False), ("http://h/a/b", True), ("http://h/a?x", True), ("http://h/a/%2e%2E/x", False), ("http://h/a?x=%2f", True), ("http://h/a#%2e", True), ("http://h/a/%5C", False)]
     got = spark.createDataFrame(urls, "u string, want boolean").select("want", policy.has_prefix(F.col("u"), F.lit("http://h/a")).alias("ok")).collect()
     assert all(r.want == r.ok for r in got)
     got = spark.createDataFrame([('"a"', True), ('W/"a"', False), ('"a b"', False), ('""', True)], "e string, want boolean").select("want", policy.strong_etag(F.col("e")).alias("ok")).collect()
@@ -107,19 +108,93 @@ def test_wrapping_and_runs(spark):
     assert [(r.at, r.period, r.repeats) for r in columns.column_runs(runs).orderBy("at").collect()] == [(0, 1, 3), (3, 2, 3)]
 
 
+def test_public_object_urls(spark):
+    urls = {"s3://b-1/k/x": "https://b-1.s3.amazonaws.com/k/x", "S3://b1": "https://b1.s3.amazonaws.com/", "s3://a.b/k": None, "https://h/x": None, "s3://B1/k": None, "s3://-b/k": None, "s3://b/k": None}
+    got = spark.createDataFrame([(u,) for u in urls], "u string").select("u", policy.public_object_url(F.col("u")).alias("x")).collect()
+    assert {r.u: r.x for r in got} == urls
+
+
+def test_address_classes_against_ipaddress(spark):
+    import ipaddress
+    import random
+
+    rng = random.Random(5)
+
+    def plain(text):
+        try:
+            a = ipaddress.ip_address(text)
+        except ValueError:
+            return None
+        if a.version == 6:
+            n = int(a)
+            if n >> 32 in (0xFFFF, 0x64FF9B << 64):
+                return plain(str(ipaddress.IPv4Address(n & 0xFFFFFFFF)))
+            if n >> 112 == 0x2002:
+                return plain(str(ipaddress.IPv4Address(n >> 80 & 0xFFFFFFFF)))
+        return next((c for c, some in policy.CLASSES.items() for b in some if a in ipaddress.ip_network(b)), "public")
+
+    hosts = [str(ipaddress.IPv4Address(rng.getrandbits(32))) for _ in range(200)] + [str(ipaddress.IPv6Address(rng.getrandbits(128) >> rng.choice([0, 0, 64, 96, 120]))) for _ in range(200)]
+    for some in policy.CLASSES.values():
+        for b in some:
+            net = ipaddress.ip_network(b)
+            hosts += [str(net[0]), str(net[-1])] + ([str(net[0] - 1)] if int(net[0]) else [])
+    groups = lambda n: ":".join(rng.choice(["", "0", "a", "ffff", "1234", "12345", "g", "1.2.3.4"]) for _ in range(n))
+    hosts += [groups(rng.randint(1, 10)) for _ in range(1500)] + ["::" + groups(rng.randint(0, 8)) for _ in range(500)] + ["64:ff9b::10.0.0.1", "::1.2.3.4", "2002:a00:1::", "1:2:3:4:5:6:7::", "::2:3:4:5:6:7:8", "1:2:3:4:5:6:1.2.3.4", "1::1.2.3.4:5"]
+    hosts = sorted({h for h in hosts if not h.endswith(".")})
+    got = spark.createDataFrame([(h,) for h in hosts], "h string").select("h", policy.host_class(F.col("h")).alias("c")).collect()
+    assert {r.h: r.c for r in got} == {h: plain(h) for h in hosts}
+
+
+def test_running_values_cross_blocks(spark):
+    from spanloom.operators import blocks
+
+    rows = [(g, i * 3 % 200, (i * 7919) % 50) for g in (1, 2) for i in range(150)]
+    df = spark.createDataFrame(rows, "g long, at long, v long")
+    for how in ("max", "sum", "last"):
+        for inclusive in (False, True):
+            want = {}
+            for g in (1, 2):
+                seen = []
+                for at, v in sorted((a, v) for h, a, v in rows if h == g):
+                    so = seen + [v] if inclusive else seen
+                    some = [x for x in so if how != "last" or x % 4]
+                    want[g, at, v] = (max(some) if how == "max" else sum(some) if how == "sum" else some[-1]) if some else None
+                    seen.append(v)
+            value = F.when(F.col("v") % 4 > 0, F.col("v")) if how == "last" else F.col("v")
+            for width in (1, 16, 1 << 30):
+                got = blocks.running(df, ["g"], "at", ["v"], value, how, "x", inclusive, width).collect()
+                assert {(r.g, r.at, r.v): r.x for r in got} == want
+    numbers = blocks.numbered(df.select("at", "v").distinct(), [F.desc("v"), "at"], "k", 5).collect()
+    assert [(r.at, r.v) for r in sorted(numbers, key=lambda r: r.k)] == sorted({(a, v) for _, a, v in rows}, key=lambda x: (-x[1], x[0]))
+    assert sorted(r.k for r in numbers) == list(range(len(numbers)))
+
+
+def test_empty_leaves_leave_their_place(spark):
+    leaves = spark.createDataFrame([(1, 1, 10, 0), (1, 2, 20, 5)], "space long, id long, start long, len long")
+    got = sweep.finish(leaves, spark.createDataFrame([(1, 30), (2, 4)], "space long, size long")).collect()
+    assert sorted((r.space, r.kind, r.start, r.len) for r in got) == [(1, "gap", 0, 20), (1, "gap", 25, 5), (1, "leaf", 10, 0), (1, "leaf", 20, 5), (2, "gap", 0, 4)]
+
+
+def test_gaps_at_cuts_are_not_read(spark):
+    df = spark.createDataFrame([(1, 0, 100, [(0, 30), (35, 60), (61, 90), (95, 100)])], "source long, start long, stop long, ranges array<struct<start: long, stop: long>>")
+    assert sorted((r.start, r.stop) for r in reads.split_pieces(df, 4, 10, 50).collect()) == [(0, 30), (35, 60), (61, 90), (95, 100)]
+    assert sorted((r.start, r.stop) for r in reads.split_pieces(df, 3, 10, 50).collect()) == [(0, 30), (35, 60), (61, 90), (95, 100)]
+    assert sorted((r.start, r.stop) for r in reads.split_pieces(df, 1, 10, 65).collect()) == [(0, 60), (61, 100)]
+
+
 def test_splitting_never_cuts_an_asked_range(spark):
-    df = spark.createDataFrame([(1, 0, 100, [30, 60, 90, 100])], "source long, start long, stop long, cuts array<long>")
+    df = spark.createDataFrame([(1, 0, 100, [(0, 30), (30, 60), (60, 90), (90, 100)])], "source long, start long, stop long, ranges array<struct<start: long, stop: long>>")
     assert sorted((r.start, r.stop) for r in reads.split_pieces(df, 4, 10, 50).collect()) == [(0, 30), (30, 60), (60, 90), (90, 100)]
     got = sorted((r.start, r.stop) for r in reads.split_pieces(df, 1, 10, 65).collect())
     assert got == [(0, 60), (60, 100)]
 
 
-def test_page_look_ups_agree(spark):
+def test_page_look_ups(spark):
     pages = spark.createDataFrame([("b", 0), ("d", 1), ("k", 2)], "first_key string, page long")
     keys = spark.createDataFrame([("a",), ("b",), ("c",), ("zz",), ("k",), ("d",)], "key string")
-    a = sorted((r.key, r.page) for r in tables.page_of(keys, pages).collect())
-    assert a == sorted((r.key, r.page) for r in tables.page_of_large(keys, pages, 3).collect())
-    assert dict(a) == {"a": None, "b": 0, "c": 0, "d": 1, "k": 2, "zz": 2}
+    for parts in (1, 3, None):
+        got = {r.key: r.page for r in tables.page_of(keys, pages, parts).collect()}
+        assert got == {"a": None, "b": 0, "c": 0, "d": 1, "k": 2, "zz": 2}
 
 
 def test_resolution_of_bytes(spark):
