@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from contextlib import contextmanager
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -77,3 +79,32 @@ def unstash(*stashed: DataFrame) -> None:
 
 def text_or_empty(name: str = "text"):
     return F.coalesce(F.col(name), F.lit(""))
+
+
+def trim() -> None:
+    """Give memory that a worker has done with back to the system: workers outlive their tasks, and others start beside them."""
+    pa.default_memory_pool().release_unused()
+    libc = ctypes.CDLL(None)
+    if hasattr(libc, "malloc_trim"):
+        libc.malloc_trim(0)
+
+
+def lean(f):
+    """``f`` over batches, which leaves little memory behind."""
+
+    def run(batches):
+        yield from f(batches)
+        trim()
+
+    return run
+
+
+def lean_group(f):
+    """``f`` of a group, which leaves little memory behind."""
+
+    def run(group):
+        out = f(group)
+        trim()
+        return out
+
+    return run

@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stash, unstash
+from .common import lean, lean_group, stash, unstash
 from .components import connected_components
 
 #: Characters in a shingle, and the least Jaccard similarity of two lines that count as one.
@@ -93,19 +93,19 @@ PART = 1 << 18
 def band_keys(norms: list[str], size: int = SHINGLE) -> np.ndarray:
     """A row of 64-bit keys for each line, one for each band: odd ones, or even ones of shingles of ``FINE`` characters."""
     bands, rows = BANDS[size]
-    keys = np.concatenate([np.zeros((0, bands), np.uint64), *(_band_keys(minima(p, size, bands * rows), bands) for p in _parts(norms))])
+    keys = np.concatenate([np.zeros((0, bands), np.uint64), *(keys_of(minima(*shingle_hashes(p, size), bands * rows), bands) for p in _parts(norms))])
     return keys >> np.uint64(1) << np.uint64(1) | np.uint64(size != FINE)
 
 
-def minima(norms: list[str], size: int, n: int) -> np.ndarray:
-    """A row of ``n`` MinHashes for each line, of one permutation that is cut into ``n`` bins.
+def minima(h: np.ndarray, starts: np.ndarray, n: int) -> np.ndarray:
+    """A row of ``n`` MinHashes for each set of 32-bit hashes, of one permutation that is cut into ``n`` bins.
 
-    An empty bin takes the least hash of another, the first that is not empty in an order of its own, the same for all
-    lines.  So two lines agree in a bin with the probability of their similarity, however few shingles they have.
+    Sets begin at ``starts`` and are not empty.  An empty bin takes the least hash of another, the first that is not
+    empty in an order of its own, the same for all sets.  So two sets agree in a bin with the probability of their
+    similarity, however few hashes they have.
     """
-    h, starts = shingle_hashes(norms, size)
-    line = np.repeat(np.arange(len(norms)) * n, np.diff(np.append(starts, len(h))))
-    out = np.full(len(norms) * n, _NONE, np.uint64)
+    line = np.repeat(np.arange(len(starts)) * n, np.diff(np.append(starts, len(h))))
+    out = np.full(len(starts) * n, _NONE, np.uint64)
     rest = h * np.uint32(0x9E3779B1)
     rest ^= rest >> np.uint32(15)
     rest = (rest * np.uint32(0x85EBCA6B)).astype(np.uint64)
@@ -133,7 +133,8 @@ def minima(norms: list[str], size: int, n: int) -> np.ndarray:
     return out.reshape(-1, n)
 
 
-def _band_keys(least: np.ndarray, bands: int) -> np.ndarray:
+def keys_of(least: np.ndarray, bands: int) -> np.ndarray:
+    """A 64-bit key for each band of each row of MinHashes."""
     key = np.arange(1, bands + 1, dtype=np.uint64) * _MIX[2]
     for row in np.moveaxis(least.reshape(len(least), bands, -1), 2, 0):
         key = (key ^ row) * _MIX[3]
@@ -150,10 +151,10 @@ MAP_BITS = 4096
 
 
 def _parts(norms: list[str]):
-    """``norms`` in slices of about PART characters."""
+    """``norms`` in slices of about PART characters, and not of very many lines."""
     part, size = [], 0
     for line in norms:
-        if size > PART:
+        if size > PART or len(part) >= PART // 128:
             yield part
             part, size = [], 0
         part.append(line)
@@ -243,7 +244,7 @@ def _texts(docs, id_col, text_col):
 
 
 #: Characters of text whose distinct lines are put together.
-BATCH = 4 << 20
+BATCH = 2 << 20
 
 
 def _slices(b: pd.DataFrame):
@@ -293,8 +294,8 @@ def buckets(docs: DataFrame, id_col: str, text_col: str, min_chars: int = MIN_CH
         many[:-1] |= same
         return pd.DataFrame({"key": rows[many, 0], "h": rows[many, 1]})
 
-    packed = _texts(docs, id_col, text_col).select("text").mapInPandas(pack, "part int, rows binary")
-    return packed.groupBy("part").applyInPandas(meet, "key long, h long")
+    packed = _texts(docs, id_col, text_col).select("text").mapInPandas(lean(pack), "part int, rows binary")
+    return packed.groupBy("part").applyInPandas(lean_group(meet), "key long, h long")
 
 
 #: Bits of the sketch that spares lines without a partner the shuffle.  It has this size whatever the input is.
@@ -339,7 +340,7 @@ def places(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, min_c
             ids = np.repeat(b["id"].to_numpy(np.int64), np.array(counts, np.int64))
             yield pd.DataFrame({"id": ids, "line": np.array(numbers, np.int32), "h": h, "norm": [n if t else None for n, t in zip(norms, told.tolist())]})
 
-    return _texts(docs, id_col, text_col).mapInPandas(read, "id long, line int, h long, norm string")
+    return _texts(docs, id_col, text_col).mapInPandas(lean(read), "id long, line int, h long, norm string")
 
 
 def unlike(members: DataFrame) -> DataFrame:
@@ -410,7 +411,7 @@ def links(members: DataFrame, texts: DataFrame, block: int = BLOCK) -> DataFrame
         found = np.array(out, np.int64).reshape(-1, 2)
         return pd.DataFrame({"u": np.minimum(found[:, 0], found[:, 1]), "v": np.maximum(found[:, 0], found[:, 1])})
 
-    return rows.groupBy("part").applyInPandas(verify, "u long, v long").distinct()
+    return rows.groupBy("part").applyInPandas(lean_group(verify), "u long, v long").distinct()
 
 
 def components_of(members: DataFrame, texts: DataFrame, block: int = BLOCK) -> DataFrame:

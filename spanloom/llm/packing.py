@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stash
+from .common import lean, stash
 
 #: Tokens of a sequence, and the id that ends a document.
 CAPACITY, END = 2048, 0
@@ -114,7 +114,7 @@ def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capa
 
     # as text: nulls would turn long ids into floating-point numbers
     rows = docs.select(F.col(id_col).cast("long").cast("string").alias("id"), F.col(text_col).alias("text"))
-    return rows.mapInPandas(cut, "id string, piece int, start long, length long, crc long").withColumn("id", F.col("id").cast("long"))
+    return rows.mapInPandas(lean(cut), "id string, piece int, start long, length long, crc long").withColumn("id", F.col("id").cast("long"))
 
 
 # A solution is a list of bins, a bin a list of item numbers.
@@ -245,7 +245,7 @@ def pack(cut: DataFrame, capacity: int = CAPACITY, block: int = BLOCK, seed: int
     every = every.repartition(max(1, min(blocks * ISLANDS, 4 * int(cut.sparkSession.conf.get("spark.sql.shuffle.partitions")))), "block", "island")
     state = every.withColumns({"own": F.lit(None).cast("binary"), "came": F.lit(None).cast("binary")})
     for number in range(ROUNDS):
-        solved = stash(state.mapInPandas(island_round(number), "block int, island int, own binary, bins int"), "islands", BLOCK_ROWS)
+        solved = stash(state.mapInPandas(lean(island_round(number)), "block int, island int, own binary, bins int"), "islands", BLOCK_ROWS)
         came = solved.select("block", ((F.col("island") + 1) % ISLANDS).alias("island"), F.col("own").alias("came"))
         state = every.join(solved.select("block", "island", "own"), ["block", "island"]).join(came, ["block", "island"])
     best = solved.groupBy("block").agg(F.min(F.struct("bins", "island")).alias("best")).select("block", "best.island")

@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stash, text_or_empty, tidy
+from .common import lean, lean_group, stash, text_or_empty, tidy
 
 #: Bytes of a repeated string, and of the first part of a suffix that is sorted, which stands at one of SPAN places in it.
 LENGTH, DIGIT = 50, 24
@@ -226,7 +226,7 @@ def repeated_digits(docs: DataFrame, bits: int, size: int) -> tuple[Sketch, np.n
         return pd.DataFrame({"part": b["part"].iloc[:1], "bitmap": [np.packbits(marks, bitorder="little").tobytes()], "hot": [digits[starts[times > HOT]].tobytes()]})
 
     with tidy(docs.sparkSession):
-        sent = docs.mapInPandas(send, "part int, rows binary").groupBy("part").applyInPandas(meet, "part int, bitmap binary, hot binary")
+        sent = docs.mapInPandas(lean(send), "part int, rows binary").groupBy("part").applyInPandas(lean_group(meet), "part int, bitmap binary, hot binary")
         got = sent.collect()  # 2**size bits, and one digit for each HOT suffixes at most
     return Sketch({r.part: bytes(r.bitmap) for r in got}, bits, size), np.sort(_joined([bytes(r.hot) for r in got], np.uint64))
 
@@ -339,7 +339,7 @@ def _sorted_by(rows: DataFrame, bits: int, digits: Sketch, hot: np.ndarray) -> D
             _, places = _blobs(place[go], first[go])
             yield pd.DataFrame({"part": part, "known": False, "rows": blobs, "starts": places})
 
-    return rows.mapInPandas(send, "part int, known boolean, rows binary, starts binary")
+    return rows.mapInPandas(lean(send), "part int, known boolean, rows binary, starts binary")
 
 
 def _bucket(runs: np.ndarray, bits: int) -> np.ndarray:
@@ -489,8 +489,8 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     bits = min(max(4, (parts - 1).bit_length()), 24)
     size = min(max(SKETCH_BITS, (total // 16).bit_length()), MOST_SKETCH_BITS)
     digits, hot = repeated_digits(known.select("id", "text"), bits, size)
-    met = _sorted_by(known, bits, digits, hot).groupBy("part").applyInPandas(_meet(bits), "bucket int, runs binary")
-    runs = stash(met.groupBy("bucket").applyInPandas(_merge, "id long, h long, starts array<long>, ends array<long>"), "runs")
+    met = _sorted_by(known, bits, digits, hot).groupBy("part").applyInPandas(lean_group(_meet(bits)), "bucket int, runs binary")
+    runs = stash(met.groupBy("bucket").applyInPandas(lean_group(_merge), "id long, h long, starts array<long>, ends array<long>"), "runs")
     spans = F.coalesce(F.arrays_zip(F.col("starts").alias("start"), F.col("ends").alias("end")), F.expr("cast(array() as array<struct<start: bigint, end: bigint>>)"))
     return rows.join(runs, ["id", "h"], "left").select("id", "text", spans.alias("spans"))
 
