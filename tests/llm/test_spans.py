@@ -106,3 +106,113 @@ def test_copies_of_one_owner_make_no_example(spark):
     got = {r.id: r for r in credentials.find(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
     assert got[0].n_live == 1 and got[0].n_example == 0
     assert [(x.start, x.end) for x in got[50].spans] == [(6, 19)]
+
+
+def plain_added(rows):
+    """id -> added spans, by plain loops over candidates and patterns."""
+    import regex
+
+    word = regex.compile(r"[\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}]|[[\p{L}\p{M}]--[\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}]]+", regex.V1)
+    char = r"[A-Za-z0-9._%+@()\[\]\-]"
+    at = r"[(\[]at[)\]]"
+    candidate = re.compile(rf"(?<!{char})[+(]?[0-9][0-9().-]*+(?!{char})(?:[ ][(]?[0-9]{{2}}[0-9().-]*+(?!{char}))*+|(?<!{char})(?:(?!{at})[A-Za-z._%+()\[\]-])*+(?:[0-9@]|{at}){char}*+")
+    shapes = [re.compile(x) for x in (r"[^\s@]+(?:@|\(at\)|\[at\])[^\s@]+", r"[^0-9]*[0-9]+(?:[.,-][0-9]+){2,}[^0-9]*", r"[^0-9]*(?:[0-9][^0-9]?){12,19}", r"[^0-9]*(?:[0-9][^0-9]{0,2}){7,15}")]
+
+    def around(text, start, end, lo, hi):
+        a = word.findall(text[max(lo, start - 96) : start].lower())[::-1]
+        b = word.findall(text[end : min(hi, end + 96)].lower())
+        return {("before", *a[:n]) for n in (1, 2, 3) if len(a) >= n} | {("after", *b[:n]) for n in (2, 3) if len(b) >= n} | ({("both", a[0], b[0])} if a and b else set())
+
+    def bare(m):
+        s, e = m.span()
+        text = m[0]
+        s += len(re.match(r"(?:[._%\[-]|\((?![0-9]+\)))*", text)[0])
+        e -= len(re.match(r"(?:[._%+(\[-]|[)\]](?![0-9A-Za-z]{1,8}[(\[]))*", text[::-1])[0])
+        return s, e
+
+    seeds, every, places = set(), set(), []
+    for key, text in rows:
+        text = text or ""
+        own = [x.split(":") for x in plain_pii(text).split(",") if x]
+        own = [(pii.KINDS.index(k), int(s), int(e)) for k, s, e in own]
+        patterns = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
+        for k, s, e in own:
+            places_of = [m.span() for m in re.finditer(patterns[pii.KINDS[k]], text)]
+            n = places_of.index((s, e))
+            lo, hi = places_of[n - 1][1] if n else 0, places_of[n + 1][0] if n + 1 < len(places_of) else len(text)
+            for p in around(text, s, e, lo, hi):
+                seeds.add((k, text[s:e].lower(), p))
+        found = [*candidate.finditer(text)]
+        for n, m in enumerate(found):
+            s, e = bare(m)
+            if any(a < e and s < b for _, a, b in own):
+                continue
+            near = around(text, m.start(), m.end(), found[n - 1].end() if n else 0, found[n + 1].start() if n + 1 < len(found) else len(text))
+            looks = {k for k, x in enumerate(shapes) if x.fullmatch(text[s:e])}
+            places.append((key, s, e, text[s:e].lower(), looks, near))
+            every |= {(text[s:e].lower(), p) for p in near}
+    total = {}
+    for i, p in every | {(i, p) for _, i, p in seeds}:
+        total[p] = total.get(p, 0) + 1
+    edges = {(i, k, p) for _, _, _, i, looks, near in places for k in looks for p in near}
+    belief = {}
+    for _ in range(10):
+        support = {}
+        for k, i, p in seeds:
+            support.setdefault((p, k), []).append(1.0)
+        for i, k, p in edges:
+            if (i, k) in belief:
+                support.setdefault((p, k), []).append(belief[i, k])
+        score = {x: sum(b) / (total[x[0]] + 1) for x, b in support.items() if len(b) >= 3}
+        score = {x: v for x, v in score.items() if v >= 0.75}
+        new = {}
+        for i, k, p in edges:
+            if (p, k) in score:
+                new[i, k] = max(new.get((i, k), 0), score[p, k])
+        if belief and len(new) == len(belief) and sum(new.values()) < sum(belief.values()) * 1.001 + 0.001:
+            break
+        belief = new
+    out = {key: set() for key, _ in rows}
+    for key, s, e, _, looks, near in places:
+        fits = [(-score[p, k], k) for p in near for k in looks if (p, k) in score]
+        if fits:
+            out[key].add((s, min(fits)[1], e))
+    return {key: sorted(x) for key, x in out.items()}
+
+
+def _added(spark, rows):
+    found = pii.find(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    return {r.id: [(x.start, x.kind, x.end) for x in r.added] for r in found}
+
+
+def test_discovered_instances_induce_patterns(spark):
+    unseen = [f"555-01{k:02d}-77{k:02d}" for k in range(30)]
+    rows = [(k, f"please phone +1 555 010 {1000 + k} now") for k in range(120)]
+    rows += [(200 + k, f"please phone {x} now") for k, x in enumerate(unseen)] + [(300 + k, f"do ring {x} today") for k, x in enumerate(unseen)] + [(400, "do ring 555-9999-888 today"), (401, "number 555-9999-999 today"), (402, "do ring 12 bells")]
+    got = _added(spark, rows)
+    assert got == plain_added(rows)
+    assert got[200] == [(13, 3, 26)] and got[300] == [(8, 3, 21)] and got[400] == [(8, 3, 20)] and got[401] == [] and got[402] == []
+
+
+def test_finding_against_plain_loops(spark):
+    import random
+
+    rng = random.Random(9)
+    said = "call ring phone the of tel Karte carte 电话 电邮 mail an to from account 番号".split()
+    made = [
+        lambda: f"+1 555 {rng.randint(100, 999)} {rng.randint(1000, 1999)}", lambda: f"555-{rng.randint(100, 140)}-{rng.randint(1000, 1009)}", lambda: f"({rng.randint(200, 220)}) 555 {rng.randint(1000, 1009)}",
+        lambda: f"u{rng.randint(1, 40)}@mail.example.com", lambda: f"u{rng.randint(1, 40)}(at)mail.example.com", lambda: f"10.0.{rng.randint(0, 9)}.{rng.randint(0, 300)}", lambda: str(rng.randint(0, 99)),
+        lambda: f"4111 1111 1111 {rng.randint(1100, 1130)}", lambda: "x9-y", lambda: rng.choice(said),
+    ]
+    rows = []
+    for i in range(700):
+        parts = []
+        for _ in range(rng.randint(0, 4)):
+            lead = rng.choice(said[:6] if i % 2 else said)
+            parts.append(rng.choice([" ", " ", ": ", ", "]).join([rng.choice(["please ", "", "so "]) + lead, rng.choice(([made[0]] * 12 + made[1:3]) if lead in said[:3] else ([made[3]] * 12 + made[4:5]) if lead in said[8:11] else made)()]) + rng.choice(["", ".", " now.", " or so", "，谢谢", ")"]))
+        rows.append((i, rng.choice([" ", "\n", ""]).join(parts)))
+    rows += [(800, "电话" + "5" * 3 + "-0109876号"), (801, "https://h.example/?q=" + "a" * 90 + "&phone=555-111-1003&x=1"), (802, None), (803, "")]
+    got, want = _added(spark, rows), plain_added(rows)
+    assert sum(map(len, want.values())) > 50
+    for key, text in rows:
+        assert got[key] == want[key], (key, text)
