@@ -260,7 +260,7 @@ def _distinct(texts, min_chars: int) -> dict[int, str]:
 
 
 def buckets(docs: DataFrame, id_col: str, text_col: str, min_chars: int = MIN_CHARS, fine: bool = False) -> DataFrame:
-    """(key, h): the lines that share a band's key with another.
+    """(key, h, n, first): the lines that share a band's key with another, how many these are, and the least of them.
 
     Tasks pack keys and lines by the key's remainder and send each pair once, so a line that very many
     documents hold reaches its bucket once from each batch of documents.
@@ -284,18 +284,25 @@ def buckets(docs: DataFrame, id_col: str, text_col: str, min_chars: int = MIN_CH
 
     def meet(b: pd.DataFrame) -> pd.DataFrame:
         rows = np.frombuffer(b"".join(b["rows"]), np.int64).reshape(-1, 2)
+        key = rows[:, 0].copy()
+        order = np.argsort(key)
+        key = key[order]
+        many = np.zeros(len(key), bool)
+        same = key[1:] == key[:-1]
+        many[1:] |= same
+        many[:-1] |= same
+        rows = rows[order[many]]  # few are left
         rows = rows[np.lexsort((rows[:, 1], rows[:, 0]))]
         new = np.ones(len(rows), bool)
         new[1:] = (rows[1:] != rows[:-1]).any(axis=1)
         rows = rows[new]
-        many = np.zeros(len(rows), bool)
-        same = rows[1:, 0] == rows[:-1, 0]
-        many[1:] |= same
-        many[:-1] |= same
-        return pd.DataFrame({"key": rows[many, 0], "h": rows[many, 1]})
+        starts = np.flatnonzero(np.diff(rows[:, 0], prepend=rows[0, 0] - 1)) if len(rows) else np.zeros(0, np.int64)
+        n = np.diff(np.append(starts, len(rows)))
+        out = pd.DataFrame({"key": rows[:, 0], "h": rows[:, 1], "n": np.repeat(n, n), "first": np.repeat(rows[starts, 1], n)})
+        return out[out["n"] > 1]
 
     packed = _texts(docs, id_col, text_col).select("text").mapInPandas(lean(pack), "part int, rows binary")
-    return packed.groupBy("part").applyInPandas(lean_group(meet), "key long, h long")
+    return packed.groupBy("part").applyInPandas(lean_group(meet), "key long, h long, n long, first long")
 
 
 #: Bits of the sketch that spares lines without a partner the shuffle.  It has this size whatever the input is.
@@ -344,15 +351,15 @@ def places(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, min_c
 
 
 def unlike(members: DataFrame) -> DataFrame:
-    """(key, n, first): one of the buckets that have the same lines, how many these are, and the least of them."""
-    sizes = members.groupBy("key").agg(F.count("*").alias("n"), F.min("h").alias("first"), F.bit_xor(F.xxhash64("h")).alias("x"), F.sum(F.shiftrightunsigned(F.xxhash64("h", F.lit(1)), 20)).alias("y"))
-    return sizes.groupBy("n", "first", "x", "y", F.expr("key & 1").alias("size")).agg(F.min("key").alias("key")).select("key", "n", "first")
+    """(key): one of the buckets that have the same lines."""
+    sizes = members.groupBy("key", "n", "first").agg(F.bit_xor(F.xxhash64("h")).alias("x"), F.sum(F.shiftrightunsigned(F.xxhash64("h", F.lit(1)), 20)).alias("y"))
+    return sizes.groupBy("n", "first", "x", "y", F.expr("key & 1").alias("size")).agg(F.min("key").alias("key")).select("key")
 
 
 def stars(members: DataFrame, texts: DataFrame) -> DataFrame:
     """(u, v): the lines that are similar to the first one of a bucket of theirs, with that line.
 
-    A pair is verified once, however many buckets it shares.  ``members`` has the columns of ``unlike`` as well.
+    A pair is verified once, however many buckets it shares.
     """
     pairs = members.where("h <> first").select(F.col("first").alias("u"), F.col("h").alias("v"), F.expr("key & 1 = 0").alias("fine")).distinct()
 
@@ -415,19 +422,19 @@ def links(members: DataFrame, texts: DataFrame, block: int = BLOCK) -> DataFrame
 
 
 def components_of(members: DataFrame, texts: DataFrame, block: int = BLOCK) -> DataFrame:
-    """(h, component) for the lines of the buckets in ``members`` (key, h) that are linked to another.
+    """(h, component) for the lines of ``buckets`` that are linked to another.
 
     First each line is compared with the first one of each of its buckets, each pair once.  Only the buckets of three
     lines or more that these links leave in several components go on: there lines of different components meet.
     """
-    rows = stash(members.join(unlike(members), "key"), "unlike")
-    first = stash(stars(rows, texts), "links")
+    first = stash(stars(members, texts), "links")
     named = stash(connected_components(first).select(F.col("id").alias("h"), F.col("component").alias("name")), "named")
-    each = rows.where("n > 2").join(named, "h", "left").select("key", "h", F.coalesce("name", "h").alias("component"))
+    larger = members.where("n > 2")
+    each = larger.join(unlike(larger), "key").join(named, "h", "left").select("key", "h", F.coalesce("name", "h").alias("component"))
     several = each.groupBy("key").agg((F.min("component") < F.max("component")).alias("several")).where("several")
     apart = stash(each.join(several.select("key"), "key"), "apart")
     rest = stash(links(apart, texts, block), "links")
-    unstash(rows, first, apart)
+    unstash(first, apart)
     more = connected_components(rest).withColumnsRenamed({"id": "name", "component": "least"})
     # a line that no star has is its own component
     every = named.unionByName(more.select(F.col("name").alias("h"), "name").join(named.select("h"), "h", "left_anti"))
