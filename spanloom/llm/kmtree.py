@@ -113,7 +113,7 @@ def calibrate(tree: Tree, unit: np.ndarray, k: int, recall: float = RECALL, quer
     return int(need[min(len(need) - 1, int(np.ceil(recall * len(need))))]) + 1
 
 
-def _usable(vectors: DataFrame, id_col: str, vec_col: str, dim: int | None = None) -> DataFrame:
+def _usable(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
     v = F.col(vec_col)
     finite = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     return vectors.select(F.col(id_col).alias("id"), v.alias("v")).where(v.isNotNull() & finite & F.exists(v, lambda x: x != 0))
@@ -171,11 +171,15 @@ def search(vectors: DataFrame, k: int, is_query, id_col: str = "vec_id", vec_col
     Each block keeps k of a query, and the best of all blocks are taken.  Scores are cosines in double
     precision on the vectors as they are; ties go to the smaller id.
 
-    Vectors that are null, zero, or hold a null, NaN or infinity take no part; rows with the same id are
-    not candidates for each other; vectors of another length than the first sampled one are an error.
+    Vectors that are null, zero, or hold a null, NaN or infinity take no part, nor do those of another length than
+    most have; rows with the same id are not candidates for each other, and each of them may be found; ids are
+    numbers; other columns are not read; an empty table gives an empty one.
     """
     spark = vectors.sparkSession
     usable = _usable(vectors, id_col, vec_col).where("id is not null")
+    # the length that most vectors have, the smaller one on a tie
+    lengths = usable.groupBy(F.size("v").alias("length")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "length").first()
+    usable = usable.where(F.size("v") == (lengths[0] if lengths else 0))
     tree, visits = fit(usable, k, sample)
     shared = spark.sparkContext.broadcast(tree)  # at most `sample` centres
 

@@ -9,16 +9,18 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import stash, unstash
+
 #: Length of an n-gram.
 GRAM = 4
 #: Labelled documents that are learned from, for each language: those of least hash.
 PER_LANG = 1000
-#: N-grams kept for each language: those in most of its documents.
-GRAMS_PER_LANG = 40_000
 #: A gram belongs to each language that has it in this share of the documents that the best language has it in.
 OWN = 0.4
-#: Log2 of the positions of the filters, and positions for each gram.
-BITS, HASHES = 20, 2
+#: Log2 of the positions of the filters, at least, and at most where languages have more grams, and positions for each gram.
+BITS, MOST_BITS, HASHES = 20, 24, 2
+#: Parts of the hashes of ids in which a language's documents are counted.
+COUNTED = 1 << 16
 UNKNOWN = "und"
 #: A document whose score is less is in none of the learned languages.
 ACCEPTED = 0.2
@@ -88,52 +90,70 @@ class Filters:
         return self.langs[best], float(hits[best] / total * min(1.0, hits[best] / len(h) + 0.5)) if total else 0.0
 
 
-def learn(labelled: DataFrame, id_col="doc_id", text_col="text", lang_col="lang", per_lang: int = PER_LANG, keep: int = GRAMS_PER_LANG) -> Filters:
-    """Fit the filters on at most ``per_lang`` documents for each language.
+def sampled(known: DataFrame, id_col: str, lang_col: str, per_lang: int) -> DataFrame:
+    """The rows of ``known`` with the ``per_lang`` least hashes of ids of each language.
 
-    The documents of least id hash are taken, before any text is moved.  What comes to the driver is at most
-    ``keep`` gram hashes for each language.  Nulls in any of the columns are left out; without a row there is
-    no language.
+    Rows are counted by language and part of the hashes first, and only those of the parts that are needed are put in
+    order, so that a language of very many documents is no single task's.
     """
+    part = F.shiftright(F.xxhash64(id_col), 64 - (COUNTED - 1).bit_length())
+    counts = known.groupBy(lang_col, part.alias("part")).agg(F.count("*").alias("n"))
+    upto = F.sum("n").over(Window.partitionBy(lang_col).orderBy("part"))
+    needed = counts.withColumn("upto", upto - F.col("n")).where(F.col("upto") < per_lang).groupBy(lang_col).agg(F.max("part").alias("last"))
+    few = known.withColumn("_part", part).join(needed.withColumnRenamed(lang_col, "_lang"), F.col(lang_col) == F.col("_lang")).where("_part <= last")
     rank = Window.partitionBy(lang_col).orderBy(F.xxhash64(id_col), F.col(id_col))
-    known = labelled.where(f"{lang_col} is not null and {text_col} is not null and {id_col} is not null")
-    ids = known.select(id_col, lang_col).withColumn("n", F.row_number().over(rank)).where(F.col("n") <= per_lang)
-    sample = known.select(id_col, lang_col, text_col).join(F.broadcast(ids.select(id_col).distinct()), id_col)
+    return few.withColumn("_n", F.row_number().over(rank)).where(F.col("_n") <= per_lang).select(known.columns)
+
+
+def learn(labelled: DataFrame, id_col="doc_id", text_col="text", lang_col="lang", per_lang: int = PER_LANG) -> Filters:
+    """Fit the filters on at most ``per_lang`` documents for each language.
+
+    The documents of least id hash are taken, before any text is moved.  All their n-grams count that two of them
+    have and no other language has much more often.  What comes to the driver are these grams' hashes.  Nulls in
+    any of the columns are left out; without a row there is no language.
+    """
+    known = labelled.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).where("lang is not null and text is not null and id is not null")
+    ids = sampled(known.select("id", "lang"), "id", "lang", per_lang).select("id").distinct()
+    sample = known.join(ids, "id")
 
     def grams(batches):
         for b in batches:
             lang, g = [], []
-            for one, text in zip(b[lang_col], b[text_col]):
+            for one, text in zip(b["lang"], b["text"]):
                 h = np.unique(gram_hashes(text))
                 lang += [one] * (len(h) + 1)
                 g += [h, np.zeros(1, np.uint64)]  # 0 counts the documents
             yield pd.DataFrame({"lang": lang, "gram": np.concatenate(g).view(np.int64) if g else np.zeros(0, np.int64)})
 
-    counts = sample.select(lang_col, text_col).mapInPandas(grams, "lang string, gram long").groupBy("lang", "gram").agg(F.count("*").alias("n"))
-    size = F.max(F.when(F.col("gram") == 0, F.col("n"))).over(Window.partitionBy("lang"))
-    rates = counts.withColumn("rate", F.col("n") / size).where("gram <> 0 and n > 1")
+    counts = sample.select("lang", "text").mapInPandas(grams, "lang string, gram long").groupBy("lang", "gram").agg(F.count("*").alias("n"))
+    counts = stash(counts, "grams")
+    sizes = counts.where("gram = 0").select("lang", F.col("n").alias("size"))
+    rates = counts.where("gram <> 0 and n > 1").join(sizes, "lang").withColumn("rate", F.col("n") / F.col("size"))
     best = F.max("rate").over(Window.partitionBy("gram"))
-    rates = rates.withColumn("best", best).where(F.col("rate") >= OWN * F.col("best"))
-    order = Window.partitionBy("lang").orderBy(F.desc("rate"), "gram")
-    kept = rates.withColumn("k", F.row_number().over(order)).where(F.col("k") <= keep).select("lang", "gram").toPandas()
+    kept = rates.withColumn("best", best).where(F.col("rate") >= OWN * F.col("best")).select("lang", "gram").toPandas()
+    unstash(counts)
     by = {lang: g.to_numpy(np.int64) for lang, g in kept.groupby("lang")["gram"]}
     langs = sorted(by)
-    return Filters(langs, by)
+    most = max(map(len, by.values()), default=0)
+    return Filters(langs, by, min(max(BITS, (8 * most).bit_length()), MOST_BITS))
 
 
 def identify(docs: DataFrame, filters: Filters, text_col: str = "text"):
-    """``docs`` with the columns lang_pred and score.
+    """``docs`` with the columns lang_pred and score, in place of columns of these names.
 
-    Every whole text is judged by its own n-grams alone: a null text or one without letters is ``und`` with
-    score 0.  Of languages with as many hits the first by name is taken.
+    Every whole text, however long, is judged by its own n-grams alone: a null text or one without letters is ``und``
+    with score 0.  Of languages with as many hits the first by name is taken.  Repeated rows are judged each; other
+    columns stay, whatever they are called; an empty table gives an empty one.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(filters)  # 2**BITS words for each 64 languages
+    shared = docs.sparkSession.sparkContext.broadcast(filters)  # 2**MOST_BITS words at most for each 64 languages
 
     @F.pandas_udf("lang string, score double")
     def judge(texts: pd.Series) -> pd.DataFrame:
         return pd.DataFrame([shared.value.decide(t) for t in texts], columns=["lang", "score"])
 
-    return docs.withColumn("_judged", judge(F.col(text_col))).withColumn("lang_pred", F.col("_judged.lang")).withColumn("score", F.col("_judged.score")).drop("_judged")
+    kept = [c for c in docs.columns if c not in ("lang_pred", "score")]
+    judged = docs.select(F.struct(*kept).alias("row"), judge(F.col(text_col)).alias("judged"))
+    return judged.select(*(F.col("row").getField(c).alias(c) for c in kept), F.col("judged.lang").alias("lang_pred"), F.col("judged.score").alias("score"))
 
 
 def held_out(id_col: str = "doc_id"):

@@ -60,7 +60,9 @@ def links(fps: DataFrame, wide: int = WIDE_BUCKET) -> DataFrame:
     other half is cut as well: equal variants there (one wildcard in each half, or two in the other half of
     values that share this one) hold at most four values, all linked, which are chained to the least.
     """
-    base = fps.select("fp").distinct().select("fp", _half(F.col("fp"), 0).alias("h0"), _half(F.col("fp"), 1).alias("h1"))
+    # each row becomes 64: small partitions of them, however few bytes they have
+    parts = 2 * int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    base = fps.select("fp").distinct().repartition(parts, "fp").select("fp", _half(F.col("fp"), 0).alias("h0"), _half(F.col("fp"), 1).alias("h1"))
     keys = base.select(
         "fp", "h0", "h1", F.explode(F.sequence(F.lit(0), F.lit(63))).alias("slot")
     ).select(
@@ -108,8 +110,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rows = stash(fingerprints(docs, id_col, text_col), "fingerprints")
     reps = stash(rows.groupBy("fp").agg(F.min("id").alias("rep")), "reps")
     linked = connected_components(links(reps, wide)).select(F.col("id").alias("fp"), F.col("component").alias("root"))
-    linked = linked.join(reps, "fp")
-    least = linked.groupBy("root").agg(F.min("rep").alias("component"))
+    linked = stash(linked.join(reps, "fp"), "linked")
+    # kept apart, so that Spark can split the rows of a large component
+    least = stash(linked.groupBy("root").agg(F.min("rep").alias("component")), "least")
     linked = linked.join(least, "root").select("fp", "component")
     named = reps.join(linked, "fp", "left").select("fp", F.coalesce("component", "rep").alias("component"))
     return rows.join(named, "fp").select("id", "fp", "component")

@@ -60,3 +60,10 @@ def test_outliers_get_k_neighbours(spark, monkeypatch):
     rows += [(50 * k, (-np.eye(8)[k]).astype(np.float32).tolist()) for k in range(8)]
     got = run(spark, rows)
     assert sorted(got) == [50 * k for k in range(8)] and all(len(x[0]) == 5 for x in got.values())
+
+
+def test_vectors_of_other_lengths_take_no_part(spark):
+    rows = [(i, [float(i % 7), 1.0, float(i)]) for i in range(60)] + [(100, [1.0, 2.0]), (150, [1.0]), (200, []), (250, [1.0, 2.0, 3.0, 4.0])]
+    d = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = kmtree.search(d, 5, lambda i: i % 50 == 0).collect()
+    assert {r.query_id for r in got} == {0, 50} and len(got) == 10 and all(r.vec_id < 60 for r in got)
