@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import math
 import re
-from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -12,6 +10,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import lean, stash
+from .linededup import SKETCH_BITS, sketch
+
 #: Words of a template window; an item with fewer is one window.
 WINDOW = 8
 #: Windows with fewer words than this outside of slots are not looked up; an item without others is compared word for word.
@@ -20,8 +21,6 @@ FIXED_WORDS = 4
 LEAST_WINDOWS, LEAST_UNSPACED = 3, 13
 #: An item of fewer runs of letters or digits than this is never held; a character of a script without spaces is a run.
 LEAST_RUNS = 3
-#: Characters of benchmark text that are held in memory at once; a larger benchmark takes more passes.
-SLICE_CHARS = 8_000_000
 #: Distinct words that a worker remembers.
 REMEMBERED = 500_000
 
@@ -129,142 +128,161 @@ def _good(kind: np.ndarray, size: int) -> np.ndarray:
     return fixed[size:] - fixed[:-size] >= FIXED_WORDS
 
 
-class Table:
-    """Rows by size of window and hash."""
+def whole_runs(text: str) -> int:
+    """How many runs of letters or digits a text has; a character of a script without spaces is a run."""
+    return sum(len(_RUN.findall(x)) for x in _UNSPACED.sub(r" \g<0> ", text).split())
 
-    def __init__(self):
-        self.rows: dict[int, dict[int, list]] = {}
-        self.maybe: dict[int, np.ndarray] = {}
 
-    def add(self, size: int, h: int, row: tuple) -> None:
-        self.rows.setdefault(size, {}).setdefault(h, []).append(row)
-        self.maybe.setdefault(size, np.zeros(1 << 20, bool))[h >> 44] = True
+def item_windows(text: str, words: Words) -> tuple[int, bool, list[tuple[int, int, int, int, bool]], list[str]]:
+    """(needed, exact, windows, said) of an item.
 
-    def find(self, code: np.ndarray):
-        """(place, size, row) for each row whose window stands in ``code``."""
-        for size, known in self.rows.items():
-            h = windows(code, size)
-            for p in np.flatnonzero(self.maybe[size][h >> np.uint64(44)]).tolist():
-                for row in known.get(int(h[p]), ()):
-                    yield p, size, row
+    windows: (size, hash, place, hash that counts, whether its first word is to be the item's own).  If ``exact``,
+    they are of the words as they are, and all have to be there in one place; else of the template.  No window means
+    that the item is never held.  said: the words of the template, or of the exact form.
+    """
+    every = words.numbers(text)
+    code, kind, at = words.template(every)
+    size = min(WINDOW, len(code))
+    good = _good(kind, size) if size >= FIXED_WORDS else np.zeros(0, bool)
+    if good.any():
+        h = windows(code, size)
+        least = LEAST_UNSPACED if 2 * words.single[at].sum() > len(at) else LEAST_WINDOWS
+        out = [(size, int(h[q]), q, int(h[q]), False) for q in np.flatnonzero(good).tolist()]
+        # the first word may be taken for a name or a unit where other words stand before it
+        for other, may in ((_NAME, words.capital), (_UNIT, words.unit)):
+            if good[0] and kind[0] == _PLAIN and may[at[0]]:
+                begun = np.concatenate((_SLOTS[other : other + 1], code[1:size]))
+                out.append((size, int(windows(begun, size)[0]), 0, int(h[0]), True))
+        return min(least, len({x[3] for x in out})), False, out, [words.text[i] for i in at]
+    exact = words.exact[every]
+    exact = exact[exact != 0]
+    if whole_runs(text) < LEAST_RUNS or not len(exact):
+        return 0, True, [], []
+    h = windows(exact, size := min(WINDOW, len(exact)))
+    return len(h), True, [(size, x, q, x, False) for q, x in enumerate(h.tolist())], []
+
+
+def _signed(hashes) -> np.ndarray:
+    return np.array(hashes, np.uint64).view(np.int64)
+
+
+def templates(benchmark: DataFrame) -> DataFrame:
+    """(item, needed, exact, size, h, q, counts, begun, said) for each window of ``benchmark`` (item, text).
+
+    said: the words of the window's places in the item, by which slots are compared.
+    """
 
+    def read(batches):
+        words = Words()
+        for b in batches:
+            out = []
+            for item, text in zip(b["item"], b["text"]):
+                needed, exact, found, said = item_windows(text, words)
+                for size, h, q, counts, begun in found:
+                    out.append((item, needed, exact, size, h, q, counts, begun, said[q : q + size]))
+            done = pd.DataFrame(out, columns=["item", "needed", "exact", "size", "h", "q", "counts", "begun", "said"])
+            yield done.assign(h=_signed(done["h"].tolist()), counts=_signed(done["counts"].tolist()))
 
-class Templates:
-    """The windows of some benchmark items, for look-up by hash."""
+    return benchmark.mapInPandas(lean(read), "item long, needed int, exact boolean, size int, h long, q int, counts long, begun boolean, said array<string>")
 
-    def __init__(self, items: list[tuple[int, str]]):
-        words = Words()
-        self.slots, self.needed = {}, {}
-        self.table, self.whole = Table(), Table()
-        for k, (item, text) in enumerate(items):
-            every = words.numbers(text)
-            code, kind, at = words.template(every)
-            size = min(WINDOW, len(code))
-            self.slots[k] = (item, kind, [words.text[i] for i in at])
-            good = _good(kind, size) if size >= FIXED_WORDS else np.zeros(0, bool)
-            if not good.any():
-                self._add_whole(k, text, words, every)
-                continue
-            h = windows(code, size)
-            least = LEAST_UNSPACED if 2 * words.single[at].sum() > len(at) else LEAST_WINDOWS
-            self.needed[k] = min(least, len(set(h[good].tolist())))
-            for q in np.flatnonzero(good).tolist():
-                self.table.add(size, int(h[q]), (k, q, int(h[q]), False))
-            # the first word may be taken for a name or a unit where other words stand before it
-            for other, may in ((_NAME, words.capital), (_UNIT, words.unit)):
-                if good[0] and kind[0] == _PLAIN and may[at[0]]:
-                    begun = np.concatenate((_SLOTS[other : other + 1], code[1:size]))
-                    self.table.add(size, int(windows(begun, size)[0]), (k, 0, int(h[0]), True))
-
-    def _add_whole(self, k: int, text: str, words: Words, every: np.ndarray) -> None:
-        """Too few words for a template: the item is held where all its words stand as they are."""
-        runs = sum(len(_RUN.findall(x)) for x in _UNSPACED.sub(r" \g<0> ", text).split())
-        exact = words.exact[every]
-        exact = exact[exact != 0]
-        if runs < LEAST_RUNS or not len(exact):
-            return
-        h = windows(exact, size := min(WINDOW, len(exact)))
-        self.needed[k] = len(h)
-        for q, x in enumerate(h.tolist()):
-            self.whole.add(size, x, (k, q))
-
-    def hits(self, text: str, words: Words) -> list[tuple[int, int]]:
-        """(item, windows of it) for the items that the text holds with consistent slots."""
-        every = words.numbers(text)
-        code, kind, at = words.template(every)
-        found: dict[tuple[int, int], list] = {}
-        for p, size, (k, q, h, begun) in self.table.find(code):
-            if not begun or words.text[at[p]] == self.slots[k][2][0]:
-                # the windows of one occurrence lie on a diagonal
-                found.setdefault((k, p - q), []).append((p, q, size, h))
-        out: dict[int, set] = {}
-        for (k, _), spots in found.items():
-            _, _, theirs = self.slots[k]
-            values, clear = {}, True
-            for p, q, size, _ in spots:
-                for i in range(size):
-                    if kind[p + i] > 0:
-                        key = int(kind[p + i]), theirs[q + i]
-                        clear &= values.setdefault(key, words.text[at[p + i]]) == words.text[at[p + i]]
-            if clear:
-                out.setdefault(k, set()).update(s[3] for s in spots)
-        held = {k: len(w) for k, w in out.items() if len(w) >= self.needed[k]}
-        if self.whole.rows:
-            exact = words.exact[every]
-            places: dict[tuple[int, int], int] = {}
-            for p, _, (k, q) in self.whole.find(exact[exact != 0]):
-                places[k, p - q] = places.get((k, p - q), 0) + 1
-            held |= {k: n for (k, _), n in places.items() if n == self.needed[k]}
-        return sorted((self.slots[k][0], n) for k, n in held.items())
-
-
-def _look(shared):
-    @F.pandas_udf("array<struct<item: long, n: int>>")
-    def look(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        words = Words()
-        for texts in batches:
-            yield pd.Series([[{"item": i, "n": n} for i, n in shared.value.hits(t, words)] if t else [] for t in texts], dtype=object)
 
-    return look
+def passing(docs: DataFrame, known: np.ndarray, sizes: list[int], exact_sizes: list[int]) -> DataFrame:
+    """(t1, t2, exact, size, h, p, kinds, said): the windows of ``docs`` (t1, t2, text) whose hash may be the benchmark's.
 
+    ``known`` is a bitmap of fixed size over the benchmark's hashes: it only saves shuffling.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(known)
 
-def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", slice_chars: int = SLICE_CHARS) -> DataFrame:
+    def read(batches):
+        words = Words()
+        for b in batches:
+            out = []
+            for t1, t2, text in b[["t1", "t2", "text"]].itertuples(index=False):
+                every = words.numbers(text)
+                code, kind, at = words.template(every)
+                for size in sizes:
+                    h = windows(code, size).view(np.int64)
+                    for p in np.flatnonzero(_maybe(shared.value, h)).tolist():
+                        out.append((t1, t2, False, size, int(h[p]), p, kind[p : p + size].tolist(), [words.text[i] for i in at[p : p + size]]))
+                if exact_sizes:
+                    exact = words.exact[every]
+                    exact = exact[exact != 0]
+                    for size in exact_sizes:
+                        h = windows(exact, size).view(np.int64)
+                        out += [(t1, t2, True, size, int(h[p]), p, [], []) for p in np.flatnonzero(_maybe(shared.value, h)).tolist()]
+            yield pd.DataFrame(out, columns=["t1", "t2", "exact", "size", "h", "p", "kinds", "said"])
+
+    return docs.mapInPandas(lean(read), "t1 long, t2 long, exact boolean, size int, h long, p int, kinds array<int>, said array<string>")
+
+
+def _maybe(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
+    at = h & ((1 << SKETCH_BITS) - 1)
+    return (bits[at >> 6] >> (at & 63)) & 1 == 1
+
+
+def held_items(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """(t1, t2, item, n): the items that texts of ``docs`` (t1, t2, text) hold, and n windows of each.
+
+    The windows of documents and items are joined by their hashes.  Those of one occurrence lie on a diagonal, the
+    same distance apart in both.  A diagonal counts if the words in its slots are consistent: where the item has one
+    word, the document has one.
+    """
+    items = stash(templates(benchmark), "templates")
+    sizes = items.select("size", "exact").distinct().collect()  # 2 * WINDOW at most
+    known = sketch(items.select("h"), "h")
+    some = passing(docs, known, sorted(r.size for r in sizes if not r.exact), sorted(r.size for r in sizes if r.exact))
+    theirs = items.withColumnRenamed("said", "theirs")
+    met = some.join(theirs, ["exact", "size", "h"]).where("not begun or said[0] = theirs[0]")
+    met = stash(met.select("t1", "t2", "item", "needed", "exact", (F.col("p") - F.col("q")).alias("diagonal"), "counts", "q", "kinds", "said", "theirs"), "met")
+    on = ["t1", "t2", "item", "diagonal"]
+    slots = met.where("not exact").select(*on, F.explode(F.arrays_zip("kinds", "said", "theirs")).alias("x")).where("x.kinds > 0")
+    slots = slots.groupBy(*on, "x.kinds", "x.theirs").agg((F.min("x.said") < F.max("x.said")).alias("torn")).where("torn")
+    torn = slots.select(*on).distinct()
+    by_template = met.where("not exact").join(torn, on, "left_anti").groupBy("t1", "t2", "item", "needed").agg(F.count_distinct("counts").alias("n"))
+    by_words = met.where("exact").groupBy(*on, "needed").agg(F.count_distinct("q").alias("n")).drop("diagonal")
+    return by_template.unionByName(by_words).where("n >= needed").groupBy("t1", "t2", "item").agg(F.max("n").cast("int").alias("n"))
+
+
+def _keyed(text_col: str):
+    """Two hashes by which a text is known: what it holds depends on nothing else."""
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    return F.xxhash64(text), F.xxhash64(F.lit(1), text)
+
+
+def _asked(docs: DataFrame, benchmark: DataFrame, text_col: str, item_col: str, item_text: str) -> DataFrame:
+    t1, t2 = _keyed(text_col)
+    texts = docs.select(t1.alias("t1"), t2.alias("t2"), F.col(text_col).alias("text")).where("text is not null and text <> ''")
+    items = benchmark.where(F.col(item_col).isNotNull() & F.col(item_text).isNotNull()).select(F.col(item_col).cast("long").alias("item"), F.col(item_text).alias("text"))
+    return held_items(texts, items)
+
+
+def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
     """(id, items, windows): the benchmark items that each row of ``docs`` holds, re-parameterised or not.
 
     Words are compared in lower case without the punctuation around them.  Numbers, names (words in capitals
     that do not begin a sentence) and units after numbers become typed slots; each character of a script without
-    spaces is a word.  The windows of 8 words of the
-    benchmark's templates are looked up by hash in those of whole documents.  The windows of one occurrence of
-    an item count if equal slot values of the item always meet equal values in the document.  An item is held
-    if 3 of its windows count (13 of characters), or all if it has fewer.  An item with no window of 4 words outside
-    of slots (short, or mostly numbers and names) is held where all its words stand as they are, signs and operators
-    too.  An item's first word also counts where the document's words before it make it a name or unit.  Only items of
-    fewer than 3 runs of letters or digits are never held: a single word or two are in any text.
-
-    The benchmark is split by size into slices that fit into memory; each slice takes one pass over the
-    documents, so the size of what is broadcast is bounded.  Null texts hold nothing, null items are left out;
-    ``items`` is in ascending order and empty for clean documents.
+    spaces is a word.  The windows of 8 words of the benchmark's templates are joined by hash with those of whole
+    documents, however long these are.  The windows of one occurrence of an item count if equal slot values of the
+    item always meet equal values in the document.  An item is held if 3 of its windows count (13 of characters), or
+    all if it has fewer.  An item with no window of 4 words outside of slots (short, or mostly numbers and names) is
+    held where all its words stand as they are, signs and operators too.  An item's first word also counts where the
+    document's words before it make it a name or unit.  Only items of fewer than 3 runs of letters or digits are
+    never held: a single word or two are in any text.
+
+    A bitmap of fixed size over the benchmark's hashes spares the windows of documents that no item has the shuffle;
+    the benchmark itself stays distributed, whatever its size.  Null texts hold nothing, null items are left out;
+    item ids are cast to long; rows that repeat are judged each; other columns, whatever they are called, are not
+    read; ``items`` is in ascending order and empty for clean documents.
     """
-    spark = docs.sparkSession
-    known = benchmark.where(F.col(item_col).isNotNull() & F.col(item_text).isNotNull()).select(F.col(item_col).cast("long").alias("item"), F.col(item_text).alias("text"))
-    chars = known.agg(F.sum(F.length("text"))).first()[0] or 0
-    slices = max(1, math.ceil(chars / slice_chars))
-    out = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("_text"), F.expr("cast(array() as array<struct<item: bigint, n: int>>)").alias("_found"))
-    for k in range(slices):
-        part = known.where(F.pmod(F.xxhash64("item"), F.lit(slices)) == k) if slices > 1 else known
-        items = sorted((r.item, r.text) for r in part.collect())  # about slice_chars characters
-        shared = spark.sparkContext.broadcast(Templates(items))
-
-        out = out.withColumn("_found", F.concat("_found", _look(shared)("_text")))
-    found = F.array_sort("_found")
-    return out.select(
-        "id", F.array_distinct(F.transform(found, lambda x: x["item"])).alias("items"),
-        F.aggregate("_found", F.lit(0), lambda a, x: a + x["n"]).cast("long").alias("windows"),
-    )
+    found = _asked(docs, benchmark, text_col, item_col, item_text).groupBy("t1", "t2").agg(F.array_sort(F.collect_list("item")).alias("items"), F.sum("n").alias("windows"))
+    t1, t2 = _keyed(text_col)
+    rows = docs.select(F.col(id_col).alias("id"), t1.alias("t1"), t2.alias("t2")).join(stash(found, "held"), ["t1", "t2"], "left")
+    return rows.select("id", F.coalesce("items", F.expr("cast(array() as array<bigint>)")).alias("items"), F.coalesce("windows", F.lit(0)).cast("long").alias("windows"))
 
 
 def without_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text") -> DataFrame:
-    """``docs`` without the rows that hold a benchmark item, judged in one pass without a shuffle."""
-    whole = docs.withColumn("_row", F.struct(*docs.columns))
-    found = contamination(whole, benchmark, "_row", text_col)
-    return found.where(F.size("items") == 0).select("id.*")
+    """``docs`` without the rows that hold a benchmark item.  Columns stay, whatever they are called."""
+    found = stash(_asked(docs, benchmark, text_col, "item_id", "text").select("t1", "t2").distinct(), "held")
+    t1, t2 = _keyed(text_col)
+    rows = docs.select(F.struct(*(F.col(c) for c in docs.columns)).alias("row"), t1.alias("t1"), t2.alias("t2"))
+    return rows.join(found, ["t1", "t2"], "left_anti").select("row.*")

@@ -11,9 +11,56 @@ ITEMS = [
 FILLER = "lorem ipsum dolor sit amet consectetur adipiscing elit sed do eiusmod tempor incididunt ut labore et dolore magna aliqua".split()
 
 
-def found(spark, texts, **more):
+def plain(texts, items):
+    """The items that each text holds, by comparing every window of an item with every place of a text."""
+    words = decontam.Words()
+
+    def read(text):
+        every = words.numbers(text)
+        code, kind, at = words.template(every)
+        exact = [int(x) for x in words.exact[every] if x]
+        return [int(x) for x in code], [int(x) for x in kind], [words.text[i] for i in at], [bool(words.capital[i]) for i in at], [bool(words.unit[i]) for i in at], exact, 2 * int(words.single[at].sum()) > len(at)
+
+    out = []
+    for text in texts:
+        held = []
+        code, kind, said, _, _, exact, _ = read(text or "")
+        for item, of in items:
+            if item is None or of is None:
+                continue
+            c, k, s, capital, unit, e, unspaced = read(of)
+            size = min(8, len(c))
+            good = [q for q in range(len(c) - size + 1) if sum(x == 0 for x in k[q : q + size]) >= 4]
+            if not good:
+                if decontam.whole_runs(of) >= 3 and any(exact[p : p + len(e)] == e for p in range(len(exact) - len(e) + 1)):
+                    held.append(item)
+                continue
+            needed = min(13 if unspaced else 3, len({tuple(c[q : q + size]) for q in good}))
+            counted = set()
+            for d in range(-len(c), len(code)):
+                values, clear, own = {}, True, set()
+                for q in good:
+                    p = q + d
+                    if p < 0 or p + size > len(code):
+                        continue
+                    same = code[p : p + size] == c[q : q + size]
+                    begun = q == 0 and k[0] == 0 and (capital[0] and kind[p] == 3 or unit[0] and kind[p] == 4) and code[p + 1 : p + size] == c[1:size] and said[p] == s[0]
+                    if same or begun:
+                        own.add(tuple(c[q : q + size]))
+                        for i in range(size):
+                            if kind[p + i] > 0:
+                                clear &= values.setdefault((kind[p + i], s[q + i]), said[p + i]) == said[p + i]
+                if clear:
+                    counted |= own
+            if len(counted) >= needed:
+                held.append(item)
+        out.append(sorted(held))
+    return out
+
+
+def found(spark, texts):
     docs = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)], "doc_id long, text string, items string")
-    got = decontam.contamination(docs, spark.createDataFrame(ITEMS, "item_id long, text string"), **more).collect()
+    got = decontam.contamination(docs, spark.createDataFrame(ITEMS, "item_id long, text string")).collect()
     return {r.id: list(r.items) for r in got}
 
 
@@ -27,7 +74,7 @@ def test_copies_and_reparameterised_items(spark):
     got = found(spark, texts)
     assert [i for i, x in sorted(got.items()) if 1 in x] == [1, 2, 3, 4, 11]
     assert got[8] == [] and got[9] == [5] and got[5] == [] and got[10] == []
-    assert found(spark, texts, slice_chars=60) == got
+    assert got == {i: x for i, x in enumerate(plain(texts, ITEMS))}
 
 
 def test_rows_are_kept_whole(spark):
@@ -49,3 +96,24 @@ def test_exact_copies_of_short_arithmetic_unspaced_and_mid_line_items(spark):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = {r.id: list(r.items) for r in decontam.contamination(docs, spark.createDataFrame(items, "item_id long, text string")).collect()}
     assert [got[i] for i in range(len(texts))] == [[1], [], [2], [], [3], [], [4], [5], [], [6], [], [7], [8]]
+
+
+def test_joining_against_every_window_and_place(spark):
+    rng = random.Random(4)
+    said = FILLER + ["Alice", "Bob", "km", "miles", "12", "7", "three", "hours", "Paris"]
+    line = lambda n: " ".join(rng.choice(said) for _ in range(n))
+    items = [(k, line(rng.choice([3, 6, 9, 14, 25]))) for k in range(40)] + [(90, items_text := line(12)), (91, items_text), (92, "北京是哪个国家的首都它有多少人口和面积呢")]
+    texts = []
+    for _ in range(150):
+        one = rng.choice(items)[1].split()
+        for _ in range(rng.choice([0, 0, 1, 2])):
+            one[rng.randrange(len(one))] = rng.choice(said)
+        texts.append(" ".join([line(rng.randint(0, 12)), *one[rng.choice([0, 0, 2]) :], rng.choice([". ", " "]) + line(rng.randint(0, 12))]))
+    texts += [None, "", "x" * 3000, "问：" + items[-1][1] + "。", texts[0]]
+    docs = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)], "doc_id long, text string, t1 string").repartition(3)
+    got = {r.id: list(r.items) for r in decontam.contamination(docs, spark.createDataFrame(items, "item_id long, text string")).collect()}
+    want = plain(texts, items)
+    assert sum(map(len, want)) > 60
+    assert [got[i] for i in range(len(texts))] == want
+    left = decontam.without_contaminated(docs, spark.createDataFrame(items, "item_id long, text string"))
+    assert left.columns == docs.columns and sorted(r.doc_id for r in left.collect()) == [i for i, x in enumerate(want) if not x]
