@@ -44,9 +44,9 @@ def _scan(docs: DataFrame, id_col: str, text_col: str, owner_col: str) -> DataFr
     # what each kind needs, found faster than the kind itself
     some = {"assign": F.col("text").rlike("(?i)pass|secret|token|api"), "access": F.contains("text", F.lit("AKIA")), "hex": F.col("text").rlike("[0-9a-f]{24}")}
     for kind in KINDS:
-        rows = with_matches(rows, kind, "text", PATTERNS[kind], some[kind])
+        rows = with_matches(rows, kind, "text", PATTERNS[kind], some[kind], near=0)
     rows = rows.withColumn("assign", F.filter("assign", lambda x: F.length(_value("assign", x["match"])) >= 6))
-    rows = with_matches(rows, "bare", "text", BARE).drop("text")
+    rows = with_matches(rows, "bare", "text", BARE, near=0).drop("text")
     for name in KINDS:
         rows = rows.withColumn(name, _hashed(name))
     return rows.withColumn("bare", _hashed_words())

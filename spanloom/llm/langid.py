@@ -19,6 +19,8 @@ PER_LANG = 1000
 OWN = 0.4
 #: Log2 of the positions of the filters, at least, and at most where languages have more grams, and positions for each gram.
 BITS, MOST_BITS, HASHES = 20, 24, 2
+#: Ids that are sent to all tasks at most; more, as of very many languages, are joined.
+MOST_SENT = 500_000
 #: Parts of the hashes of ids in which a language's documents are counted.
 COUNTED = 1 << 16
 UNKNOWN = "und"
@@ -96,11 +98,12 @@ def sampled(known: DataFrame, id_col: str, lang_col: str, per_lang: int) -> Data
     Rows are counted by language and part of the hashes first, and only those of the parts that are needed are put in
     order, so that a language of very many documents is no single task's.
     """
-    part = F.shiftright(F.xxhash64(id_col), 64 - (COUNTED - 1).bit_length())
-    counts = known.groupBy(lang_col, part.alias("part")).agg(F.count("*").alias("n"))
-    upto = F.sum("n").over(Window.partitionBy(lang_col).orderBy("part"))
-    needed = counts.withColumn("upto", upto - F.col("n")).where(F.col("upto") < per_lang).groupBy(lang_col).agg(F.max("part").alias("last"))
-    few = known.withColumn("_part", part).join(needed.withColumnRenamed(lang_col, "_lang"), F.col(lang_col) == F.col("_lang")).where("_part <= last")
+    part = F.shiftright(F.xxhash64(id_col), 64 - (COUNTED - 1).bit_length()).alias("_part")
+    counts = known.groupBy(F.col(lang_col).alias("_lang"), part).agg(F.count("*").alias("_n"))
+    before = F.sum("_n").over(Window.partitionBy("_lang").orderBy("_part")) - F.col("_n")
+    needed = counts.withColumn("_before", before).where(F.col("_before") < per_lang).select("_lang", "_part")
+    dealt = known.withColumn("_own", part)
+    few = dealt.join(needed, (F.col(lang_col) == F.col("_lang")) & (F.col("_own") == F.col("_part")))
     rank = Window.partitionBy(lang_col).orderBy(F.xxhash64(id_col), F.col(id_col))
     return few.withColumn("_n", F.row_number().over(rank)).where(F.col("_n") <= per_lang).select(known.columns)
 
@@ -113,8 +116,8 @@ def learn(labelled: DataFrame, id_col="doc_id", text_col="text", lang_col="lang"
     any of the columns are left out; without a row there is no language.
     """
     known = labelled.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).where("lang is not null and text is not null and id is not null")
-    ids = sampled(known.select("id", "lang"), "id", "lang", per_lang).select("id").distinct()
-    sample = known.join(ids, "id")
+    ids = stash(sampled(known.select("id", "lang"), "id", "lang", per_lang).select("id").distinct(), "sampled")
+    sample = known.join(F.broadcast(ids) if ids.count() <= MOST_SENT else ids, "id")
 
     def grams(batches):
         for b in batches:
@@ -131,7 +134,7 @@ def learn(labelled: DataFrame, id_col="doc_id", text_col="text", lang_col="lang"
     rates = counts.where("gram <> 0 and n > 1").join(sizes, "lang").withColumn("rate", F.col("n") / F.col("size"))
     best = F.max("rate").over(Window.partitionBy("gram"))
     kept = rates.withColumn("best", best).where(F.col("rate") >= OWN * F.col("best")).select("lang", "gram").toPandas()
-    unstash(counts)
+    unstash(counts, ids)
     by = {lang: g.to_numpy(np.int64) for lang, g in kept.groupby("lang")["gram"]}
     langs = sorted(by)
     most = max(map(len, by.values()), default=0)

@@ -38,11 +38,11 @@ def running_sums(numbers: Column) -> Column:
 NEAR = 96
 
 
-def with_matches(df, name: str, text: str, pattern: str, only_if: Column | None = None):
+def with_matches(df, name: str, text: str, pattern: str, only_if: Column | None = None, near: int = NEAR):
     """``df`` with column ``name``: an array of (start, end, match, before, after) of the pattern's matches in column ``text``.
 
     Matches are leftmost and do not overlap; places are code points, the end exclusive.  before and after are the
-    ``NEAR`` characters next to the match, or fewer if the text or another match is nearer.  Texts for which
+    ``near`` characters next to the match, or fewer if the text or another match is nearer; 0 leaves them out.  Texts for which
     ``only_if`` does not hold have none.
     """
     gaps, found, sizes, starts = (f"_{name}_{x}" for x in ("gaps", "found", "sizes", "starts"))
@@ -54,10 +54,10 @@ def with_matches(df, name: str, text: str, pattern: str, only_if: Column | None
     out = out.withColumn(starts, F.when(some, running_sums(F.col(sizes))).otherwise(_longs()))
     after = F.when(some, F.slice(gaps, F.lit(2), F.size(found))).otherwise(F.expr("cast(array() as array<string>)"))
     spans = F.transform(
-        F.filter(F.arrays_zip(F.col(found).alias("m"), F.col(gaps).alias("g"), after.alias("n"), F.col(starts).alias("s")), lambda x: x["m"].isNotNull()),
+        F.filter(F.arrays_zip(F.col(found).alias("m"), F.col(gaps).alias("g"), *([after.alias("n")] if near else []), F.col(starts).alias("s")), lambda x: x["m"].isNotNull()),
         lambda x: F.struct(
             (x["s"] + F.length(x["g"])).alias("start"), (x["s"] + F.length(x["g"]) + F.length(x["m"])).alias("end"), x["m"].alias("match"),
-            F.substring(x["g"], -NEAR, NEAR).alias("before"), F.substring(x["n"], 1, NEAR).alias("after"),
+            *((F.substring(x["g"], -near, near).alias("before"), F.substring(x["n"], 1, near).alias("after")) if near else ()),
         ),
     )
     return out.withColumn(name, spans).drop(gaps, found, sizes, starts)
