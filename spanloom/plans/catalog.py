@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from ..functions import policy
+from ..functions import policy, texts
 from ..functions.expr import reject
 from ..functions.wire import range_size
 from ..operators import blocks, columns, compare, grid, prefixes, reads, store, sweep, tables, tree
+from . import archives
 from . import mapping as m
 
 QUERIES: dict = {}
@@ -649,3 +650,84 @@ def rule_violations(spark, d):
         ("p_type == 'ECONOMY' || !(p_retailprice > 1500)", "price"),
     ]
     return t.select("p_partkey", reject(t, [("ratio", "p_size / five")], rules).alias("reject"))
+
+
+# names, dates, units and numbers
+
+
+@query("""SELECT p_partkey, segment, CASE WHEN odd THEN replace(replace(replace(segment, '%', '%25'), '/', '%2F'), '~', '%7E') || '~' WHEN n = '' THEN segment ELSE left(segment, length(segment) - length(n)) END AS name,
+CASE WHEN odd THEN '0' WHEN n = '' THEN '18446744073709551615' ELSE n END AS idx, segment AS back FROM (SELECT *, contains(segment, '~') AS odd, regexp_extract(segment, '(0|[1-9][0-9]*)$', 1) AS n FROM (
+SELECT p_partkey, CASE p_partkey % 5 WHEN 0 THEN 'c' || p_partkey WHEN 1 THEN 'a.00' || p_size WHEN 2 THEN p_type WHEN 3 THEN 'x~%' || p_size ELSE '' || p_partkey END AS segment FROM part))""")
+def key_names(spark, d):
+    p, text = F.col("p_partkey"), lambda c: F.col(c).cast("string")
+    segment = F.when(p % 5 == 0, F.concat(F.lit("c"), text("p_partkey"))).when(p % 5 == 1, F.concat(F.lit("a.00"), text("p_size"))).when(p % 5 == 2, F.col("p_type")).when(p % 5 == 3, F.concat(F.lit("x~%"), text("p_size"))).otherwise(text("p_partkey"))
+    t = m.load(spark, d, "part").select("p_partkey", segment.alias("segment")).withColumn("n", texts.key_name(F.col("segment"), F.lit(False)))
+    return t.select("p_partkey", "segment", "n.name", F.col("n.idx").cast("string").alias("idx"), texts.key_segment(F.col("n.name"), F.col("n.idx")).alias("back"))
+
+
+@query("""SELECT doc_id, CASE WHEN first AND text <> '' AND NOT contains(text, '/') AND text <> 'fr' THEN text ELSE replace(replace(replace(text, '%', '%25'), '/', '%2F'), '~', '%7E') || '~' END AS name,
+CASE WHEN first AND text <> '' AND NOT contains(text, '/') AND text <> 'fr' THEN '18446744073709551615' ELSE cast(k AS varchar) END AS idx, text AS back FROM (
+SELECT doc_id, text, row_number() OVER w - 1 AS k, row_number() OVER w = 1 AS first FROM (SELECT doc_id, source, CASE doc_id % 4 WHEN 0 THEN lang || '/%' || doc_id % 7 WHEN 1 THEN '' ELSE coalesce(lang, '') END AS text FROM documents) WINDOW w AS (PARTITION BY source, text ORDER BY doc_id))""")
+def source_names(spark, d):
+    i = F.col("doc_id")
+    text = F.when(i % 4 == 0, F.concat("lang", F.lit("/%"), (i % 7).cast("string"))).when(i % 4 == 1, "").otherwise(F.coalesce("lang", F.lit("")))
+    t = texts.source_names(m.load(spark, d, "documents").select(i.alias("pos"), F.col("source").alias("parent"), text.alias("text")), ("fr",))
+    return t.select(F.col("pos").alias("doc_id"), "name", F.col("idx").cast("string").alias("idx"), texts.source_text(F.col("name"), F.col("idx")).alias("back"))
+
+
+@query("""SELECT page_id, 'refkv_source/objects/' || key || CASE WHEN page_id % 3 < 2 THEN '~' ELSE '' END AS key FROM (
+SELECT page_id, page_id % 9 || '/' || CASE page_id % 3 WHEN 0 THEN 'zarr.json' WHEN 1 THEN '.zgroup~' ELSE 'zarr.json.' || page_id END AS key FROM pages)""")
+def object_keys(spark, d):
+    i = F.col("page_id")
+    last = F.when(i % 3 == 0, "zarr.json").when(i % 3 == 1, ".zgroup~").otherwise(F.concat(F.lit("zarr.json."), i.cast("string")))
+    return m.load(spark, d, "pages").select("page_id", texts.object_key(F.concat_ws("/", (i % 9).cast("string"), last)).alias("key"))
+
+
+@query("""SELECT o_orderkey, strftime(make_timestamp(o_orderkey * 86399000000 % 4000000000000000), '%a, %d %b %Y %H:%M:%S GMT') AS shown, o_orderkey * 86399 % 4000000000 AS seconds, CASE WHEN o_orderkey % 2 = 0 THEN o_orderkey * 86399 % 4000000000 END AS point FROM orders""")
+def http_dates(spark, d):
+    seconds = F.col("o_orderkey").cast("bigint") * 86399 % 4000000000
+    t = m.load(spark, d, "orders").select("o_orderkey", texts.to_imf_fixdate(seconds).alias("shown"), seconds.alias("_s"))
+    text = F.date_format(F.timestamp_seconds("_s"), "yyyy-MM-dd HH:mm:ss")
+    point = texts.time_point(F.when(F.col("o_orderkey") % 2 == 0, text).otherwise(F.concat(text, F.lit("Z"))))
+    return t.select("o_orderkey", "shown", texts.imf_fixdate(F.col("shown")).alias("seconds"), point["seconds"].alias("point"))
+
+
+@query("""SELECT p_partkey, unit, p_retailprice * (size / 0.0254) AS inches, p_retailprice - p_size * p_retailprice / 2 AS place FROM (
+SELECT *, list_extract(['micrometer', 'nanometer', 'foot', 'second', NULL], p_partkey % 5 + 1) AS unit, list_extract([1e-6, 1e-9, 0.3048, NULL, NULL], p_partkey % 5 + 1) AS size FROM part)""")
+def unit_lengths(spark, d):
+    symbols = F.array(*map(F.lit, ("um", "nm", "ft", "s", "parsec")))
+    t = m.load(spark, d, "part").withColumn("unit", texts.unit(F.get(symbols, (F.col("p_partkey") % 5).cast("int"))))
+    price = F.col("p_retailprice").cast("double")
+    return t.select("p_partkey", "unit", texts.length_in(price, F.col("unit"), F.lit("inch")).alias("inches"), texts.centred(price, F.col("p_size"), price).alias("place"))
+
+
+@query("SELECT l_orderkey, list_reduce(list_append(list(cast(l_quantity AS bigint) * 6), 0), lambda a, b: greatest_common_divisor(a, b)) AS divisor FROM lineitem GROUP BY l_orderkey")
+def divisors(spark, d):
+    t = m.load(spark, d, "lineitem").groupBy("l_orderkey").agg(F.collect_list(F.col("l_quantity").cast("bigint") * 6).alias("l"))
+    return t.select("l_orderkey", texts.greatest_divisor(F.col("l")).alias("divisor"))
+
+
+@query("SELECT p_partkey, upper(printf('%02x%02x%02x', cast(floor(p_size / 50.0 * 255 + 0.5) AS bigint), cast(floor(least(p_retailprice / 2000, 1) * 255 + 0.5) AS bigint), 0)) AS colour FROM part")
+def colours(spark, d):
+    return m.load(spark, d, "part").select("p_partkey", texts.colour(F.col("p_size") / F.lit(50.0), F.col("p_retailprice").cast("double") / 2000, F.lit(0.0)).alias("colour"))
+
+
+@query("SELECT doc_id, list_reduce([0::hugeint] || list_transform(range(1, cast(least(strlen(text), 8) AS bigint) + 1), lambda i: cast('0x' || substr(hex(encode(text)), 2 * i - 1, 2) AS hugeint)), lambda a, b: a * 256 + b)::varchar AS number FROM documents WHERE text <> ''")
+def byte_numbers(spark, d):
+    t = m.load(spark, d, "documents").where("text <> ''").select("doc_id", F.substring(F.col("text").cast("binary"), 1, 8).alias("b"))
+    return t.select("doc_id", texts.integer(F.col("b"), False).cast("string").alias("number"))
+
+
+# archives
+
+
+@query("""SELECT key, hex, NULL::varchar AS error FROM (SELECT 'd/' || lpad(cast(doc_id AS varchar), 9, '0') AS key, substr(hex(encode(text)), 11, 230) AS hex FROM documents WHERE text IS NOT NULL)
+UNION ALL SELECT key, substr(string_agg(piece, '' ORDER BY part), 11, 230), NULL FROM (SELECT key, part, substr(hex(encode(t.text)), cast(2 * "offset" + 1 AS bigint), cast(2 * length AS bigint)) AS piece
+FROM text_ranges r JOIN documents t ON t.doc_id = r.source AND t.text IS NOT NULL) GROUP BY key""", "text_ranges")
+def archive_get(spark, d):
+    return archives.window(spark, d, 5, 120)
+
+
+@query("SELECT 'u/' || lpad(cast(user_id AS varchar), 6, '0') AS key FROM events WHERE user_id BETWEEN 10 AND 19 GROUP BY 1")
+def archive_prefix(spark, d):
+    return archives.under(spark, d, "u/00001")
