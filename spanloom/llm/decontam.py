@@ -22,7 +22,7 @@ LEAST_WINDOWS, LEAST_UNSPACED = 3, 13
 #: An item of fewer runs of letters or digits than this is never held; a character of a script without spaces is a run.
 LEAST_RUNS = 3
 #: Distinct words that a worker remembers.
-REMEMBERED = 500_000
+REMEMBERED = 300_000
 
 # fixed values: words that stand for numbers, and units of measure
 NUMBER_WORDS = frozenset("zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million billion half dozen".split())
@@ -45,21 +45,44 @@ class Words(dict):
 
     def __init__(self):
         super().__init__()
-        self.start()
-
-    def start(self):
-        self.clear()
-        self.text = []
+        self.text, self.raw = [], []
         size = REMEMBERED + (1 << 10)
         self.code, self.exact, self.kind = np.zeros(size, np.uint64), np.zeros(size, np.uint64), np.zeros(size, np.int8)
         self.capital, self.unit, self.ends, self.single, self.mixed = (np.zeros(size, bool) for _ in range(5))
 
+    def forget(self):
+        """Forget the words beyond the first REMEMBERED: the frequent ones are among these, others are met again rarely."""
+        for raw in self.raw[REMEMBERED:]:
+            del self[raw]
+        for name in ("code", "exact", "kind", "capital", "unit", "ends", "single", "mixed"):
+            getattr(self, name)[REMEMBERED : len(self.text)] = 0
+        del self.raw[REMEMBERED:], self.text[REMEMBERED:]
+
     def _grow(self):
         for name in ("code", "exact", "kind", "capital", "unit", "ends", "single", "mixed"):
             old = getattr(self, name)
             setattr(self, name, np.concatenate((old, np.zeros_like(old))))
 
+    def _letters(self, raw: str) -> int:
+        """As ``__missing__`` for a word of letters alone, as most are: nothing stands around it, and it is no number in digits."""
+        low, n = raw.lower(), len(self.text)
+        if n == len(self.code):
+            self._grow()
+        self.code[n] = self.exact[n] = xxhash.xxh64_intdigest(low.encode())
+        if low in NUMBER_WORDS:
+            self.kind[n] = _NUM
+        elif low != raw and len(raw) > 1 and raw[0].isupper() and raw[1:].islower():
+            self.capital[n] = True
+        if low in UNITS:
+            self.unit[n] = True
+        self.text.append(low)
+        self.raw.append(raw)
+        self[raw] = n
+        return n
+
     def __missing__(self, raw: str) -> int:
+        if raw.isalpha() and (raw.isascii() or not _UNSPACED.search(raw)):
+            return self._letters(raw)
         word = _EDGES.sub("", raw)
         low = word.lower()
         kind = _PLAIN
@@ -80,13 +103,14 @@ class Words(dict):
         if not raw.isascii() and _UNSPACED.search(raw):
             self.single[n], self.mixed[n] = len(raw) == 1, len(raw) > 1
         self.text.append(low)
+        self.raw.append(raw)
         self[raw] = n
         return n
 
     def numbers(self, text: str) -> np.ndarray:
-        """The numbers of the text's words; each character of a script without spaces is a word."""
+        """The numbers of the text's words, good until the next text; each character of a script without spaces is a word."""
         if len(self) > REMEMBERED:
-            self.start()
+            self.forget()
         at = np.array([self[w] for w in text.split()], np.int64)
         if self.mixed[at].any():
             at = np.array([self[w] for w in _UNSPACED.sub(r" \g<0> ", text).split()], np.int64)

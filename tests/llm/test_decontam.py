@@ -117,3 +117,26 @@ def test_joining_against_every_window_and_place(spark):
     assert [got[i] for i in range(len(texts))] == want
     left = decontam.without_contaminated(docs, spark.createDataFrame(items, "item_id long, text string"))
     assert left.columns == docs.columns and sorted(r.doc_id for r in left.collect()) == [i for i, x in enumerate(want) if not x]
+
+
+def test_words_of_letters_are_read_as_all_others():
+    """A word in quotes takes the long way and is the same word."""
+    for w in "the Alice ALICE aLice km Km three Three n N é Élan ŷ ß ǅa İx Ünï s half Ⅷ ª".split():
+        words = decontam.Words()
+        a, b = words[w], words['"' + w]
+        assert words.text[a] == words.text[b]
+        for name in ("code", "exact", "kind", "capital", "unit", "ends"):
+            assert getattr(words, name)[a] == getattr(words, name)[b], (w, name)
+
+
+def test_words_that_are_forgotten_come_back_the_same(monkeypatch):
+    rng = random.Random(5)
+    texts = [" ".join(rng.choice(["Alice", "12", "km", "w%d" % rng.randint(0, 60), "北京", "W%d." % rng.randint(0, 60)]) for _ in range(rng.randint(0, 40))) for _ in range(80)]
+    whole, few = decontam.Words(), None
+    monkeypatch.setattr(decontam, "REMEMBERED", 10)
+    few = decontam.Words()
+    for text in texts:
+        a, b = (w.template(w.numbers(text)) for w in (whole, few))
+        assert [x.tolist() for x in a[:2]] == [x.tolist() for x in b[:2]]
+        assert [whole.text[i] for i in a[2]] == [few.text[i] for i in b[2]]
+        assert len(few) <= 10 + len(text.split()) * 3
