@@ -51,6 +51,10 @@ def test_uri_and_policy_columns(spark):
     rows = ["a/b", "http://h/x?y#z", "a b", "%zz", "1:b", "a:b", "", "é", "./1:b"]
     got = spark.createDataFrame([(r,) for r in rows], "u string").select(uri.is_reference(F.col("u")).alias("ok")).collect()
     assert [r.ok for r in got] == [True, True, False, False, False, True, True, False, True]
+    refs = {"http://[::1]:80/": True, "http://[1:2:3:4:5:6:7:8]/": True, "http://[1:2:3:4:5:6:7:8:9]/": False, "http://[1::8]/x": True, "http://[::ffff:1.2.3.4]": True, "http://[::1.2.3.400]": False, "http://[v7.a:b]/": True, "http://[::1/": False, "http://h:8a/": False, "//h/x": True,
+            "/a//b": True, "http:///x": True, "mailto:a@b.c": True, "a/b:c": True, "a:b:c": True, "x?y=[1]": False, "x#a#b": False, "http://u:p@h:/": True, "http://a@b@c/": False, ":a": False, "urn:x:y": True, "http://[1:2:3::4:5:6:7:8]/": False, "http://[1:2:3:4:5:6:7::]/": True, "a\\b": False}
+    got = spark.createDataFrame([(r,) for r in refs], "u string").select("u", uri.is_reference(F.col("u")).alias("ok")).collect()
+    assert {r.u: r.ok for r in got} == refs
     hosts = {"127.0.0.1": "loopback", "10.0.0.1": "private", "100.64.0.1": "special", "[::1]": "loopback", "[::ffff:10.0.0.1]": "private", "[fe80::1]": "link-local", "x.localhost": "loopback", "example.com": None, "01.2.3.4": None, "1.2.3.4.": "public",
              "192.0.2.1": "special", "198.18.0.1": "special", "[::ffff:7f00:1]": "loopback", "[64:ff9b::7f00:1]": "loopback", "[2002:7f00:1::]": "loopback"}
     got = spark.createDataFrame([(h,) for h in hosts], "h string").select("h", policy.host_class(F.col("h")).alias("c")).collect()
