@@ -143,7 +143,7 @@ def keys_of(least: np.ndarray, bands: int) -> np.ndarray:
 
 
 def shingles(line: str, size: int = SHINGLE) -> frozenset:
-    return frozenset(line[i : i + size] for i in range(max(1, len(line) - size + 1)))
+    return frozenset([line[i : i + size] for i in range(max(1, len(line) - size + 1))])
 
 
 #: Bits of the maps that spare most comparisons.
@@ -209,7 +209,9 @@ def join_all(n: int, close, side: list[int] | None = None, joined: list[int] | N
 
 
 def alike(a: frozenset, b: frozenset, least: float = SIMILAR) -> bool:
-    common = len(a & b)
+    if min(len(a), len(b)) < least * max(len(a), len(b)):
+        return False
+    common = len(a) - len(a - b)  # the difference is small where it matters
     return common >= least * (len(a) + len(b) - common)
 
 
