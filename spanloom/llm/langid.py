@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stash, unstash
+from .common import lean, stash, unstash
 
 #: Length of an n-gram.
 GRAM = 4
@@ -128,7 +128,7 @@ def learn(labelled: DataFrame, id_col="doc_id", text_col="text", lang_col="lang"
                 g += [h, np.zeros(1, np.uint64)]  # 0 counts the documents
             yield pd.DataFrame({"lang": lang, "gram": np.concatenate(g).view(np.int64) if g else np.zeros(0, np.int64)})
 
-    counts = sample.select("lang", "text").mapInPandas(grams, "lang string, gram long").groupBy("lang", "gram").agg(F.count("*").alias("n"))
+    counts = sample.select("lang", "text").mapInPandas(lean(grams), "lang string, gram long").groupBy("lang", "gram").agg(F.count("*").alias("n"))
     counts = stash(counts, "grams")
     sizes = counts.where("gram = 0").select("lang", F.col("n").alias("size"))
     rates = counts.where("gram <> 0 and n > 1").join(sizes, "lang").withColumn("rate", F.col("n") / F.col("size"))
