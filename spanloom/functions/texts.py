@@ -9,8 +9,7 @@ from pyspark.sql import functions as F
 
 #: The index of a name that has none.
 NO_INDEX = (1 << 64) - 1
-# fixed values: where other objects of a store go, names of node documents, and lengths of units in metres
-OBJECTS = "refkv_source/objects/"
+# fixed values: names of node documents, symbols of units, and lengths of units in metres
 _NODE = r"^(?:zarr\.json|\.zarray|\.zgroup)~*$"
 UNITS = {
     "µm": "micrometer", "μm": "micrometer", "um": "micrometer", "nm": "nanometer", "mm": "millimeter", "cm": "centimeter", "m": "meter", "Å": "angstrom", "Å": "angstrom",
@@ -74,10 +73,10 @@ def key_segment(name: Column, idx: Column) -> Column:
     return F.when(odd, unescaped(F.substring(name, F.lit(1), F.length(name) - 1))).when(idx == _index(NO_INDEX), name).otherwise(F.concat(name, idx.cast("string")))
 
 
-def object_key(key: Column) -> Column:
-    """Where a store's other object goes: names that a reader takes for a node's document get one more ``~``."""
+def object_key(key: Column, under: str) -> Column:
+    """Where a store's other object goes, ``under`` a prefix of the format's: names that a reader takes for a node's document get one more ``~``."""
     last = F.substring_index(key, "/", -1)
-    return F.concat(F.lit(OBJECTS), key, F.when(last.rlike(_NODE), "~").otherwise(""))
+    return F.concat(F.lit(under), key, F.when(last.rlike(_NODE), "~").otherwise(""))
 
 
 def integer(data: Column, little: bool = True, signed: bool = False) -> Column:

@@ -675,12 +675,12 @@ def source_names(spark, d):
     return t.select(F.col("pos").alias("doc_id"), "name", F.col("idx").cast("string").alias("idx"), texts.source_text(F.col("name"), F.col("idx")).alias("back"))
 
 
-@query("""SELECT page_id, 'refkv_source/objects/' || key || CASE WHEN page_id % 3 < 2 THEN '~' ELSE '' END AS key FROM (
+@query("""SELECT page_id, 'others/' || key || CASE WHEN page_id % 3 < 2 THEN '~' ELSE '' END AS key FROM (
 SELECT page_id, page_id % 9 || '/' || CASE page_id % 3 WHEN 0 THEN 'zarr.json' WHEN 1 THEN '.zgroup~' ELSE 'zarr.json.' || page_id END AS key FROM pages)""")
 def object_keys(spark, d):
     i = F.col("page_id")
     last = F.when(i % 3 == 0, "zarr.json").when(i % 3 == 1, ".zgroup~").otherwise(F.concat(F.lit("zarr.json."), i.cast("string")))
-    return m.load(spark, d, "pages").select("page_id", texts.object_key(F.concat_ws("/", (i % 9).cast("string"), last)).alias("key"))
+    return m.load(spark, d, "pages").select("page_id", texts.object_key(F.concat_ws("/", (i % 9).cast("string"), last), "others/").alias("key"))
 
 
 @query("""SELECT o_orderkey, strftime(make_timestamp(o_orderkey * 86399000000 % 4000000000000000), '%a, %d %b %Y %H:%M:%S GMT') AS shown, o_orderkey * 86399 % 4000000000 AS seconds, CASE WHEN o_orderkey % 2 = 0 THEN o_orderkey * 86399 % 4000000000 END AS point FROM orders""")
