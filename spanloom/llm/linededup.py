@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -86,8 +87,8 @@ def shingle_hashes(norms: list[str], size: int = SHINGLE) -> tuple[np.ndarray, n
     return (h[inside] >> np.uint64(32)).astype(np.uint32), np.concatenate(([0], np.cumsum(sizes - size + 1)[:-1]))
 
 
-#: Characters that are hashed in one go.
-PART = 1 << 18
+#: Characters that are hashed in one go: few enough for the arrays of a step to stay in a core's cache.
+PART = 1 << 16
 
 
 def band_keys(norms: list[str], size: int = SHINGLE) -> np.ndarray:
@@ -146,8 +147,23 @@ def shingles(line: str, size: int = SHINGLE) -> frozenset:
     return frozenset([line[i : i + size] for i in range(max(1, len(line) - size + 1))])
 
 
-#: Bits of the maps that spare most comparisons.
-MAP_BITS = 4096
+def distinct_of(line: str, size: int = SHINGLE) -> frozenset | np.ndarray:
+    """The line's ``shingles``, if they are eight bytes of Latin-1 each as sorted integers: these are quicker to compare."""
+    if size == 8 <= len(line):
+        try:
+            raw = line.encode("latin-1")
+        except UnicodeEncodeError:
+            return shingles(line, size)
+        own = np.ndarray(len(raw) - 7, np.uint64, raw, strides=(1,)).copy()
+        own.sort()
+        new = np.ones(len(own), bool)
+        np.not_equal(own[1:], own[:-1], out=new[1:])
+        return own[new]
+    return shingles(line, size)
+
+
+#: Bits of the maps that spare most comparisons, a power of two.
+MAP_BITS = 1024
 
 
 def _parts(norms: list[str]):
@@ -163,15 +179,38 @@ def _parts(norms: list[str]):
         yield part
 
 
-def shingle_maps(norms: list[str], size: int = SHINGLE) -> list[int]:
-    """For each line an integer that has the bits of its shingles' hashes set."""
-    out = []
+def shingle_marks(norms: list[str], size: int = SHINGLE) -> np.ndarray:
+    """For each line a row of ``MAP_BITS`` bits, each set if an odd number of its distinct shingles' hashes fall on it.
+
+    Shingles that two lines share change a bit of both, so no more bits differ than there are shingles that one has alone.
+    """
+    out = [np.zeros((0, MAP_BITS // 64), np.uint64)]
     for part in _parts(norms):
         h, starts = shingle_hashes(part, size)
-        bits = np.zeros((len(part), MAP_BITS), bool)
-        bits[np.repeat(np.arange(len(part)), np.diff(np.append(starts, len(h)))), h % MAP_BITS] = True
-        out += [int.from_bytes(row.tobytes(), "little") for row in np.packbits(bits, axis=1)]
-    return out
+        both = np.repeat(np.arange(len(part), dtype=np.uint64) << np.uint64(32), np.diff(np.append(starts, len(h))))
+        both |= h
+        both.sort()
+        new = np.ones(len(both), bool)
+        new[1:] = both[1:] != both[:-1]
+        both = both[new]
+        bit = (both >> np.uint64(32)) * np.uint64(MAP_BITS)
+        bit += both & np.uint64(MAP_BITS - 1)
+        odd = np.bincount(bit.view(np.int64), minlength=len(part) * MAP_BITS).astype(np.uint8) & 1
+        out.append(np.packbits(odd.reshape(len(part), MAP_BITS), axis=1, bitorder="little").view(np.uint64))
+    return np.concatenate(out)
+
+
+def shingle_maps(norms: list[str], size: int = SHINGLE) -> list[int]:
+    """The rows of ``shingle_marks`` as integers."""
+    return [int.from_bytes(row.tobytes(), "little") for row in shingle_marks(norms, size)]
+
+
+def may_be_alike(differ, most, least: float = SIMILAR):
+    """Whether two lines can be of a similarity of ``least``: their maps differ in ``differ`` bits, they have ``most`` shingles at most.
+
+    Of m shingles in both sets together, counted in each, at most (1 - least) / (1 + least) * m are in one set alone.
+    """
+    return differ * (1 + least) <= (1 - least) * most + 1e-6
 
 
 def join_all(n: int, close, side: list[int] | None = None, joined: list[int] | None = None) -> list[tuple[int, int]]:
@@ -208,35 +247,43 @@ def join_all(n: int, close, side: list[int] | None = None, joined: list[int] | N
     return out
 
 
-def alike(a: frozenset, b: frozenset, least: float = SIMILAR) -> bool:
+def alike(a: frozenset | np.ndarray, b: frozenset | np.ndarray, least: float = SIMILAR) -> bool:
+    """Whether two sets, both as ``distinct_of`` gives them and of one type, are of a Jaccard similarity of ``least``."""
     if min(len(a), len(b)) < least * max(len(a), len(b)):
         return False
-    common = len(a) - len(a - b)  # the difference is small where it matters
+    if isinstance(a, np.ndarray):
+        both = np.concatenate((a, b))
+        both.sort()
+        common = int(np.count_nonzero(both[1:] == both[:-1]))
+    else:
+        common = len(a) - len(a - b)  # the difference is small where it matters
     return common >= least * (len(a) + len(b) - common)
 
 
+def alike_lines(a: str, b: str, of_a: frozenset | np.ndarray, of_b: frozenset | np.ndarray, size: int, least: float = SIMILAR) -> bool:
+    """``alike`` for two lines and their sets, of whatever types these are."""
+    if type(of_a) is not type(of_b):
+        of_a, of_b = shingles(a, size), shingles(b, size)
+    return alike(of_a, of_b, least)
+
+
 def linked(norms: list[str], maps: list[int], side: list[int] | None = None, least: float = SIMILAR, size: int = SHINGLE, joined: list[int] | None = None) -> list[tuple[int, int]]:
     """Pairs of lines of an exact Jaccard similarity of ``least`` or more, enough of them to join all that are linked.
 
     All are compared with the first, unless it is known which are ``joined``.  Then lines of different components are,
-    until one link joins these: links inside a component change nothing.  Two lines are intersected only if their maps allow so high a similarity: a
-    bit that one map has alone is a shingle that one line has alone.  Given ``side``, after the first step only lines
-    of different sides are compared.
+    until one link joins these: links inside a component change nothing.  Two lines are intersected only if their maps
+    allow so high a similarity.  Given ``side``, after the first step only lines of different sides are compared.
     """
-    ones = [m.bit_count() for m in maps]
     most = [max(1, len(n) - size + 1) for n in norms]
-    sets: dict[int, frozenset] = {}
+    sets: dict[int, frozenset | np.ndarray] = {}
 
     def close(x: int, y: int) -> bool:
-        both = (maps[x] | maps[y]).bit_count()
-        alone_x, alone_y = both - ones[y], both - ones[x]
-        common = min(most[x] - alone_x, most[y] - alone_y)
-        if common < least * (common + alone_x + alone_y):
+        if not may_be_alike((maps[x] ^ maps[y]).bit_count(), most[x] + most[y], least):
             return False
         for k in (x, y):
             if k not in sets:
-                sets[k] = shingles(norms[k], size)
-        return alike(sets[x], sets[y], least)
+                sets[k] = distinct_of(norms[k], size)
+        return alike_lines(norms[x], norms[y], sets[x], sets[y], size, least)
 
     return join_all(len(norms), close, side, joined)
 
@@ -261,6 +308,22 @@ def _distinct(texts, min_chars: int) -> dict[int, str]:
     return {line_key(n): n for n in norms}
 
 
+def _bytes_of(cells: pa.BinaryArray) -> np.ndarray:
+    """The bytes of all cells, one after the other, without a copy."""
+    if not len(cells):
+        return np.zeros(0, np.uint8)
+    wide = pa.types.is_large_binary(cells.type)
+    at = np.frombuffer(cells.buffers()[1], np.int64 if wide else np.int32)[cells.offset : cells.offset + len(cells) + 1]
+    return np.frombuffer(cells.buffers()[2] or b"", np.uint8)[at[0] : at[-1]]
+
+
+def _repeated(key: np.ndarray) -> np.ndarray:
+    """The places of all numbers that are there more than once, and of some others that meet one by a short hash."""
+    bits = max(1, (4 * len(key)).bit_length())
+    slot = (key.view(np.uint64) * _MIX[1] >> np.uint64(64 - bits)).view(np.int64)
+    return np.flatnonzero(np.bincount(slot)[slot] > 1) if len(key) else np.zeros(0, np.int64)
+
+
 def buckets(docs: DataFrame, id_col: str, text_col: str, min_chars: int = MIN_CHARS, fine: bool = False) -> DataFrame:
     """(key, h, n, first): the lines that share a band's key with another, how many these are, and the least of them.
 
@@ -284,27 +347,21 @@ def buckets(docs: DataFrame, id_col: str, text_col: str, min_chars: int = MIN_CH
             which, starts = np.unique(at, return_index=True)
             yield pd.DataFrame({"part": which.astype(np.int32), "rows": [x.tobytes() for x in np.split(rows, starts[1:])] if len(which) else []})
 
-    def meet(b: pd.DataFrame) -> pd.DataFrame:
-        rows = np.frombuffer(b"".join(b["rows"]), np.int64).reshape(-1, 2)
-        key = rows[:, 0].copy()
-        order = np.argsort(key)
-        key = key[order]
-        many = np.zeros(len(key), bool)
-        same = key[1:] == key[:-1]
-        many[1:] |= same
-        many[:-1] |= same
-        rows = rows[order[many]]  # few are left
+    def meet(b: pa.Table) -> pa.Table:
+        rows = np.concatenate([np.zeros(0, np.uint8), *map(_bytes_of, b["rows"].chunks)]).view(np.int64).reshape(-1, 2)
+        rows = rows[_repeated(rows[:, 0])]  # few are left
         rows = rows[np.lexsort((rows[:, 1], rows[:, 0]))]
         new = np.ones(len(rows), bool)
         new[1:] = (rows[1:] != rows[:-1]).any(axis=1)
         rows = rows[new]
         starts = np.flatnonzero(np.diff(rows[:, 0], prepend=rows[0, 0] - 1)) if len(rows) else np.zeros(0, np.int64)
         n = np.diff(np.append(starts, len(rows)))
-        out = pd.DataFrame({"key": rows[:, 0], "h": rows[:, 1], "n": np.repeat(n, n), "first": np.repeat(rows[starts, 1], n)})
-        return out[out["n"] > 1]
+        several = np.repeat(n, n) > 1
+        columns = {"key": rows[:, 0], "h": rows[:, 1], "n": np.repeat(n, n), "first": np.repeat(rows[starts, 1], n)}
+        return pa.table({k: pa.array(x[several], pa.int64()) for k, x in columns.items()})
 
     packed = _texts(docs, id_col, text_col).select("text").mapInPandas(lean(pack), "part int, rows binary")
-    return packed.groupBy("part").applyInPandas(lean_group(meet), "key long, h long, n long, first long")
+    return packed.groupBy("part").applyInArrow(lean_group(meet), "key long, h long, n long, first long")
 
 
 #: Bits of the sketch that spares lines without a partner the shuffle.  It has this size whatever the input is.
@@ -358,6 +415,15 @@ def unlike(members: DataFrame) -> DataFrame:
     return sizes.groupBy("n", "first", "x", "y", F.expr("key & 1").alias("size")).agg(F.min("key").alias("key")).select("key")
 
 
+def compared(firsts: list[str], others: list[str], size: int) -> list[int]:
+    """The places at which two lines can be alike by their maps; equal ``firsts`` that follow each other are hashed once."""
+    new = [k for k, line in enumerate(firsts) if not k or line != firsts[k - 1]]
+    run = np.diff([*new, len(firsts)])
+    most = [np.maximum(1, np.fromiter(map(len, x), np.int64, len(x)) - size + 1) for x in (firsts, others)]
+    differ = np.bitwise_count(np.repeat(shingle_marks([firsts[k] for k in new], size), run, axis=0) ^ shingle_marks(others, size)).sum(axis=1, dtype=np.int64)
+    return np.flatnonzero(may_be_alike(differ, most[0] + most[1])).tolist()
+
+
 def stars(members: DataFrame, texts: DataFrame) -> DataFrame:
     """(u, v): the lines that are similar to the first one of a bucket of theirs, with that line.
 
@@ -369,14 +435,14 @@ def stars(members: DataFrame, texts: DataFrame) -> DataFrame:
     def close(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         last = mine = None
         for firsts, others, fine in batches:
-            out = []
-            for a, b, small in zip(firsts, others, fine):
-                size = FINE if small else SHINGLE
-                if last != (a, size):  # pairs of a line follow each other
-                    last, mine = (a, size), shingles(a, size)
-                # a line of n characters has n - size + 1 shingles at most
-                out.append(len(b) - size + 1 >= SIMILAR * len(mine) and alike(mine, shingles(b, size)))
-            yield pd.Series(out, dtype=bool)
+            out = np.zeros(len(fine), bool)
+            for size, some in ((SHINGLE, np.flatnonzero(~fine)), (FINE, np.flatnonzero(fine))):
+                a, b = firsts.iloc[some].tolist(), others.iloc[some].tolist()
+                for k in compared(a, b, size):
+                    if last != (a[k], size):  # pairs of a line follow each other
+                        last, mine = (a[k], size), distinct_of(a[k], size)
+                    out[some[k]] = alike_lines(a[k], b[k], mine, distinct_of(b[k], size), size)
+            yield pd.Series(out)
 
     other = pairs.join(texts.withColumnsRenamed({"h": "v", "norm": "other"}), "v")
     both = other.join(texts.withColumnsRenamed({"h": "u", "norm": "mine"}), "u")

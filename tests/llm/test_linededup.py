@@ -121,3 +121,30 @@ def test_minima_agree_as_often_as_lines_are_similar():
         want = len(mine & theirs) / len(mine | theirs)
         assert abs((minima(["zzzzzz", other], 3, n)[1:] == own).mean() - want) < 0.06
     assert (minima([a, "x" * 3], 3, 280) != linededup._NONE).all()
+
+
+def test_sets_as_integers_and_maps_tell_what_plain_sets_tell():
+    rng = random.Random(4)
+    lines = []
+    for letters in ("abcdefgh ", "aeéÿ ", "aé北Σ ", "ab"):
+        for _ in range(12):
+            line = "".join(rng.choice(letters) for _ in range(rng.choice([8, 9, 40, 300])))
+            lines += [line, line[: len(line) // 2] + "x" + line[len(line) // 2 :], line[:-1] + "京", line.replace("a", "b", rng.randint(0, 3))]
+    lines += ["y" * 3000, "y" * 2000 + "z" * 9, "12345678", "1234567\xff", "1234567\u0100", "\ud800" * 9]
+    for size in (linededup.SHINGLE, linededup.FINE):
+        plain_sets, own, maps = [linededup.shingles(x, size) for x in lines], [linededup.distinct_of(x, size) for x in lines], linededup.shingle_maps(lines, size)
+        assert [len(x) for x in own] == [len(x) for x in plain_sets]
+        together = 0
+        for x, a in enumerate(plain_sets):
+            for y, b in enumerate(plain_sets):
+                want = len(a & b) >= 0.8 * len(a | b)
+                assert linededup.alike_lines(lines[x], lines[y], own[x], own[y], size) == want
+                assert (maps[x] ^ maps[y]).bit_count() <= len(a ^ b)
+                together += want
+            near = linededup.compared([lines[x]] * len(lines), lines, size)
+            assert {y for y, b in enumerate(plain_sets) if len(a & b) >= 0.8 * len(a | b)} <= set(near)
+        assert together > len(lines)
+    # lines of similarity 0.4 need no comparison of sets
+    base = ["".join(rng.choice("abcdefghij ") for _ in range(300)) for _ in range(50)]
+    other = [x[:40] + "".join(rng.choice("klmnopqrst ") for _ in range(120)) + x[160:] for x in base]
+    assert linededup.compared(base, other, 8) == [] and linededup.compared(base, base, 8) == list(range(50))
