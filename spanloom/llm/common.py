@@ -77,6 +77,16 @@ def unstash(*stashed: DataFrame) -> None:
         where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def few_files(df: DataFrame, by: str) -> DataFrame:
+    """``df`` dealt anew by its size: rows that are small beside those they were made of fill few partitions.
+
+    On a local file system without native code Hadoop starts a ``chmod`` for each folder, file and checksum that a task
+    writes, and until it runs it shares, and seems to hold, all memory of the executor.  Partitions that equal values
+    of ``by`` make large are split.
+    """
+    return df.hint("rebalance", by)
+
+
 def text_or_empty(name: str = "text"):
     return F.coalesce(F.col(name), F.lit(""))
 

@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import lean, lean_group, stash, text_or_empty, tidy
+from .common import few_files, lean, lean_group, stash, text_or_empty, tidy
 
 #: Bytes of a repeated string, and of the first part of a suffix that is sorted, which stands at one of SPAN places in it.
 LENGTH, DIGIT = 50, 24
@@ -490,7 +490,8 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     size = min(max(SKETCH_BITS, (total // 16).bit_length()), MOST_SKETCH_BITS)
     digits, hot = repeated_digits(known.select("id", "text"), bits, size)
     met = _sorted_by(known, bits, digits, hot).groupBy("part").applyInPandas(lean_group(_meet(bits)), "bucket int, runs binary")
-    runs = stash(met.groupBy("bucket").applyInPandas(lean_group(_merge), "id long, h long, starts array<long>, ends array<long>"), "runs")
+    merged = met.groupBy("bucket").applyInPandas(lean_group(_merge), "id long, h long, starts array<long>, ends array<long>")
+    runs = stash(few_files(merged, "h"), "runs")
     spans = F.coalesce(F.arrays_zip(F.col("starts").alias("start"), F.col("ends").alias("end")), F.expr("cast(array() as array<struct<start: bigint, end: bigint>>)"))
     return rows.join(runs, ["id", "h"], "left").select("id", "text", spans.alias("spans"))
 
@@ -512,7 +513,8 @@ def digest(found: DataFrame) -> DataFrame:
 
     gone = F.aggregate("spans", F.lit(0).cast("long"), lambda a, x: a + x["end"] - x["start"])
     some = F.size("spans") > 0
-    return found.select(
+    out = found.select(
         F.col("id").alias("doc_id"), F.octet_length("text").cast("long").alias("n_bytes"), gone.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"),
         F.when(some, kept(F.when(some, F.col("text")), "spans")).otherwise(F.sha2("text", 256)).alias("kept_sha256"),
     )
+    return few_files(out, "kept_sha256")

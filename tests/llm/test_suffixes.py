@@ -133,3 +133,25 @@ def test_hot_digits_common_contexts_and_equal_hashes(monkeypatch):
     whole = suffixes._mix
     monkeypatch.setattr(suffixes, "_mix", lambda h: whole(h) & __import__("numpy").uint64(0xF << 60))
     assert without_spark(rows) == want
+
+
+def test_small_results_are_written_to_few_files(spark, tmp_path, monkeypatch):
+    rng = random.Random(3)
+    stashed, stash = [], suffixes.stash
+    monkeypatch.setattr(suffixes, "stash", lambda *a: stashed.append(out := stash(*a)) or out)
+    common = "".join(rng.choice("abcdefgh ") for _ in range(300))
+    rows = [(i, "".join(rng.choice("abcdefgh ") for _ in range(4000)) + common) for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    settings = {"spark.sql.shuffle.partitions": "24", "spark.sql.adaptive.coalescePartitions.parallelismFirst": "false", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "64k"}
+    before = {k: spark.conf.get(k) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        suffixes.digest(suffixes.repeated_spans(docs)).write.parquet(f"{tmp_path}/out")
+        got = sorted((tuple(r) for r in spark.read.parquet(f"{tmp_path}/out").collect()), key=str)
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert got == plain(rows)
+    assert len(list((tmp_path / "out").glob("part-*"))) <= 2
+    assert [len(x.inputFiles()) <= 2 for x in stashed] == [True]
